@@ -195,13 +195,13 @@ def label_shares(df: DataFrame, label: str = "label", group: Sequence[str] = (),
     return j.select(*g, label, "n", F.round(100.0 * F.col("n") / F.col("total"), digits).alias("pct"))
 
 
-def split_balance(df: DataFrame, split: str = "split", label: str = "label",
+def split_balance(df: DataFrame, group: Sequence[str] = ("split",), label: str = "label",
                   classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Per split n and count / percent of each class (absent class -> 0)."""
     aggs = [F.count("*").alias("n")]
     for c in classes:
         aggs.append(F.sum((F.col(label) == c).cast("long")).alias(f"n_{c}"))
-    out = df.groupBy(split).agg(*aggs)
+    out = df.groupBy(*group).agg(*aggs)
     for c in classes:
         out = out.withColumn(f"pct_{c}", F.round(100.0 * F.col(f"n_{c}") / F.col("n"), 1))
     return out
