@@ -20,12 +20,20 @@ WORD = r"[\p{L}\p{N}_]"    # Python \w (letters, numbers, underscore)
 # --- fixed values: cleaning patterns (order of use is C1..C8) -------------
 URL = f"https?://{NON_SPACE}+|www\\.{NON_SPACE}+"       # C1 (cleaner)
 URL_LOOSE = f"http{NON_SPACE}+"                         # C1 variant
-CONTRACTION = f"({WORD}+){SPACE}+'({WORD}+)"             # C4
+CONTRACTION = f"({WORD}+){SPACE}+'({WORD}+)"             # C4 (portable)
+# Same matches as CONTRACTION for the JVM engine, without per-word
+# backtracking: a match can only start at a word start (a previous match
+# always ends at a word end), and giving back word characters can never
+# let [whitespace]' match, so the first group may be possessive.
+CONTRACTION_JVM = f"(?<![\\p{{L}}\\p{{N}}_])({WORD}++){SPACE}+'({WORD}+)"
 GIF = r"(?i)!?\[gif\]\([^)]*\)"                          # C5
 LINK = r"\[([^\]]+)\]\([^)]*\)"                          # C6 first rule
 DANGLING_LINK = r"\[([^\]]+)\]\("                        # C6 second rule
 NEWLINES = r"\n+"                                        # C8
 EDGE_SPACE = f"^{SPACE}+|{SPACE}+\\z"                      # Python str.strip()
+# The same whitespace set as literal characters (for btrim / trim).
+WS_CHARS = ("\t\n\x0b\x0c\r" + "".join(chr(c) for c in range(0x1C, 0x20)) + " \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 NON_ASCII = r"[^\x00-\x7F]"                              # C16
 
 # Bracket pairs handled by C7, in the order they are processed.
@@ -54,6 +62,9 @@ SINGLE_QUOTES = "ʼ‘’‚‛"
 DOUBLE_QUOTES = "“”„‟"
 LINE_BREAKS = r"\r\n|[\r\x{2028}\x{2029}\x85]"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{FEFF}]"
+# Any character that one of the repair rules would touch (a cheap gate).
+REPAIR_TRIGGER = (r"[\x00-\x08\x0B\x0D-\x1F\x7F\x85\x{02BC}\x{2018}-\x{201F}\x{2028}\x{2029}"
+                  r"\x{3000}\x{FB00}-\x{FB06}\x{FEFF}\x{FF01}-\x{FF5E}]")
 # Fullwidth forms U+FF01..U+FF5E map one-to-one onto ASCII U+0021..U+007E;
 # the ideographic space maps to a plain space.  Built from that rule.
 FULLWIDTH_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"

@@ -191,3 +191,12 @@ FROM sp LEFT JOIN c ON sp.split = c.split AND sp.bin = c.bin"""
 
 
 query("cm_histogram", _cm_hist_sql())(cm_histogram_q)
+
+
+# Flagship (rows-checked; its parts are oracle-checked one by one) ----------
+def flagship_q(spark, sf):
+    from .flagship import flagship
+    return flagship(spark, sf)
+
+
+query("flagship")(flagship_q)
