@@ -62,11 +62,14 @@ SELECT qid, tid, CAST(tlabel AS BIGINT) AS tlabel, CAST(rk AS BIGINT) AS rank, C
 
 # F1 + K2 -------------------------------------------------------------------
 def _prompts(spark, sf):
+    """Queries and examples are the embedded rows that have a document text."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    nn = closest(spark, sf)
+    e = B.emb(spark, sf).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    nn = KN.knn_topk(e, e, K, q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding",
+                     t_label="label")
     ex = nn.join(docs.withColumnRenamed("doc_id", "tid").withColumnRenamed("text", "ex_text"), "tid") \
         .select("qid", F.col("rank").alias("position"), "ex_text", F.col("tlabel").alias("ex_label"))
-    qs = B.emb(spark, sf).select(F.col("vec_id").alias("qid")) \
+    qs = e.select(F.col("vec_id").alias("qid")) \
         .join(docs.select(F.col("doc_id").alias("qid"), F.col("text").alias("q_text")), "qid")
     return PR.few_shot_prompts(ex, qs, PR.SENTIMENT_PROMPT)
 
@@ -78,7 +81,8 @@ def few_shot_prompt_q(spark, sf):
 
 _block = ("'## Example ' || CAST(n AS VARCHAR) || chr(10) || 'Text: ' || ex_text || chr(10) || 'Label: ' "
           "|| CAST(ex_label AS VARCHAR) || chr(10) || chr(10)")
-query("few_shot_prompt", f"""WITH {PAIRS},
+query("few_shot_prompt", f"""WITH {EMB_V.replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")},
+s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, b.label AS tlabel, list_dot_product(a.v, b.v) AS score FROM e a, e b),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS rk FROM s),
 ex AS (SELECT r.qid, r.rk AS n, d.text AS ex_text, r.tlabel AS ex_label FROM r JOIN documents d ON d.doc_id = r.tid WHERE r.rk <= {K}),
 sh AS (SELECT qid, {q(PR.EXAMPLES_HEADER)} || string_agg({_block}, '' ORDER BY n) AS shots FROM ex GROUP BY qid),
