@@ -1 +1,87 @@
-"""Registered queries."""
+"""Registered join, language-id and Spark ML queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import langid as LID
+from ..operators import metrics as M
+from ..session import read_table
+from . import bindings as B
+from .q_metrics import r6
+from .registry import query
+
+
+# D1 ------------------------------------------------------------------------
+def _translations(spark, sf):
+    d = read_table(spark, sf, "documents").where(F.col("lang") != "es")
+    return d.select(F.col("doc_id").alias(" id"),
+                    F.when(F.col("doc_id") % 7 == 0, F.lit(None).cast("string"))
+                    .otherwise(F.concat(F.lit("[tr] "), "text")).alias("text "),
+                    (F.col("n_chars") % 2).cast("int").alias(" label "),
+                    F.lit(False).alias("is_cm "))
+
+
+def merge_translations_q(spark, sf):
+    a = B.ann(spark, sf)
+    base = a.select("id", "text", F.col("sentiment_label").alias("label"), (F.col("n_chars") % 2 == 0).alias("is_cm"))
+    m = J.merge_translations(base, _translations(spark, sf))
+    return m.select("id", F.md5("text").alias("text_md5"), "label", "is_cm")
+
+
+query("merge_translations", f"""WITH {B.ANN_CTE},
+base AS (SELECT id, text, sentiment_label AS label, n_chars % 2 = 0 AS is_cm FROM ann),
+tr AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '[tr] ' || text END AS text,
+              CAST(n_chars % 2 AS INTEGER) AS label, FALSE AS is_cm FROM documents WHERE lang <> 'es')
+SELECT b.id, md5(CASE WHEN b.is_cm AND t.id IS NOT NULL THEN t.text ELSE b.text END) AS text_md5,
+       CASE WHEN b.is_cm AND t.id IS NOT NULL THEN t.label ELSE b.label END AS label,
+       CASE WHEN b.is_cm AND t.id IS NOT NULL THEN t.is_cm ELSE b.is_cm END AS is_cm
+FROM base b LEFT JOIN tr t ON b.id = t.id""")(merge_translations_q)
+
+
+# D2 ------------------------------------------------------------------------
+def join_by_position_q(spark, sf):
+    data = B.ann(spark, sf).select("id", F.col("sentiment_label").alias("label"))
+    preds = B.preds(spark, sf, ("m1",)).where(F.col("task") == "Sentiment") \
+        .select(F.col("id").alias("pid"), "prediction")
+    j = J.join_by_position(data, preds, "id", "pid")
+    return j.select("id", "label", "prediction")
+
+
+query("join_by_position", f"""WITH {B.preds_cte(('m1',))},
+d AS (SELECT id, sentiment_label AS label, row_number() OVER (ORDER BY id) AS pos FROM ann),
+p AS (SELECT prediction, row_number() OVER (ORDER BY id) AS pos FROM preds WHERE task = 'Sentiment')
+SELECT d.id, d.label, p.prediction FROM d JOIN p ON d.pos = p.pos""")(join_by_position_q)
+
+
+# J6 ------------------------------------------------------------------------
+def language_probability_q(spark, sf):
+    d = read_table(spark, sf, "documents")
+    model, langs = LID.train_nb(d, "text", "lang")
+    s = LID.language_scores(d, "doc_id", "text", model, langs)
+    best = s.groupBy("doc_id").agg(F.max_by("lang", F.struct("score", "lang")).alias("pred_lang"),
+                                   F.max(F.when(F.col("lang") == "en", F.col("prob"))).alias("p_en"))
+    return best.select("doc_id", "pred_lang", F.round("p_en", 4).alias("p_en"))
+
+
+query("language_probability", """WITH pt AS (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS t FROM documents),
+g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM pt),
+counts AS (SELECT lang, gram, count(*) AS c FROM g GROUP BY ALL),
+v AS (SELECT count(DISTINCT gram) AS V FROM counts),
+tot AS (SELECT lang, sum(c) AS N FROM counts GROUP BY lang),
+nd AS (SELECT lang, count(*) AS nd FROM documents GROUP BY lang),
+langs AS (SELECT tot.lang, ln(CAST(nd.nd AS DOUBLE) / (SELECT sum(nd) FROM nd)) AS prior,
+                 -ln(tot.N + v.V) AS unseen, tot.N, v.V FROM tot JOIN nd ON tot.lang = nd.lang, v),
+model AS (SELECT c.gram, c.lang, ln(c.c + 1) - ln(l.N + l.V) AS logp FROM counts c JOIN langs l ON c.lang = l.lang),
+dg AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL),
+total AS (SELECT doc_id, sum(k) AS G FROM dg GROUP BY doc_id),
+matched AS (SELECT dg.doc_id, m.lang, sum(dg.k * (m.logp - l.unseen)) AS m FROM dg JOIN model m ON dg.gram = m.gram
+            JOIN langs l ON l.lang = m.lang GROUP BY ALL),
+s AS (SELECT t.doc_id, l.lang, l.prior + t.G * l.unseen + coalesce(mt.m, 0.0) AS score
+      FROM total t CROSS JOIN langs l LEFT JOIN matched mt ON mt.doc_id = t.doc_id AND mt.lang = l.lang),
+z AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM s),
+p AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS prob,
+             row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rk FROM z)
+SELECT doc_id, max(CASE WHEN rk = 1 THEN lang END) AS pred_lang,
+       round(max(CASE WHEN lang = 'en' THEN prob END), 4) AS p_en FROM p GROUP BY doc_id""")(language_probability_q)
