@@ -85,3 +85,117 @@ p AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS prob,
              row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rk FROM z)
 SELECT doc_id, max(CASE WHEN rk = 1 THEN lang END) AS pred_lang,
        round(max(CASE WHEN lang = 'en' THEN prob END), 4) AS p_en FROM p GROUP BY doc_id""")(language_probability_q)
+
+
+# Trained models, rows-checked ----------
+def _task_splits(spark, sf, task="Sentiment"):
+    from .q_dataset import splits
+    return splits(spark, sf).where(F.col("task") == task)
+
+
+def train_text_classifier_q(spark, sf):
+    from ..operators import ml as ML
+    s = _task_splits(spark, sf)
+    model = ML.train_text_classifier(s.where(F.col("split") == "train"), "lr", max_iter=30)
+    p = ML.predict(model, s.where(F.col("split") != "train"), "tfidf-lr", ["id", "variety", "label"])
+    return M.macro_prf(p, ["model", "variety"]).select("model", "variety", r6("f1_score"), "n")
+
+
+query("train_text_classifier")(train_text_classifier_q)
+
+
+def cross_variety_matrix_q(spark, sf):
+    """Train one model per variety, score every held-out row, F1 matrix."""
+    from ..operators import ml as ML
+    s = _task_splits(spark, sf).cache()
+    tests = s.where(F.col("split") != "train")
+    scored = None
+    for v in [r[0] for r in s.select("variety").distinct().orderBy("variety").collect()]:
+        tr = s.where((F.col("split") == "train") & (F.col("variety") == v))
+        if tr.select("label").distinct().count() < 2:
+            continue
+        m = ML.train_text_classifier(tr, "lr", max_iter=20, num_features=1 << 16)
+        p = ML.predict(m, tests, v, ["id", "variety", "label"])
+        scored = p if scored is None else scored.unionByName(p)
+    f1 = M.macro_prf(scored, ["model", "variety"])
+    return M.pivot_mean(f1.withColumnRenamed("model", "trained"), "trained", "variety", "f1_score",
+                        ["de", "en", "es", "fr"], digits=3)
+
+
+query("cross_variety_matrix")(cross_variety_matrix_q)
+
+
+def cross_domain_matrix_q(spark, sf):
+    from ..operators import ml as ML
+    s = _task_splits(spark, sf)
+    tests = s.where(F.col("split") != "train")
+    parts = []
+    for d in ("Google", "Reddit"):
+        m = ML.train_text_classifier(s.where((F.col("split") == "train") & (F.col("domain") == d)),
+                                     "lr", max_iter=20, num_features=1 << 16)
+        parts.append(ML.predict(m, tests, d, ["id", "variety", "domain", "label"]))
+    scored = parts[0].unionByName(parts[1]).withColumnRenamed("model", "train_domain")
+    f1 = M.macro_prf(scored, ["variety", "train_domain", "domain"])
+    pair = F.concat("train_domain", F.lit("->"), "domain")
+    return M.pivot_mean(f1.withColumn("pair", pair), "variety", "pair", "f1_score",
+                        ["Google->Google", "Google->Reddit", "Reddit->Google", "Reddit->Reddit"], 3)
+
+
+query("cross_domain_matrix")(cross_domain_matrix_q)
+
+
+def variety_identification_q(spark, sf):
+    """Inner circle (en, fr) = 0 vs outer (de, es) = 1; mean probability of
+    the own class by (variety, domain)."""
+    from ..operators import ml as ML
+    a = B.ann(spark, sf).withColumn("label", F.col("variety").isin("de", "es").cast("int"))
+    from ..operators import split as SP
+    s = SP.stratified_split3(a, ["domain"], "label", "id")
+    m = ML.train_text_classifier(s.where(F.col("split") == "train"), "lr", max_iter=20)
+    p = ML.predict(m, s.where(F.col("split") != "train"), "variety-lr", ["id", "variety", "domain", "label"])
+    own = F.element_at("probability", F.col("label") + 1)
+    return p.groupBy("variety", "domain").agg(F.round(F.avg(own), 6).alias("mean_own_prob"),
+                                              F.count("*").alias("n"))
+
+
+query("variety_identification")(variety_identification_q)
+
+
+def param_search_q(spark, sf):
+    from ..operators import ml as ML
+    s = _task_splits(spark, sf).where(F.col("split") == "train")
+    tvs = ML.param_search(s, regs=(0.0, 0.1))
+    rows = [(float(pm[list(pm)[0]]), float(v)) for pm, v in zip(tvs.getEstimatorParamMaps(), tvs.validationMetrics)]
+    return spark.createDataFrame(rows, "reg_param double, validation_f1 double")
+
+
+query("param_search")(param_search_q)
+
+
+def embed_text_q(spark, sf):
+    from ..operators import ml as ML
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    e = ML.embed_text(d)
+    return e.select("doc_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6)
+                    .alias("norm_sq"))
+
+
+query("embed_text")(embed_text_q)
+
+
+def _length_model():
+    import numpy as np
+
+    def run(texts):
+        return (texts.fillna("").str.len().to_numpy() > 2000).astype(np.int32)
+    return lambda s: __import__("pandas").Series(run(s))
+
+
+def batch_infer_q(spark, sf):
+    from ..operators import ml as ML
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    out = ML.batch_infer(d, "text", _length_model, "length-stub", "1")
+    return out.select("doc_id", "prediction", "model", "model_version")
+
+
+query("batch_infer")(batch_infer_q)

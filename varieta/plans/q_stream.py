@@ -1 +1,65 @@
-"""Registered queries."""
+"""Registered streaming queries; each drains the landed
+table as a stream and is compared with the same computation in batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import codemix as CM
+from ..functions import text as T
+from ..functions.patterns import HINGLISH_SEEDS
+from ..functions.patterns import sql_str as q
+from ..streaming import stream as ST
+from . import sqltext as S
+from .registry import query
+
+
+def _glob(sf: str, name: str) -> str:
+    """File stream sources watch a directory or glob, not a single file."""
+    return f"{sf}/{name}*.parquet"
+
+
+def stream_ingest_q(spark, sf):
+    ev = ST.read_stream(spark, _glob(sf, "events"), ST.EVENT_SCHEMA)
+    out = ST.run_available(ST.ingest(ev), "ingest",
+                           transform_batch=lambda b: b.select("event_id", "event_type", "k",
+                                                              F.array_join("errors", ",").alias("errors")))
+    return out
+
+
+query("stream_ingest", """SELECT DISTINCT ON (event_id) event_id, event_type,
+  coalesce(json_extract_string(props, '$.k'), 'unknown') AS k,
+  array_to_string(list_filter([CASE WHEN NOT coalesce(value BETWEEN 0.0 AND 1000.0, FALSE) THEN 'value_range' END,
+    CASE WHEN NOT coalesce(event_type IS NOT NULL, FALSE) THEN 'type_present' END], lambda e: e IS NOT NULL), ',') AS errors
+FROM events ORDER BY event_id, ts""")(stream_ingest_q)
+
+
+def stream_tag_q(spark, sf):
+    docs = ST.read_stream(spark, _glob(sf, "documents"),
+                          "doc_id long, text string, lang string, source string, n_chars long")
+    cleaned = T.clean_text(docs.select("doc_id", "text"), "text")
+    tagged = cleaned.select("doc_id", F.md5("text").alias("clean_md5"),
+                            F.size(F.filter(CM.detector_tokens(F.col("text")), lambda t: CM.seed_member(t)))
+                            .cast("long").alias("n_seed"))
+    return ST.run_available(tagged, "tag")
+
+
+_seeds = ", ".join(q(s) for s in HINGLISH_SEEDS)
+_c = S.clean_text("text")
+_el = S.eligible_tokens(S.tokenize_words(S.normalize_ws(S.remove_urls("c", " "))))
+query("stream_tag", f"""WITH c AS (SELECT doc_id, {_c} AS c FROM documents)
+SELECT doc_id, md5(c) AS clean_md5, CAST(len(list_filter({_el}, lambda t: t IN ({_seeds}))) AS BIGINT) AS n_seed
+FROM c""")(stream_tag_q)
+
+
+def stream_label_rate_q(spark, sf):
+    ev = ST.read_stream(spark, _glob(sf, "events"), ST.EVENT_SCHEMA)
+    rates = ST.windowed_rates(ev)
+    return ST.run_available(rates, "rates", mode="complete", transform_batch=lambda b: b.select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+        F.col("n").cast("long").alias("n"), F.round("mean_value", 6).alias("mean_value")))
+
+
+query("stream_label_rate", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+  CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value
+FROM events WHERE ts IS NOT NULL GROUP BY ALL""")(stream_label_rate_q)
