@@ -23,26 +23,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import eligible_tokens, normalize_ws, remove_urls, tokenize_words
+from .text import eligible_tokens, remove_urls, tokenize_words
 
 
 def detector_tokens(text) -> Column:
-    """C1(" ") -> C10 -> C11 -> C12: lower-cased tokens of length >= 4."""
-    cleaned = normalize_ws(remove_urls(text, " "))
-    return eligible_tokens(tokenize_words(cleaned), P.MIN_ELIGIBLE_LEN)
+    """C1(" ") -> C10 -> C11 -> C12: lower-cased tokens of length >= 4.
+
+    C10 (collapse whitespace, strip) is skipped: tokens never contain
+    whitespace, so it cannot change the token list — one regex pass less."""
+    return eligible_tokens(tokenize_words(remove_urls(text, " ")), P.MIN_ELIGIBLE_LEN)
 
 
 # M5 -----------------------------------------------------------------------
 def zipf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word -> count, zipf = log10(count per 10^9 tokens) over ``docs``.
-    Counting is a map-side combined aggregate; the total is a one-row
-    aggregate attached by broadcast."""
+
+    Counting is a map-side combined aggregate.  The vocabulary counts are
+    materialised once (reliable checkpoint in ``spark.checkpoint.dir``) so
+    the corpus total — a scalar subquery — reads that small table instead
+    of tokenising the corpus a second time."""
+    from ..session import cut_lineage
     words = docs.select(F.explode(F.transform(tokenize_words(F.col(text_col)), lambda t: F.lower(t)))
                         .alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("count"))
-    total = counts.agg(F.sum("count").alias("_total")).withColumn("_one", F.lit(1))
-    j = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-    return j.select("word", "count", F.log10(F.col("count") * 1e9 / F.col("_total")).alias("zipf"))
+    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("count")))
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.select("word", "count", F.log10(F.col("count") * 1e9 / total).alias("zipf"))
 
 
 def common_words(zipf: DataFrame, threshold: float = P.ZIPF_COMMON) -> DataFrame:
@@ -64,9 +69,12 @@ def romanised_cue(token: Column) -> Column:
     return token.rlike(P.ROMANISED_CUE)
 
 
-def token_flags(docs: DataFrame, id_col: str, text_col: str, common: DataFrame) -> DataFrame:
-    """M1 + D5: one row per (id, pos, token, flag) for eligible tokens."""
-    toks = docs.select(id_col, F.posexplode(detector_tokens(F.col(text_col))).alias("pos", "token"))
+def token_flags(docs: DataFrame, id_col: str, text_col: str, common: DataFrame,
+                outer: bool = False) -> DataFrame:
+    """M1 + D5: one row per (id, pos, token, flag) for eligible tokens
+    (``outer`` keeps one null-token row for a document without any)."""
+    gen = F.posexplode_outer if outer else F.posexplode
+    toks = docs.select(id_col, gen(detector_tokens(F.col(text_col))).alias("pos", "token"))
     lookup = F.broadcast(common.select(F.col("word").alias("token"), F.lit(True).alias("_common")))
     j = toks.join(lookup, "token", "left")
     flag = seed_member(F.col("token")) | (romanised_cue(F.col("token")) &
@@ -93,24 +101,22 @@ def code_mix_score(ratio: Column, switches: Column) -> Column:
 def detect_code_mixing(docs: DataFrame, common: DataFrame, id_col: str = "id",
                        text_col: str = "text") -> DataFrame:
     """Per document: cm_ratio, cm_switches, cm_score, is_cm (no eligible
-    tokens -> 0, 0, 0.0, false).  Returns (id, cm struct…) — join it on the
-    id where the text is not needed, so the text itself never shuffles."""
-    f = token_flags(docs, id_col, text_col, common)
+    tokens -> 0, 0, 0.0, false).  Returns (id, cm columns) — join it on the
+    id where the text is not needed, so the text itself never shuffles.
+    ``posexplode_outer`` keeps token-less documents in the same fold, so no
+    second pass over the documents is needed."""
+    f = token_flags(docs, id_col, text_col, common, outer=True)
+    item = F.when(F.col("token").isNotNull(), F.struct("pos", "flag"))
     per_doc = (f.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("pos", "flag"))).alias("_fl"))
+               .agg(F.array_sort(F.collect_list(item)).alias("_fl"))
                .select(id_col, F.transform("_fl", lambda s: s["flag"]).alias("_f")))
     n = F.size("_f")
     flagged = F.size(F.filter("_f", lambda x: x))
-    scored = per_doc.select(id_col, (flagged / n).alias("cm_ratio"),
-                            switch_count(F.col("_f")).alias("cm_switches"))
-    scored = scored.withColumn("cm_score", code_mix_score(F.col("cm_ratio"), F.col("cm_switches")))
-    ids = docs.select(id_col)
-    out = ids.join(scored, id_col, "left")
-    return out.select(id_col,
-                      F.coalesce("cm_ratio", F.lit(0.0)).alias("cm_ratio"),
-                      F.coalesce("cm_switches", F.lit(0)).alias("cm_switches"),
-                      F.coalesce("cm_score", F.lit(0.0)).alias("cm_score"),
-                      (F.coalesce("cm_score", F.lit(0.0)) >= P.CM_THRESHOLD).alias("is_cm"))
+    ratio = F.when(n > 0, flagged / n).otherwise(F.lit(0.0))
+    switches = switch_count(F.col("_f"))
+    score = F.when(n > 0, code_mix_score(ratio, switches)).otherwise(F.lit(0.0))
+    return per_doc.select(id_col, ratio.alias("cm_ratio"), switches.alias("cm_switches"),
+                          score.alias("cm_score"), (score >= P.CM_THRESHOLD).alias("is_cm"))
 
 
 # F3 ---------------------------------------------------------------------------

@@ -23,13 +23,13 @@ def _safe_div(num: Column, den: Column) -> Column:
 
 def attach(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFrame:
     """Join a per-group aggregate back onto rows.  With no grouping the
-    aggregate is exactly one row (a proven bound), so it is broadcast on a
-    constant key instead of planning a cartesian product."""
+    aggregate is exactly one row: it becomes a scalar subquery (evaluated
+    once and shipped as a value), not a join."""
     g = list(group)
     if g:
         return df.join(per_group, g)
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(per_group.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    row = per_group.select(F.struct(*per_group.columns).alias("_s")).scalar()
+    return df.select("*", *[row[c].alias(c) for c in per_group.columns])
 
 
 def class_counts(df: DataFrame, group: Sequence[str] = (), label: str = "label",
