@@ -14,7 +14,7 @@ pre-aggregated on the mapper (a document's grams come from one row).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import attach
@@ -34,8 +34,11 @@ def doc_grams(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFr
 
 def train_nb(docs: DataFrame, text_col: str, label_col: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Returns (model: gram, lang, logp) and (langs: lang, prior, unseen)."""
+    from ..session import cut_lineage
     g = docs.select(F.col(label_col).alias("lang"), F.explode(char_ngrams(F.col(text_col), n)).alias("gram"))
-    counts = g.groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    # the trained counts are read three times (vocabulary, totals, model):
+    # materialise them once instead of re-scanning the corpus
+    counts = cut_lineage(g.groupBy("lang", "gram").agg(F.count("*").alias("c")))
     vocab = counts.select("gram").distinct().agg(F.count("*").alias("V"))
     tot = counts.groupBy("lang").agg(F.sum("c").alias("N"))
     ndocs = docs.groupBy(F.col(label_col).alias("lang")).agg(F.count("*").alias("nd"))
@@ -62,7 +65,8 @@ def language_scores(docs: DataFrame, id_col: str, text_col: str, model: DataFram
         id_col, F.col("l.lang").alias("lang"), (F.col("l.prior") + F.col("G") * F.col("l.unseen")).alias("b"))
     s = base.join(matched, [id_col, "lang"], "left").select(
         id_col, "lang", (F.col("b") + F.coalesce("m", F.lit(0.0))).alias("score"))
-    mx = s.groupBy(id_col).agg(F.max("score").alias("mx"))
-    z = s.join(mx, id_col).withColumn("e", F.exp(F.col("score") - F.col("mx")))
-    den = z.groupBy(id_col).agg(F.sum("e").alias("den"))
-    return z.join(den, id_col).select(id_col, "lang", "score", (F.col("e") / F.col("den")).alias("prob"))
+    # normalise inside each document: a window over its L language rows
+    per_doc = Window.partitionBy(id_col)
+    e = F.exp(F.col("score") - F.max("score").over(per_doc))
+    return s.withColumn("_e", e).select(id_col, "lang", "score",
+                                        (F.col("_e") / F.sum("_e").over(per_doc)).alias("prob"))

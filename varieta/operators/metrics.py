@@ -150,14 +150,15 @@ def accuracy(df: DataFrame, group: Sequence[str] = (), label: str = "label",
 
 def confusion_matrix(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> DataFrame:
     """E7 (long form): every (a, b) cell over the sorted label union,
-    zero cells included.  The spine is built from per-group label sets,
-    which are tiny; cells are a map-side combined ``groupBy().count()``."""
+    zero cells included.  The per-group label set (bounded by the number of
+    classes) is collected once and crossed with itself by two generators on
+    that one row — no join; cells are a map-side combined count."""
     g = list(group)
     cells = df.groupBy(*g, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
     labels = (df.select(*g, F.explode(F.array(F.col(a), F.col(b))).alias("v"))
-              .where(F.col("v").isNotNull()).distinct())
-    spine = labels.withColumnRenamed("v", "a").join(labels.withColumnRenamed("v", "b"), g) \
-        if g else labels.withColumnRenamed("v", "a").join(labels.withColumnRenamed("v", "b"))
+              .where(F.col("v").isNotNull())
+              .groupBy(*g).agg(F.array_sort(F.collect_set("v")).alias("_ls")))
+    spine = labels.select(*g, F.explode("_ls").alias("a"), "_ls").select(*g, "a", F.explode("_ls").alias("b"))
     return spine.join(cells, g + ["a", "b"], "left") \
         .select(*g, "a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
