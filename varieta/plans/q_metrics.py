@@ -465,3 +465,34 @@ SELECT id, 'Sentiment' AS task, CAST(sentiment_label AS BIGINT) AS label, n_char
 UNION ALL
 SELECT id, 'Sarcasm', CAST(sarcasm_label AS BIGINT), CAST(NULL AS BIGINT), variety FROM ann"""
 query("stack_frames", STACK_FRAMES_SQL)(stack_frames_q)
+
+
+# G3 ------------------------------------------------------------------------
+# --- fixed values: presentation order of varieties
+VARIETY_ORDER = ("en", "fr", "de", "es")
+
+
+def fixed_order_q(spark, sf):
+    lb = M.macro_prf(B.preds(spark, sf).where(F.col("model") == "m1"), ["task", "variety"])
+    order = F.array_position(F.array(*[F.lit(v) for v in VARIETY_ORDER]), F.col("variety"))
+    return lb.select("task", "variety", order.cast("long").alias("order_idx"), r6("f1_score")) \
+        .orderBy("task", "order_idx")
+
+
+_ord_case = " ".join(f"WHEN '{v}' THEN {i + 1}" for i, v in enumerate(VARIETY_ORDER))
+query("fixed_order", f"""WITH {B.preds_cte(('m1',))},
+pc AS ({per_class_sql(class_counts_sql('preds', ['task', 'variety']))})
+SELECT task, variety, CAST(CASE variety {_ord_case} ELSE 0 END AS BIGINT) AS order_idx,
+       round(avg(f1), 6) AS f1_score FROM pc GROUP BY task, variety ORDER BY task, order_idx""")(fixed_order_q)
+
+
+# M9 ------------------------------------------------------------------------
+def round_n_q(spark, sf):
+    d = read_table(spark, sf, "documents")
+    x = F.col("n_chars") / 8.0
+    return d.select("doc_id", F.round(x, 0).alias("half_up"), F.bround(x, 0).alias("half_even"),
+                    F.round(x, 2).alias("half_up_2"), F.bround(x, 2).alias("half_even_2"))
+
+
+query("round_n", """SELECT doc_id, round(n_chars / 8.0, 0) AS half_up, round_even(n_chars / 8.0, 0) AS half_even,
+  round(n_chars / 8.0, 2) AS half_up_2, round_even(n_chars / 8.0, 2) AS half_even_2 FROM documents""")(round_n_q)

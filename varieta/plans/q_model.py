@@ -65,7 +65,7 @@ def language_probability_q(spark, sf):
     return best.select("doc_id", "pred_lang", F.round("p_en", 4).alias("p_en"))
 
 
-query("language_probability", """WITH pt AS (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS t FROM documents),
+LP_CTE = """pt AS (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS t FROM documents),
 g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM pt),
 counts AS (SELECT lang, gram, count(*) AS c FROM g GROUP BY ALL),
 v AS (SELECT count(DISTINCT gram) AS V FROM counts),
@@ -82,9 +82,10 @@ s AS (SELECT t.doc_id, l.lang, l.prior + t.G * l.unseen + coalesce(mt.m, 0.0) AS
       FROM total t CROSS JOIN langs l LEFT JOIN matched mt ON mt.doc_id = t.doc_id AND mt.lang = l.lang),
 z AS (SELECT *, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e FROM s),
 p AS (SELECT *, e / sum(e) OVER (PARTITION BY doc_id) AS prob,
-             row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rk FROM z)
-SELECT doc_id, max(CASE WHEN rk = 1 THEN lang END) AS pred_lang,
-       round(max(CASE WHEN lang = 'en' THEN prob END), 4) AS p_en FROM p GROUP BY doc_id""")(language_probability_q)
+             row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) AS rk FROM z)"""
+LP_FINAL = """SELECT doc_id, max(CASE WHEN rk = 1 THEN lang END) AS pred_lang,
+       round(max(CASE WHEN lang = 'en' THEN prob END), 4) AS p_en FROM p GROUP BY doc_id"""
+query("language_probability", f"WITH {LP_CTE} {LP_FINAL}")(language_probability_q)
 
 
 # Trained models, rows-checked ----------
@@ -199,3 +200,30 @@ def batch_infer_q(spark, sf):
 
 
 query("batch_infer")(batch_infer_q)
+
+
+# E5 with J6: dataset card including mean English probability ---------------
+def dataset_card_langprob_q(spark, sf):
+    from .q_dataset import STRATA, splits
+    d = read_table(spark, sf, "documents")
+    model, langs = LID.train_nb(d, "text", "lang")
+    p_en = LID.language_scores(d, "doc_id", "text", model, langs).where(F.col("lang") == "en") \
+        .select(F.col("doc_id").alias("id"), F.col("prob").alias("p_en"))
+    s = splits(spark, sf).join(p_en, "id")
+    return s.groupBy(*STRATA).agg(
+        *[F.count_if(F.col("split") == x).cast("long").alias(f"n_{x}") for x in ("train", "valid", "test")],
+        F.round(F.avg("label"), 6).alias("positive_rate"), F.round(F.avg("p_en"), 4).alias("mean_p_en"))
+
+
+def _card_sql():
+    from .q_dataset import SPLIT_CTE
+    return f"""WITH {SPLIT_CTE}, {LP_CTE},
+pe AS (SELECT doc_id AS id, prob AS p_en FROM p WHERE lang = 'en')
+SELECT task, variety, domain,
+  CAST(count_if(split = 'train') AS BIGINT) AS n_train, CAST(count_if(split = 'valid') AS BIGINT) AS n_valid,
+  CAST(count_if(split = 'test') AS BIGINT) AS n_test, round(avg(label), 6) AS positive_rate,
+  round(avg(pe.p_en), 4) AS mean_p_en
+FROM splits JOIN pe ON splits.id = pe.id GROUP BY task, variety, domain"""
+
+
+query("dataset_card_langprob", _card_sql())(dataset_card_langprob_q)
