@@ -69,7 +69,7 @@ FROM events WHERE ts IS NOT NULL GROUP BY ALL""")(stream_label_rate_q)
 def stream_sessions_q(spark, sf):
     ev = ST.read_stream(spark, _glob(sf, "events"), ST.EVENT_SCHEMA).where(F.col("ts").isNotNull())
     sess = ST.sessions(ev, "30 minutes")
-    return ST.run_available(sess, "sessions", mode="update", transform_batch=lambda b: b.select(
+    return ST.run_available(sess, "sessions", mode="complete", transform_batch=lambda b: b.select(
         "user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
         F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), F.col("n").cast("long").alias("n")))
 
