@@ -300,25 +300,28 @@ def sliced_f1(df: DataFrame, slice_col: str, group: Sequence[str] = (),
               label: str = "label", prediction: str = "prediction",
               slices: Sequence = (False, True)) -> DataFrame:
     """Positive-class F1 and count for each slice value (0 for an empty
-    slice) and the drop F1(first) - F1(second)."""
+    slice) and the drop F1(first) - F1(second).
+
+    One grouped aggregate: the slice values are a fixed short list, so each
+    group gets conditional counts per slice in a single pass (map-side
+    partial aggregation), and the per-slice rows come from exploding a fixed
+    array — no spine join and no self-join for the drop, so the input is
+    read once."""
     g = list(group)
-    y, p = F.col(label), F.col(prediction)
-    agg = df.groupBy(*g, F.col(slice_col).alias("slice")).agg(
-        F.count("*").alias("n"),
-        F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"),
-        F.sum((p == 1).cast("long")).alias("pp"), F.sum((y == 1).cast("long")).alias("ap"))
-    keys = df.select(*g).distinct() if g else None
-    spine_vals = F.explode(F.array(*[F.lit(s) for s in slices])).alias("slice")
-    spine = keys.select(*g, spine_vals) if g else df.sparkSession.range(1).select(spine_vals)
-    m = spine.join(agg, g + ["slice"], "left").select(
-        *g, "slice", F.coalesce("n", F.lit(0)).alias("n"),
-        _safe_div(2 * F.coalesce("tp", F.lit(0)),
-                  F.coalesce("pp", F.lit(0)) + F.coalesce("ap", F.lit(0))).alias("f1"))
-    first, second = slices[0], slices[1]
-    drop = m.groupBy(*g).agg(
-        (F.max(F.when(F.col("slice") == F.lit(first), F.col("f1")))
-         - F.max(F.when(F.col("slice") == F.lit(second), F.col("f1")))).alias("drop"))
-    return attach(m, drop, g)
+    y, p, s = F.col(label), F.col(prediction), F.col(slice_col)
+    aggs = []
+    for i, v in enumerate(slices):
+        inside = s == F.lit(v)
+        aggs += [F.count_if(inside).alias(f"_n{i}"),
+                 F.count_if(inside & (y == 1) & (p == 1)).alias(f"_tp{i}"),
+                 F.count_if(inside & (p == 1)).alias(f"_pp{i}"),
+                 F.count_if(inside & (y == 1)).alias(f"_ap{i}")]
+    a = df.groupBy(*g).agg(*aggs)
+    f1 = [_safe_div(2 * F.col(f"_tp{i}"), F.col(f"_pp{i}") + F.col(f"_ap{i}")) for i in range(len(slices))]
+    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("slice"), F.col(f"_n{i}").alias("n"), f1[i].alias("f1"))
+                               for i, v in enumerate(slices)]))
+    return (a.select(*g, rows.alias("_r"), (f1[0] - f1[1]).alias("drop"))
+            .select(*g, "_r.slice", "_r.n", "_r.f1", "drop"))
 
 
 def log_softmax_at(logits: Column, index: Column) -> Column:

@@ -282,8 +282,10 @@ SELECT model, task, variety, domain, round(avg(precision), 6) AS precision, roun
 def latest_file_q(spark, sf):
     p = B.preds(spark, sf).select("id", "model", "prediction")
     root = FS.scratch_path(spark, "predictions")
-    p.where(F.col("model") == "m1").coalesce(1).write.option("header", True).csv(root + "/run1")
-    p.where(F.col("model") == "m2").coalesce(1).write.option("header", True).csv(root + "/run2")
+    # Each run lands as many part files as its tasks write; the newest file
+    # by modification time belongs to the run written last.
+    p.where(F.col("model") == "m1").write.option("header", True).csv(root + "/run1")
+    p.where(F.col("model") == "m2").write.option("header", True).csv(root + "/run2")
     latest = FS.latest_file(spark, root + "/run*/*.csv")
     return latest.select(F.regexp_extract("path", r"/(run\d)/", 1).alias("run"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small), coalesces small shuffle
@@ -74,5 +74,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+# Text tables and their unique row keys: the key used to spread a short
+# scan, so equal keys land together and later aggregates on them reuse it.
+TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Give CPU-heavy text work (regex chains, tokenising) every task slot.
+
+    A scan with at least twice as many input splits as the cluster has task
+    slots is returned as it is: at cluster scale the files already spread the
+    work and no shuffle is added.  A short scan (one small file, one row
+    group: a single task would do all the work) is hash-partitioned on its
+    unique ``keys`` into ``spark.sql.shuffle.partitions`` parts.  Unique keys
+    cannot be skewed, and a later aggregate or join on them reuses the
+    partitioning instead of shuffling again."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * slots:
+        return df
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, slots), *keys)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(table_path(sf_dir, name))
+    keys = TEXT_KEYS.get(name)
+    return spread(df, keys) if keys else df
