@@ -71,6 +71,27 @@ def test_exact_quantiles_match_numpy(spark):
             assert math.isclose(got[g][nm], float(np.quantile(xs, p)), abs_tol=1e-9)
 
 
+def test_exact_quantiles_bucketed_hot_group_and_global(spark):
+    """A hot group (most rows), a null group key, heavy ties and continuous
+    values; few buckets so ranks cross many range boundaries."""
+    rnd = random.Random(11)
+    rows = [("hot", float(rnd.choice([1, 2, 2, 2, 3]) if i % 4 else rnd.random() * 100)) for i in range(900)]
+    rows += [(None, float(rnd.randint(0, 9))) for _ in range(57)] + [("one", 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+    names = ("p0", "p25", "p50", "p75", "p90", "p100")
+    for b in (3, 16, 256):
+        got = {r["g"]: r for r in M.exact_quantiles(df, "x", probs, ["g"], names, buckets=b).collect()}
+        for g in ("hot", None, "one"):
+            xs = np.array([v for k, v in rows if k == g])
+            for p, nm in zip(probs, names):
+                assert math.isclose(got[g][nm], float(np.quantile(xs, p)), abs_tol=1e-9), (b, g, p)
+        whole = M.exact_quantiles(df, "x", probs, (), names, buckets=b).first()
+        xs = np.array([v for _, v in rows])
+        for p, nm in zip(probs, names):
+            assert math.isclose(whole[nm], float(np.quantile(xs, p)), abs_tol=1e-9), (b, p)
+
+
 def test_split_invariants(spark):
     rows = [(i, "t", "v" if i % 3 else "w", "d", i % 2) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, task string, variety string, domain string, label int")

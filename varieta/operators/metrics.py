@@ -346,22 +346,49 @@ def share_of_total(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame
     return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(*group)))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` where null keys match (group keys may be
+    null); keeps the left columns plus the right non-key columns."""
+    cond = [left[k].eqNullSafe(right[k]) for k in keys]
+    extra = [right[c] for c in right.columns if c not in keys]
+    return left.join(right, cond).select(left["*"], *extra)
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    group: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles without holding a group in memory.
-
-    Values are first reduced to (group, value, count) with a map-side
-    combined aggregate, so the per-group state is bounded by the number of
-    distinct values (e.g. lengths, scores on a grid), not by rows.  The rank
-    of each value comes from a running sum over that reduced table and the
-    value at rank r is ``min(v) where cum > r``."""
+                    group: Sequence[str] = (), names: Sequence[str] | None = None,
+                    buckets: int = 256) -> DataFrame:
+    """Exact linear-interpolated quantiles without holding a group in one task.
+
+    1. Values are reduced to (group, value, count) with a map-side combined
+       aggregate.
+    2. Each group's value line is cut into ``buckets`` ordered ranges at
+       approximate quantiles (a bounded sketch per group); any cut points
+       give the same exact answer, the sketch only balances the ranges.
+    3. Counts per (group, range) and their running offsets are a table of at
+       most ``buckets`` rows per group.
+    4. The running count inside (group, range) is a window whose partitions
+       hold about 1/``buckets`` of a group's distinct values, so a group with
+       a third of all rows is still spread over many tasks.
+
+    The value at rank r is then ``min(v) where cum > r``."""
     g = list(group)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    x = F.col(col).cast("double")
-    vc = df.where(x.isNotNull()).groupBy(*g, x.alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*g).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("cum", F.sum("c").over(w)) \
-        .withColumn("n", F.sum("c").over(Window.partitionBy(*g)))
+    vals = df.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
+    vc = vals.groupBy(*g, "v").agg(F.count("*").alias("c"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = vals.groupBy(*g).agg(F.percentile_approx("v", cuts, 10000).alias("_cuts"))
+    if g:
+        vb = _join_null_safe(vc, bounds, g)
+    else:
+        vb = attach(vc, bounds, g)
+    vb = vb.withColumn("_b", F.size(F.filter("_cuts", lambda b: b < F.col("v")))).drop("_cuts")
+    per_b = vb.groupBy(*g, "_b").agg(F.sum("c").alias("_bc"))
+    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per_b.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+               .withColumn("n", F.sum("_bc").over(Window.partitionBy(*g))).drop("_bc"))
+    vb = _join_null_safe(vb, offsets, g + ["_b"])
+    inside = Window.partitionBy(*g, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    vc = vb.withColumn("cum", F.col("_off") + F.sum("c").over(inside))
     aggs = []
     for p, nm in zip(probs, names):
         pos = F.lit(float(p)) * (F.col("n") - 1)
