@@ -342,8 +342,13 @@ def weighted_ce_loss(df: DataFrame, logits: str, label: str, weight: str,
 
 
 def share_of_total(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
-    """F4 with a window (use when ``group`` has many keys)."""
-    return df.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(*group)))
+    """``value`` / its group total.  The total is a map-side combined sum
+    joined back on the group keys (null keys match; a scalar when there is
+    no group), so no group is gathered into one window partition."""
+    g = list(group)
+    tot = df.groupBy(*g).agg(F.sum(value).alias("_tot"))
+    j = _join_null_safe(df, tot, g) if g else attach(df, tot, g)
+    return j.withColumn("share", F.col(value) / F.col("_tot")).drop("_tot")
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

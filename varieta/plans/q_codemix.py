@@ -36,8 +36,10 @@ ZIPF_CTE = f"""zw AS (SELECT lower(unnest(regexp_extract_all(text, {q(P.TOKEN)})
 zc AS (SELECT word, count(*) AS cnt FROM zw GROUP BY word),
 zipf AS (SELECT word, cnt, log10(cnt * 1e9 / (SELECT sum(cnt) FROM zc)) AS zipf FROM zc),
 common AS (SELECT word FROM zipf WHERE zipf >= {P.ZIPF_COMMON})"""
-TOK_CTE = ZIPF_CTE + f""",
-el AS (SELECT doc_id AS id, {_ELIG} AS elig FROM documents),
+def detector_cte(src: str = "documents") -> str:
+    """The detector (M1-M4) as CTEs over a relation ``src(doc_id, text)``;
+    needs ``common`` from ZIPF_CTE and defines ``cm``."""
+    return f"""el AS (SELECT doc_id AS id, {_ELIG} AS elig FROM {src}),
 tok AS (SELECT id, unnest(elig) AS token, unnest(range(0, len(elig))) AS pos FROM el),
 flags AS (SELECT t.id, t.pos, t.token, c.word IS NOT NULL AS is_common,
                  (t.token IN ({_SEEDS}) OR (regexp_matches(t.token, {q(P.ROMANISED_CUE)}) AND c.word IS NULL)) AS flag
@@ -48,7 +50,10 @@ per AS (SELECT id, CAST(sum(CASE WHEN flag THEN 1 ELSE 0 END) AS DOUBLE) / count
 cm AS (SELECT d.doc_id AS id, coalesce(p.ratio, 0.0) AS cm_ratio, CAST(coalesce(p.switches, 0) AS INTEGER) AS cm_switches,
               CASE WHEN p.id IS NULL THEN 0.0 ELSE {P.RATIO_WEIGHT} * least(p.ratio / {P.RATIO_SCALE}, 1.0)
                        + {P.SWITCH_WEIGHT} * least(p.switches / {P.SWITCH_SCALE}, 1.0) END AS cm_score
-       FROM documents d LEFT JOIN per p ON d.doc_id = p.id)"""
+       FROM {src} d LEFT JOIN per p ON d.doc_id = p.id)"""
+
+
+TOK_CTE = ZIPF_CTE + ",\n" + detector_cte("documents")
 
 
 # M5 ------------------------------------------------------------------------
@@ -193,10 +198,42 @@ FROM sp LEFT JOIN c ON sp.split = c.split AND sp.bin = c.bin"""
 query("cm_histogram", _cm_hist_sql())(cm_histogram_q)
 
 
-# Flagship (rows-checked; its parts are oracle-checked one by one) ----------
+# Flagship ------------------------------------------------------------------
 def flagship_q(spark, sf):
     from .flagship import flagship
     return flagship(spark, sf)
 
 
-query("flagship")(flagship_q)
+def _flagship_sql() -> str:
+    from .sqlgen import class_counts_sql, per_class_sql
+    models = ", ".join(f"({q(m)})" for m in B.MODELS)
+    group = ["model", "split", "variety", "is_cm"]
+    return f"""WITH {B.noisy_cte()},
+cleaned AS (SELECT doc_id, {S.clean_text('text')} AS text FROM noisy),
+{ZIPF_CTE},
+{detector_cte('cleaned')},
+ann AS (SELECT n.doc_id AS id, n.lang AS variety,
+               CASE WHEN CAST(substr(n.source, 4) AS INT) % 2 = 0 THEN 'Google' ELSE 'Reddit' END AS domain,
+               CASE WHEN n.n_chars < 200 THEN 2 ELSE l.quality END AS sentiment_label, l.toxic AS sarcasm_label
+        FROM noisy n JOIN labels l ON n.doc_id = l.doc_id),
+tasks AS (SELECT id, variety, domain, 'Sentiment' AS task, sentiment_label AS label FROM ann WHERE sentiment_label <> 2
+          UNION ALL
+          SELECT id, variety, domain, 'Sarcasm' AS task, sarcasm_label AS label FROM ann WHERE sarcasm_label <> 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY task, variety, domain, label
+                                   ORDER BY md5(CAST(id AS VARCHAR) || '7'), id) - 1 AS rk,
+             count(*) OVER (PARTITION BY task, variety, domain, label) AS n FROM tasks),
+sp AS (SELECT id, task, variety, domain, label,
+         CASE WHEN rk < floor(n * 0.7) THEN 'train'
+              WHEN rk < floor(n * 0.7) + floor((n - floor(n * 0.7)) * 0.3) THEN 'valid'
+              ELSE 'test' END AS split
+       FROM r WHERE id IS NOT NULL AND variety IS NOT NULL AND domain IS NOT NULL),
+models(model) AS (VALUES {models}),
+preds AS (SELECT s.*, m.model, {B.flip_sql('s.id', 's.label', 'm.model')} AS prediction FROM sp s, models m),
+scored AS (SELECT p.*, c.cm_score >= {P.CM_THRESHOLD} AS is_cm FROM preds p JOIN cm c ON p.id = c.id),
+pc AS ({per_class_sql(class_counts_sql('scored', group))})
+SELECT model, split, variety, is_cm, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(f1), 6) AS f1_score, CAST(sum(support) AS BIGINT) AS n
+FROM pc GROUP BY model, split, variety, is_cm"""
+
+
+query("flagship", _flagship_sql())(flagship_q)
