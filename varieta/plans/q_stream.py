@@ -55,30 +55,37 @@ FROM c""")(stream_tag_q)
 def stream_label_rate_q(spark, sf):
     ev = ST.read_stream(spark, _glob(sf, "events"), ST.EVENT_SCHEMA)
     rates = ST.windowed_rates(ev)
-    return ST.run_available(rates, "rates", mode="complete", transform_batch=lambda b: b.select(
+    return ST.run_available(rates, "rates", mode="append", transform_batch=lambda b: b.select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
         F.col("n").cast("long").alias("n"), F.round("mean_value", 6).alias("mean_value")))
 
 
-query("stream_label_rate", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+# Append mode emits a window once the watermark (latest event time, kept to
+# the millisecond, minus the 1 hour delay) has passed its end; later windows
+# stay in the checkpointed state until newer data closes them.
+WATERMARK_SQL = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+query("stream_label_rate", f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
   CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value
-FROM events WHERE ts IS NOT NULL GROUP BY ALL""")(stream_label_rate_q)
+FROM events WHERE ts IS NOT NULL GROUP BY date_trunc('hour', ts), event_type
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {WATERMARK_SQL}""")(stream_label_rate_q)
 
 
 # L3 (sessions) ---------------------------------------------------------------
 def stream_sessions_q(spark, sf):
     ev = ST.read_stream(spark, _glob(sf, "events"), ST.EVENT_SCHEMA).where(F.col("ts").isNotNull())
     sess = ST.sessions(ev, "30 minutes")
-    return ST.run_available(sess, "sessions", mode="complete", transform_batch=lambda b: b.select(
+    return ST.run_available(sess, "sessions", mode="append", transform_batch=lambda b: b.select(
         "user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
         F.date_format("s.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"), F.col("n").cast("long").alias("n")))
 
 
-query("stream_sessions", """WITH e AS (SELECT user_id, ts,
+query("stream_sessions", f"""WITH e AS (SELECT user_id, ts,
     CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
            OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new
   FROM events WHERE ts IS NOT NULL),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
        strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, CAST(count(*) AS BIGINT) AS n
-FROM s GROUP BY user_id, sid""")(stream_sessions_q)
+FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTE <= {WATERMARK_SQL}""")(stream_sessions_q)

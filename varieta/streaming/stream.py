@@ -46,14 +46,17 @@ def ingest(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 def windowed_rates(events: DataFrame, key: str = "event_type", window: str = "1 hour",
                    watermark: str = "1 hour") -> DataFrame:
     """L3: events and mean value per tumbling window and key; rows later than
-    the watermark are dropped by the engine."""
+    the watermark are dropped by the engine.  Run it in append mode: a window
+    is written once the watermark passes its end and its state is dropped, so
+    the state holds only the windows still open."""
     return (events.withWatermark("ts", watermark)
             .groupBy(F.window("ts", window).alias("w"), key)
             .agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
-    """L3 (session form): activity sessions per user."""
+    """L3 (session form): activity sessions per user (append mode: a session
+    is written and evicted once the watermark passes its end)."""
     return (events.withWatermark("ts", watermark)
             .groupBy(F.session_window("ts", gap).alias("s"), "user_id")
             .agg(F.count("*").alias("n")))
