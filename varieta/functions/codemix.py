@@ -43,8 +43,10 @@ def zipf_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the corpus total — a scalar subquery — reads that small table instead
     of tokenising the corpus a second time."""
     from ..session import cut_lineage
-    words = docs.select(F.explode(F.transform(tokenize_words(F.col(text_col)), lambda t: F.lower(t)))
-                        .alias("word"))
+    # explode_outer + null filter: a plain explode lets the optimizer infer
+    # size(tokens) > 0 and push it to the scan, tokenising every text twice
+    words = docs.select(F.explode_outer(F.transform(tokenize_words(F.col(text_col)), lambda t: F.lower(t)))
+                        .alias("word")).where(F.col("word").isNotNull())
     counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("count")))
     total = counts.agg(F.sum("count")).scalar()
     return counts.select("word", "count", F.log10(F.col("count") * 1e9 / total).alias("zipf"))
@@ -73,8 +75,11 @@ def token_flags(docs: DataFrame, id_col: str, text_col: str, common: DataFrame,
                 outer: bool = False) -> DataFrame:
     """M1 + D5: one row per (id, pos, token, flag) for eligible tokens
     (``outer`` keeps one null-token row for a document without any)."""
-    gen = F.posexplode_outer if outer else F.posexplode
-    toks = docs.select(id_col, gen(detector_tokens(F.col(text_col))).alias("pos", "token"))
+    # always the outer generator: a plain posexplode lets the optimizer infer
+    # size(tokens) > 0 and push it to the scan (tokenising every text twice)
+    toks = docs.select(id_col, F.posexplode_outer(detector_tokens(F.col(text_col))).alias("pos", "token"))
+    if not outer:
+        toks = toks.where(F.col("token").isNotNull())
     lookup = F.broadcast(common.select(F.col("word").alias("token"), F.lit(True).alias("_common")))
     j = toks.join(lookup, "token", "left")
     flag = seed_member(F.col("token")) | (romanised_cue(F.col("token")) &

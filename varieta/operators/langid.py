@@ -14,7 +14,7 @@ pre-aggregated on the mapper (a document's grams come from one row).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import attach
@@ -27,15 +27,25 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+def explode_grams(text: Column, n: int = 3) -> Column:
+    """Grams as rows.  ``explode_outer`` (with the null row of a gram-less
+    text dropped by the caller): a plain ``explode`` makes the optimizer
+    infer ``size(grams) > 0`` and push it to the scan, which runs the regex
+    over the whole text twice — the first time below any repartition."""
+    return F.explode_outer(char_ngrams(text, n))
+
+
 def doc_grams(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
-    return (docs.select(id_col, F.explode(char_ngrams(F.col(text_col), n)).alias("gram"))
+    return (docs.select(id_col, explode_grams(F.col(text_col), n).alias("gram"))
+            .where(F.col("gram").isNotNull())
             .groupBy(id_col, "gram").agg(F.count("*").alias("k")))
 
 
 def train_nb(docs: DataFrame, text_col: str, label_col: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Returns (model: gram, lang, logp) and (langs: lang, prior, unseen)."""
     from ..session import cut_lineage
-    g = docs.select(F.col(label_col).alias("lang"), F.explode(char_ngrams(F.col(text_col), n)).alias("gram"))
+    g = (docs.select(F.col(label_col).alias("lang"), explode_grams(F.col(text_col), n).alias("gram"))
+         .where(F.col("gram").isNotNull()))
     # the trained counts are read three times (vocabulary, totals, model):
     # materialise them once instead of re-scanning the corpus
     counts = cut_lineage(g.groupBy("lang", "gram").agg(F.count("*").alias("c")))
@@ -53,20 +63,42 @@ def train_nb(docs: DataFrame, text_col: str, label_col: str, n: int = 3) -> tupl
 
 def language_scores(docs: DataFrame, id_col: str, text_col: str, model: DataFrame,
                     langs: DataFrame, n: int = 3) -> DataFrame:
-    """(id, lang, score) for every language, then normalised to probabilities."""
-    dg = doc_grams(docs, id_col, text_col, n)
-    total = dg.groupBy(id_col).agg(F.sum("k").alias("G"))
-    matched = dg.join(model, "gram").join(F.broadcast(langs), "lang").groupBy(id_col, "lang").agg(
-        F.sum(F.col("k") * (F.col("logp") - F.col("unseen"))).alias("m"))
-    # one row per language, as a scalar subquery: each document is scored
-    # against the (bounded) label set by exploding that small array
-    lang_arr = langs.agg(F.collect_list(F.struct("lang", "prior", "unseen")).alias("a")).scalar()
-    base = total.select(id_col, "G", F.explode(lang_arr).alias("l")).select(
-        id_col, F.col("l.lang").alias("lang"), (F.col("l.prior") + F.col("G") * F.col("l.unseen")).alias("b"))
-    s = base.join(matched, [id_col, "lang"], "left").select(
-        id_col, "lang", (F.col("b") + F.coalesce("m", F.lit(0.0))).alias("score"))
-    # normalise inside each document: a window over its L language rows
-    per_doc = Window.partitionBy(id_col)
-    e = F.exp(F.col("score") - F.max("score").over(per_doc))
-    return s.withColumn("_e", e).select(id_col, "lang", "score",
-                                        (F.col("_e") / F.sum("_e").over(per_doc)).alias("prob"))
+    """(id, lang, score, prob) for every language, probabilities normalised
+    per document.
+
+    One pass over the text: each document's grams are counted with its total
+    gram count G carried along (a document's grams come from one row, so the
+    count is combined on the mapper), left-joined to the model pivoted to one
+    row per gram (AQE broadcasts it when it measures it small, else the
+    hot-gram skew split applies), and folded back per document with one sum
+    per language.  The language set is the label set (one row per
+    language, like a StringIndexer's labels) and is read to the driver once,
+    so scores and probabilities are array expressions on the document's row
+    — no (document, language) shuffle and no window."""
+    rows = sorted(langs.select("lang", "prior", "unseen").collect(), key=lambda r: r["lang"])
+    grams = char_ngrams(F.col(text_col), n)
+    dg = (docs.select(id_col, grams.alias("_g"))
+          .select(id_col, F.size("_g").alias("G"), F.explode_outer("_g").alias("gram"))
+          .where(F.col("gram").isNotNull())  # outer + filter: see explode_grams
+          .groupBy(id_col, "gram").agg(F.count("*").alias("k"), F.max("G").alias("G")))
+    # the model one row per gram: weight log p(g|l) - u(l) per language (0
+    # where the gram is unseen in l), so the join emits one row per
+    # (document, gram) whatever the number of languages
+    wide = model.groupBy("gram").agg(*[
+        F.max(F.when(F.col("lang") == F.lit(r["lang"]), F.col("logp") - F.lit(r["unseen"]))).alias(f"_w{i}")
+        for i, r in enumerate(rows)])
+    j = dg.join(wide, "gram", "left")
+    per_lang = [F.sum(F.col("k") * F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_m{i}")
+                for i in range(len(rows))]
+    per_doc = j.groupBy(id_col).agg(F.max("G").alias("G"), *per_lang)
+    scores = F.array(*[(F.lit(r["prior"]) + F.col("G") * F.lit(r["unseen"])
+                        + F.coalesce(F.col(f"_m{i}"), F.lit(0.0))) for i, r in enumerate(rows)])
+    names = F.array(*[F.lit(r["lang"]) for r in rows])
+    s = per_doc.select(id_col, names.alias("_l"), scores.alias("_s"))
+    top = F.array_max("_s")
+    e = F.transform("_s", lambda v: F.exp(v - top))
+    s = s.select(id_col, "_l", "_s", e.alias("_e"))
+    total = F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v)
+    out = F.arrays_zip(F.col("_l").alias("lang"), F.col("_s").alias("score"),
+                       F.transform("_e", lambda v: v / total).alias("prob"))
+    return s.select(id_col, F.explode(out).alias("_r")).select(id_col, "_r.lang", "_r.score", "_r.prob")
