@@ -175,8 +175,12 @@ FROM m JOIN d ON m.model = d.model AND m.task = d.task""")(sliced_f1_q)
 # E17 per split on the detector score ---------------------------------------
 def cm_histogram_q(spark, sf):
     from .q_dataset import splits
+    from ..session import cut_lineage
     s = splits(spark, sf).select("id", "split").distinct()
-    j = s.join(detected(spark, sf).select(F.col("doc_id").alias("id"), "cm_score"), "id")
+    # the histogram reads its input twice (range, then bins): materialise the
+    # small (id, split, score) table once in the shared checkpoint folder
+    # instead of running the detector over every text twice
+    j = cut_lineage(s.join(detected(spark, sf).select(F.col("doc_id").alias("id"), "cm_score"), "id"))
     return M.histogram(j, "cm_score", ["split"], bins=30).select(
         "split", F.col("bin").cast("long").alias("bin"), F.col("n").cast("long").alias("n"))
 
