@@ -82,16 +82,19 @@ TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": (
 def spread(df: DataFrame, keys) -> DataFrame:
     """Give CPU-heavy text work (regex chains, tokenising) every task slot.
 
-    A scan with at least twice as many input splits as the cluster has task
-    slots is returned as it is: at cluster scale the files already spread the
-    work and no shuffle is added.  A short scan (one small file, one row
-    group: a single task would do all the work) is hash-partitioned on its
-    unique ``keys`` into ``spark.sql.shuffle.partitions`` parts.  Unique keys
-    cannot be skewed, and a later aggregate or join on them reuses the
-    partitioning instead of shuffling again."""
+    A scan planned with at least one input split per task slot is returned as
+    it is: Spark sizes splits so that a multi-file table already fills the
+    cluster, and no shuffle is added.  A short scan (one small file: a single
+    row group is read by one task whatever the split count) is
+    hash-partitioned on its unique ``keys`` into
+    ``spark.sql.shuffle.partitions`` parts.  Unique keys cannot be skewed,
+    and a later aggregate or join on them reuses the partitioning instead of
+    shuffling again.  (A scan with enough splits but far fewer row groups
+    than slots is not detected; files written by Spark have row groups of
+    about the split size.)"""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
+    if df.rdd.getNumPartitions() >= slots:
         return df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(n, slots), *keys)
