@@ -128,6 +128,10 @@ def dot(a, b) -> Column:
 
 
 def l2_normalize(v) -> Column:
+    """M7 unit vector (a zero vector is returned unchanged).  The norm is
+    computed once per row and paired with each element (``array_repeat``):
+    an outer expression inside a lambda is re-evaluated per element, which
+    would make the normalisation quadratic in the dimension."""
     v = F.col(v) if isinstance(v, str) else v
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
+    norm = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))
+    return F.zip_with(v, norm, lambda x, nm: F.when(nm == 0, x.cast("double")).otherwise(x.cast("double") / nm))

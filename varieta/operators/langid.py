@@ -95,10 +95,12 @@ def language_scores(docs: DataFrame, id_col: str, text_col: str, model: DataFram
                         + F.coalesce(F.col(f"_m{i}"), F.lit(0.0))) for i, r in enumerate(rows)])
     names = F.array(*[F.lit(r["lang"]) for r in rows])
     s = per_doc.select(id_col, names.alias("_l"), scores.alias("_s"))
-    top = F.array_max("_s")
-    e = F.transform("_s", lambda v: F.exp(v - top))
+    # per-row constants are paired with the elements (array_repeat) rather
+    # than referenced inside a lambda, where they would be recomputed per element
+    top = F.array_repeat(F.array_max("_s"), F.size("_s"))
+    e = F.zip_with("_s", top, lambda v, m: F.exp(v - m))
     s = s.select(id_col, "_l", "_s", e.alias("_e"))
-    total = F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v)
+    total = F.array_repeat(F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v), F.size("_e"))
     out = F.arrays_zip(F.col("_l").alias("lang"), F.col("_s").alias("score"),
-                       F.transform("_e", lambda v: v / total).alias("prob"))
+                       F.zip_with("_e", total, lambda v, t: v / t).alias("prob"))
     return s.select(id_col, F.explode(out).alias("_r")).select(id_col, "_r.lang", "_r.score", "_r.prob")
