@@ -328,7 +328,8 @@ def log_softmax_at(logits: Column, index: Column) -> Column:
     """``log softmax(z)[index]`` (0-based index), computed stably."""
     z = F.transform(logits, lambda v: v.cast("double"))
     mx = F.array_max(z)
-    lse = mx + F.log(F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - mx)))
+    shifted = F.zip_with(z, F.array_repeat(mx, F.size(z)), lambda v, m: F.exp(v - m))
+    lse = mx + F.log(F.aggregate(shifted, F.lit(0.0), lambda acc, v: acc + v))
     return F.element_at(z, index + 1) - lse
 
 

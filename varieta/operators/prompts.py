@@ -87,10 +87,12 @@ def parse_run_key(col) -> Column:
 def softmax(logits) -> Column:
     """M6: probabilities from logits (stable: subtract the max)."""
     z = F.transform(F.col(logits) if isinstance(logits, str) else logits, lambda v: v.cast("double"))
-    mx = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp(v - mx))
-    s = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / s)
+    # row constants (max, sum) paired with the elements, not re-evaluated
+    # inside a lambda once per element
+    mx = F.array_repeat(F.array_max(z), F.size(z))
+    e = F.zip_with(z, mx, lambda v, m: F.exp(v - m))
+    s = F.array_repeat(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), F.size(z))
+    return F.zip_with(e, s, lambda v, t: v / t)
 
 
 def argmax(arr) -> Column:
