@@ -68,7 +68,16 @@ def seed_member(token: Column, seeds=P.HINGLISH_SEEDS) -> Column:
 
 
 def romanised_cue(token: Column) -> Column:
-    return token.rlike(P.ROMANISED_CUE)
+    """``ROMANISED_CUE`` (a marker anywhere, or an ending at the end) as byte
+    searches on the token instead of a regex per token.  Same result: tokens
+    hold letters, apostrophes and hyphens only, so ``$`` can only match at
+    the very end."""
+    hit = F.lit(False)
+    for m in P.ROMANISED_MARKERS:
+        hit = hit | token.contains(m)
+    for e in P.ROMANISED_ENDINGS:
+        hit = hit | token.endswith(e)
+    return hit
 
 
 def token_flags(docs: DataFrame, id_col: str, text_col: str, common: DataFrame,
