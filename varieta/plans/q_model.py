@@ -108,7 +108,10 @@ query("train_text_classifier")(train_text_classifier_q)
 def cross_variety_matrix_q(spark, sf):
     """Train one model per variety, score every held-out row, F1 matrix."""
     from ..operators import ml as ML
-    s = _task_splits(spark, sf).cache()
+    from ..session import cut_lineage
+    # read once per variety model and once for scoring: materialised in the
+    # shared checkpoint folder (survives executor loss, holds no cache open)
+    s = cut_lineage(_task_splits(spark, sf))
     tests = s.where(F.col("split") != "train")
     scored = None
     for v in [r[0] for r in s.select("variety").distinct().orderBy("variety").collect()]:
