@@ -69,3 +69,15 @@ def test_language_scores_normalise_per_document(spark):
         assert math.isclose(sum(r["prob"] for r in rows), 1.0, abs_tol=1e-12)
     best = {d: max(rows, key=lambda r: r["score"])["lang"] for d, rows in by_doc.items()}
     assert best[100] == "en" and best[101] == "fr"
+
+
+def test_romanised_cue_equals_the_fixed_pattern(spark):
+    import random
+    from varieta.functions import patterns as P
+    rnd = random.Random(5)
+    alphabet = "abcdeghijklnosuwy'-"
+    tokens = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    tokens += list(P.ROMANISED_MARKERS) + list(P.ROMANISED_ENDINGS) + ["wala-x", "xna", "nax", ""]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    diff = df.where(F.col("t").rlike(P.ROMANISED_CUE) != CM.romanised_cue(F.col("t")))
+    assert diff.count() == 0
