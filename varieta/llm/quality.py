@@ -12,7 +12,7 @@ from .common import stage
 
 DIMS = 1 << 18
 SAMPLE_ROWS = 6_000
-LABELLERS = ("symbols", "capitals", "separators", "repeats", "variety", "endings")
+LABELLERS = ("marks", "capitals", "signs", "repeats", "plain", "fresh", "variety")
 _CLOSERS = b".,;:?!"
 _KINDS = 32
 
@@ -65,34 +65,45 @@ def describe(words: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarr
 
 
 def votes(stats: np.ndarray, n: int) -> list[int]:
-    """One vote per labeller: 1 clean, 2 junk, 0 no opinion."""
-    def vote(value, clean, junk):
-        return 1 if value <= clean else 2 if value >= junk else 0
+    """One vote per labeller: 1 clean, 2 junk, 0 no opinion.
+
+    The first four know one kind of junk each; ``plain`` (words in ordinary
+    case and ending) overlaps with three of them, ``fresh`` (plain words that
+    differ from the word before) with all, ``variety`` with repeats."""
     if not n:
-        return [0, 0, 0, 0, 0, 2]
+        return [0, 0, 0, 0, 2, 2, 0]
+
+    def above(share, junk):
+        return 2 if share >= junk else 0
+
+    def between(share, junk, clean):
+        return 2 if share <= junk else 1 if share >= clean else 0
     marks = stats[[2, 6, 10, 14, 18]].sum()          # words with repeated marks at the end
     capitals = stats[12:16].sum()
-    bare = stats[0:4].sum()                          # signs without a letter
-    ends = stats[[1, 5, 9, 13, 17]].sum()            # words with one closing mark
-    return [vote(marks, 0.03, 0.15), vote(capitals, 0.05, 0.3), vote(bare, 0.03, 0.15), vote(stats[20], 0.03, 0.15),
-            0 if n < 30 else vote(1 - stats[22], 0.5, 0.65), 0 if n < 30 else vote(abs(ends - 0.12), 0.15, 0.35)]
+    signs = stats[0:4].sum()                         # no letter or digit
+    plain = stats[[4, 5, 8, 9, 16, 17, 19]].sum()    # lower, title or mixed (digits), at most one mark
+    return [above(marks, 0.2), above(capitals, 0.3), above(signs, 0.2), above(stats[20], 0.2),
+            between(plain, 0.6, 0.85), between(plain - stats[20], 0.55, 0.8), above(1 - stats[22], 0.65) if n >= 30 else 0]
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of votes, each with
     its number of documents): the share of clean documents and, per class,
-    labeller and vote, its probability.  Starts from the vote majority."""
+    labeller and vote, its probability.  Starts from the vote majority; some
+    votes in advance (2 % of the documents) say that a labeller errs less
+    often than not, which fixes which class is which."""
     k = patterns.shape[1] if patterns.size else len(LABELLERS)
     table = np.full((2, k, 3), 1 / 3)
     if not counts.sum():
         return 0.5, table
     clean = ((patterns == 1).sum(1) + 1.0) / ((patterns > 0).sum(1) + 2.0)
-    post = np.where((patterns == 2).sum(1) > 0, np.minimum(clean, 0.4), 0.95)
-    prior = 0.5
+    post = np.where((patterns == 2).sum(1) > (patterns == 1).sum(1), np.minimum(clean, 0.3), np.maximum(clean, 0.7))
+    prior, advance = 0.5, 0.02 * counts.sum() + 1
     for _ in range(rounds):
         for c, w in ((1, post * counts), (0, (1 - post) * counts)):
             for j in range(k):
-                table[c, j] = (np.bincount(patterns[:, j], w, 3) + 0.5) / (w.sum() + 1.5)
+                right = np.array([0.5, 0.4, 0.1] if c else [0.5, 0.1, 0.4])
+                table[c, j] = (np.bincount(patterns[:, j], w, 3) + advance * right) / (w.sum() + advance)
         prior = float((post @ counts + 1) / (counts.sum() + 2))
         new = posterior(patterns, prior, table)
         if np.abs(new - post).max() < 1e-9:
@@ -175,7 +186,7 @@ class QualityModel:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Labeller statistics come from all documents, as counts of at most 3^6
+    """Labeller statistics come from all documents, as counts of at most 3^7
     vote patterns; the scorer is fitted on about ``sample_rows`` documents
     with the lowest hashes, labelled by the posterior."""
     docs = docs.select("doc_id", "text")
@@ -214,7 +225,7 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
     posterior (label model), n_votes, keep (quality >= threshold).  With
     ``keep_columns`` the rows of ``docs`` that are kept, with their columns.
 
-    Null and empty texts get the vote junk of one labeller and are scored like
+    Null and empty texts get the vote junk of two labellers and are scored like
     any other; null and repeated doc_ids and repeated rows keep their rows; an
     empty table gives no rows; extra columns are ignored (or kept)."""
     bc = docs.sparkSession.sparkContext.broadcast(train(docs, sample_rows))

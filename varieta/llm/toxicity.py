@@ -46,13 +46,16 @@ def _words(text) -> list[bytes]:
 
 
 def choose_features(df_toxic: np.ndarray, df_clean: np.ndarray, n_toxic: int, n_clean: int, least: int = 3,
-                    z: float = 4.0) -> np.ndarray:
-    """Features whose document share among toxic rows is significantly above
-    that among clean rows (log-odds z-score)."""
-    a, b = df_toxic + 0.1, df_clean + 0.1
-    odds = np.log(a / (n_toxic + 0.2 - a + 1e-9)) - np.log(b / (n_clean + 0.2 - b + 1e-9))
-    score = odds / np.sqrt(1 / a + 1 / np.maximum(b, 0.5))
-    return np.flatnonzero((df_toxic >= least) & (score >= z * 0.5) & (a / (n_toxic + 0.2) > 8 * b / (n_clean + 0.2)))
+                    chance: float = 1e-4) -> np.ndarray:
+    """Features in so many toxic documents, of all that hold them, as would
+    happen with less than ``chance`` if toxic documents were like others
+    (Chernoff bound of the binomial tail)."""
+    total = df_toxic + df_clean
+    share = max(n_toxic, 1) / max(n_toxic + n_clean, 2)
+    got = np.divide(df_toxic, total, out=np.zeros(len(total)), where=total > 0)
+    far = np.clip(got, 1e-12, 1 - 1e-12)
+    divergence = far * np.log(far / share) + (1 - far) * np.log((1 - far) / max(1 - share, 1e-12))
+    return np.flatnonzero((df_toxic >= least) & (got > share) & (total * divergence > -np.log(chance)))
 
 
 def _sigmoid(x):
@@ -128,8 +131,10 @@ def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on about ``sample_rows`` labelled documents with the lowest hashes.
 
-    A first pass over the sample chooses the features; the labels grade a
-    document by its indicative words; then the regression is fitted."""
+    A first pass over the sample chooses the features: a toxic document counts
+    once for each new word before the feature, so a passage that many toxic
+    documents share counts once.  The labels grade a document by its
+    indicative words; then the regression is fitted."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n = lab.count()
     share = min(1.0, sample_rows / max(1, n))
@@ -139,21 +144,36 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from xxhash import xxh32_intdigest
         table = _Features()
         for b in batches:
             out = []
-            for t in b.column(1):
-                f = set()
-                for w in set(_words(t.as_py())):
-                    f.update(table[w])
-                out.append(np.fromiter(f, np.int32, len(f)).tobytes())
+            for toxic, t in zip(b.column(0).to_pylist(), b.column(1)):
+                words = _words(t.as_py())
+                if toxic > 0:
+                    f = {x << 32 | xxh32_intdigest(before) for before, w in zip([b"", *words], words) for x in table[w]}
+                else:
+                    f = {x for w in set(words) for x in table[w]}
+                out.append(np.fromiter(f, np.int64, len(f)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(out, pa.binary())], ["toxic", "features"])
     n_doc = np.zeros(2, np.int64)
     df = np.zeros((2, BUCKETS), np.int64)
+    seen = np.empty(0, np.int64)
+    fresh: list = []
+
+    def settle():
+        return np.unique(np.concatenate([seen, *fresh]))
     for r in sample.mapInArrow(count, "toxic int, features binary").toLocalIterator():
-        k = int(r.toxic > 0)
-        n_doc[k] += 1
-        df[k, np.frombuffer(r.features, np.int32)] += 1
+        f = np.frombuffer(r.features, np.int64)
+        if r.toxic > 0:
+            n_doc[1] += 1
+            fresh.append(f)
+            if len(fresh) >= 500:
+                seen, fresh = settle(), []
+        else:
+            n_doc[0] += 1
+            df[0, f] += 1
+    df[1] = np.bincount(settle() >> 32, minlength=BUCKETS)
     chosen = choose_features(df[1].astype(float), df[0].astype(float), n_doc[1], n_doc[0])
     model = OrdinalModel({int(f): i for i, f in enumerate(chosen)}, len(chosen))
 
