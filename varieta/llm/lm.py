@@ -15,7 +15,7 @@ from .common import lower_words, stage
 CHUNK_TOKENS = 1_000_000
 SHARD_BYTES = 176_000_000
 BITS_PER_ENTRY, PROBES = 8, 4
-LEVEL_BASE = 1.5
+LEVEL_BASE = 1.2
 SMOOTHING = 20.0
 END = b"\n"  # no word holds white space
 PART_BYTES = 32_000_000
@@ -38,15 +38,25 @@ def part_of(word: np.ndarray, parts: int) -> np.ndarray:
     return ((word >> _U(32)) * _U(parts)) >> _U(32)
 
 
+def _thresholds(base: float, top: int = 2**50) -> np.ndarray:
+    """Least count of each level: one by one first, then by the factor ``base``."""
+    out = [1]
+    while out[-1] < top:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * base)))
+    return np.array(out)
+
+
+THRESHOLDS = _thresholds(LEVEL_BASE)
+
+
 def level_of(count: np.ndarray) -> np.ndarray:
-    """Quantised count: 1 + floor(log_base(count))."""
-    return 1 + np.floor(np.log(count) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
+    """Quantised count: the number of thresholds up to it."""
+    return np.searchsorted(THRESHOLDS, count, side="right")
 
 
 def level_count(level: np.ndarray) -> np.ndarray:
-    """Count that a level stands for: the middle of its range; level 0 is 0."""
-    low = LEVEL_BASE ** (level - 1.0)
-    return np.where(level > 0, (low + np.maximum(low, low * LEVEL_BASE - 1)) / 2, 0.0)
+    """Count that a level stands for, never above the true one; level 0 is 0."""
+    return np.where(level > 0, THRESHOLDS[np.minimum(np.maximum(level, 1), len(THRESHOLDS)) - 1], 0).astype(float)
 
 
 def _salt(level: int) -> np.uint64:

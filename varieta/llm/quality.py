@@ -15,6 +15,7 @@ SAMPLE_ROWS = 6_000
 LABELLERS = ("marks", "capitals", "signs", "repeats", "plain", "fresh", "variety")
 _CLOSERS = b".,;:?!"
 _KINDS = 32
+_STATS = np.arange(2 * _KINDS + 1)
 
 
 def word_shape(word: bytes) -> int:
@@ -37,13 +38,13 @@ def word_shape(word: bytes) -> int:
 
 
 class WordTable(dict):
-    """Raw word -> (hashed column, shape); emptied when it grows large."""
+    """Raw word -> hashed column * 32 + shape; emptied when it grows large."""
 
     def __missing__(self, word):
         from xxhash import xxh64_intdigest
         if len(self) > 500_000:
             self.clear()
-        self[word] = v = (xxh64_intdigest(word.lower(), 1) % (DIMS - 4 * _KINDS) + 4 * _KINDS, word_shape(word))
+        self[word] = v = (xxh64_intdigest(word.lower(), 1) % (DIMS - 4 * _KINDS) + 4 * _KINDS) << 5 | word_shape(word)
         return v
 
 
@@ -54,13 +55,14 @@ def describe(words: list[bytes], table: WordTable) -> tuple[np.ndarray, np.ndarr
     stats = np.zeros(_KINDS)
     if not n:
         return np.empty(0, np.int64), stats
-    pairs = np.array([table[w] for w in words])
-    columns = pairs[:, 0]
-    stats[:20] = np.bincount(pairs[:, 1], minlength=20) / n
-    stats[20] = (columns[1:] == columns[:-1]).sum() / n
-    stats[21] = len(np.unique(columns[:200])) / min(n, 200)
-    stats[22] = np.mean([len(np.unique(columns[a:a + 200])) / len(columns[a:a + 200]) for a in range(0, n, 200)])
-    stats[23] = min(1.0, np.log1p(n) / 10)
+    codes = np.fromiter(map(table.__getitem__, words), np.int64, n)
+    columns = codes >> 5
+    stats[:20] = np.bincount(codes & 31, minlength=20) / n
+    stats[20] = np.count_nonzero(columns[1:] == columns[:-1]) / n
+    # distinct words within stretches of 200, as a share of all words
+    spots = np.sort(np.arange(n) // 200 * DIMS + columns)
+    stats[21] = (1 + np.count_nonzero(spots[1:] != spots[:-1])) / n
+    stats[22] = min(1.0, np.log1p(n) / 10)
     return columns, stats
 
 
@@ -83,7 +85,7 @@ def votes(stats: np.ndarray, n: int) -> list[int]:
     signs = stats[0:4].sum()                         # no letter or digit
     plain = stats[[4, 5, 8, 9, 16, 17, 19]].sum()    # lower, title or mixed (digits), at most one mark
     return [above(marks, 0.2), above(capitals, 0.3), above(signs, 0.2), above(stats[20], 0.2),
-            between(plain, 0.6, 0.85), between(plain - stats[20], 0.55, 0.8), above(1 - stats[22], 0.65) if n >= 30 else 0]
+            between(plain, 0.6, 0.85), between(plain - stats[20], 0.55, 0.8), above(1 - stats[21], 0.65) if n >= 30 else 0]
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
@@ -123,9 +125,9 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
 def sparse_row(columns: np.ndarray, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed columns and values: unit-length word presence, scaled statistics
     and their squares."""
-    u = np.unique(columns)
-    at = np.arange(_KINDS)
-    return (np.concatenate([u, at, at + _KINDS, [2 * _KINDS]]),
+    u = np.sort(columns)
+    u = u[np.flatnonzero(np.diff(u, prepend=-1))]
+    return (np.concatenate([u, _STATS]),
             np.concatenate([np.full(len(u), 1 / np.sqrt(max(1, len(u)))), 3 * stats, 3 * stats * stats, [1.0]]))
 
 
@@ -171,9 +173,8 @@ class QualityModel:
     def __init__(self, prior: float, table: np.ndarray, weights: np.ndarray):
         self.prior, self.table, self.weights = prior, table, weights
 
-    def score(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, texts: list, table: WordTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: scorer's probability of clean, label model's posterior, votes."""
-        table = WordTable()
         z, vs = np.zeros(len(texts)), []
         for k, t in enumerate(texts):
             words = (t or "").encode("utf-8", "surrogatepass").split()
@@ -234,15 +235,17 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
 
         def select(batches):
             import pyarrow as pa
+            words = WordTable()
             for b in batches:
-                q, _, _ = bc.value.score(b.column(at).to_pylist())
+                q, _, _ = bc.value.score(b.column(at).to_pylist(), words)
                 yield b.filter(pa.array(q >= threshold))
         return docs.mapInArrow(select, docs.schema)
 
     def run(batches):
         import pyarrow as pa
+        words = WordTable()
         for b in batches:
-            q, p, n = bc.value.score(b.column(1).to_pylist())
+            q, p, n = bc.value.score(b.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q), pa.array(p), pa.array(n.astype(np.int32)), pa.array(q >= threshold)],
                                              ["doc_id", "quality", "posterior", "n_votes", "keep"])
     doc_type = docs.schema["doc_id"].dataType.simpleString()
