@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_words, stage
 
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 200_000        # scored at a time
+COUNT_TOKENS = 500_000        # combined before they move
 SHARD_BYTES = 176_000_000
 BITS_PER_ENTRY, PROBES = 8, 4
 LEVEL_BASE = 1.2
@@ -120,7 +121,7 @@ def held_out(doc_id) -> bool:
 
 
 def _counts(batches: Iterator, parts: int) -> Iterator:
-    """Sorted distinct n-gram hashes and counts of about CHUNK_TOKENS training
+    """Sorted distinct n-gram hashes and counts of about COUNT_TOKENS training
     tokens, cut in one row per part: counts are combined before they move."""
     import pyarrow as pa
 
@@ -156,7 +157,7 @@ def _counts(batches: Iterator, parts: int) -> Iterator:
                 continue
             texts.append(text)
             size += len(text or "") // 6 + 1
-            if size >= CHUNK_TOKENS:
+            if size >= COUNT_TOKENS:
                 yield flush(texts)
                 texts, size = [], 0
     if texts:
