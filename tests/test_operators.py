@@ -2,6 +2,7 @@
 code-mixing, sources)."""
 
 import math
+import tempfile
 import os
 import random
 
@@ -104,8 +105,8 @@ def test_split_invariants(spark):
     for v in ("v", "w"):
         for lab in (0, 1):
             n = sum(1 for r in rows if r[2] == v and r[4] == lab)
-            ntr = math.floor(n * 0.7)
-            nva = math.floor((n - ntr) * 0.3)
+            ntr = n * 7 // 10
+            nva = (n - ntr) * 3 // 10
             assert sizes[(v, lab, "train")] == ntr
             assert sizes[(v, lab, "valid")] == nva
             assert sizes[(v, lab, "test")] == n - ntr - nva
@@ -122,51 +123,78 @@ def test_knn_matches_brute_force_with_ties(spark):
     labels = [0] * 57 + [1] * 3                           # class 1 smaller than K/2 for K=8
     df = spark.createDataFrame([(i, V[i].tolist(), labels[i]) for i in range(60)],
                                "id long, v array<double>, label int")
-    got = KN.knn_topk(df, df, 5, q_id="id", q_vec="v", t_id="id", t_vec="v", t_blocks=3, q_blocks=2)
+    got = KN.knn_topk(df, df, 5, q_id="id", q_vec="v", t_id="id", t_vec="v", t_rows=20, q_rows=30)
     got = {(r["qid"], r["rank"]): r["tid"] for r in got.collect()}
     S = V @ V.T
     for q in range(60):
         order = sorted(range(60), key=lambda t: (-S[q, t], t))[:5]
         assert [got[(q, k + 1)] for k in range(5)] == order
     con = KN.knn_contrastive(df, df, 8, q_id="id", q_vec="v", t_id="id", t_vec="v", t_label="label",
-                             t_blocks=2, q_blocks=1)
+                             t_rows=30, q_rows=60)
     per = con.groupBy("qid", "tlabel").count().collect()
     assert {(r["tlabel"], r["count"]) for r in per} == {(0, 4), (1, 3)}
     with pytest.raises(ValueError):
         KN.knn_contrastive(df, df, 3, q_id="id", q_vec="v", t_id="id", t_vec="v", t_label="label")
 
 
-def py_detect(text, common):
-    import re
-    text = re.sub(r"https?://\S+|www\.\S+", " ", text)
-    text = re.sub(r"\s+", " ", text).strip()
-    toks = [t.lower() for t in re.findall(r"[A-Za-z]+(?:['-][A-Za-z]+)*", text)]
-    el = [t for t in toks if len(t) >= 4]
-    if not el:
-        return 0.0, 0, 0.0, False
-    from varieta.functions.patterns import HINGLISH_SEEDS, ROMANISED_ENDINGS, ROMANISED_MARKERS
-    flags = [t in HINGLISH_SEEDS or ((any(m in t for m in ROMANISED_MARKERS) or t.endswith(ROMANISED_ENDINGS))
-                                     and t not in common) for t in el]
-    ratio = sum(flags) / len(el)
-    sw = sum(1 for i in range(1, len(flags)) if flags[i] != flags[i - 1])
-    score = 0.7 * min(ratio / 0.30, 1.0) + 0.3 * min(sw / 5.0, 1.0)
-    return ratio, sw, score, score >= 0.30
-
-
-def test_detector_matches_python(spark):
-    texts = ["Nahi bhai, this is time-pass only! yaar kya", "plain english sentence here",
-             "", "abc de", "matlab jaldi abhi chalo yaar dost", "see https://x.y/bhai now bhaiya",
-             "shopping chairs cheese wala"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    common_words = {"shopping", "chairs", "cheese", "sentence"}
-    common = spark.createDataFrame([(w,) for w in common_words], "word string")
+# (text, share of flagged words, changes, score, tagged), worked out by hand:
+# eligible words have four letters or more; seeds count, common words do not.
+DETECTOR_CASES = [("plain english sentence here", 0.0, 0, 0.0, False), ("", 0.0, 0, 0.0, False), ("abc de", 0.0, 0, 0.0, False),
+                  ("shopping chairs cheese", 0.0, 0, 0.0, False), ("matlab yaar", 1.0, 0, 0.7, True),
+                  ("yaar plain yaar plain", 0.5, 3, 0.7 + 0.3 * 3 / 5, True), ("see https://x.y/yaar now", 0.0, 0, 0.0, False)]
+
+
+def test_detector_by_hand(spark):
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(DETECTOR_CASES)], "id long, text string")
+    common = spark.createDataFrame([(w,) for w in ("shopping", "chairs", "cheese", "sentence", "plain", "english", "here")], "word string")
     got = {r["id"]: r for r in CM.detect_code_mixing(docs, common).collect()}
-    for i, t in enumerate(texts):
-        ratio, sw, score, is_cm = py_detect(t, common_words)
-        assert math.isclose(got[i]["cm_ratio"], ratio)
-        assert got[i]["cm_switches"] == sw
-        assert math.isclose(got[i]["cm_score"], score)
-        assert got[i]["is_cm"] == is_cm
+    for i, (text, ratio, changes, score, tagged) in enumerate(DETECTOR_CASES):
+        r = got[i]
+        assert (r["cm_ratio"], r["cm_switches"], r["is_cm"]) == (ratio, changes, tagged), text
+        assert math.isclose(r["cm_score"], score), text
+
+
+def test_split_sizes_are_exact(spark):
+    df = spark.range(90).select("id", F.lit("t").alias("text"), F.lit(1).alias("label"), F.lit("x").alias("task"))
+    sizes = {r["split"]: r["count"] for r in SP.stratified_split3(df, ["task"]).groupBy("split").count().collect()}
+    assert sizes == {"train": 63, "valid": 8, "test": 19}
+    halves = {r["split"]: r["count"] for r in SP.split_half(df.where("id < 7")).groupBy("split").count().collect()}
+    assert halves == {"valid": 3, "test": 4}
+
+
+def test_split_moves_no_text(spark):
+    df = spark.range(50).select("id", F.concat(F.lit("text"), "id").alias("text"), (F.col("id") % 2).alias("label"), F.lit("x").alias("task"))
+    df.write.mode("overwrite").parquet(path := tempfile.mkdtemp(prefix="split-"))
+    plan = SP.stratified_split3(spark.read.parquet(path), ["task"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_knn_of_disjoint_folds(spark):
+    from varieta.plans import q_retrieval as Q
+    got = Q.closest(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r["qid"] % 10 == 0 and r["tid"] % 10 != 0 for r in got)
+
+
+def test_metrics_keep_null_groups(spark):
+    from varieta.operators import metrics as M
+    rows = [(g, a, b, float(i)) for g in (None, "x") for i, (a, b) in enumerate([(0, 0), (0, 1), (1, 1), (1, 1)])]
+    df = spark.createDataFrame(rows, "g string, a int, b int, v double")
+
+    def both(out, *cols):
+        per = {}
+        for r in out.collect():
+            per.setdefault(r["g"], []).append(tuple(r[c] for c in cols))
+        assert sorted(per[None]) == sorted(per["x"]) and len(per) == 2
+        return sorted(per["x"])
+    assert both(M.label_shares(df, "a", ["g"]), "a", "n", "pct") == [(0, 2, 50.0), (1, 2, 50.0)]
+    assert both(M.class_weights(df, "b", ["g"]), "b", "weight") == [(0, 2.0), (1, 4 / 6)]
+    assert both(M.confusion_matrix(df, "a", "b", ["g"]), "a", "b", "n") == [(0, 0, 1), (0, 1, 1), (1, 0, 0), (1, 1, 2)]
+    assert both(M.cohen_kappa(df, "a", "b", ["g"]), "kappa") == [(0.5,)]
+    assert both(M.score_stats(df, "v", ["g"]), "n", "q25", "q50") == [(4, 0.75, 1.5)]
+    assert sum(n for (n,) in both(M.histogram(df, "v", ["g"], 2), "n")) == 4
+    assert both(M.box_stats(df, "v", ["g"]), "med", "n_outliers") == [(1.5, 0)]
+    one = spark.createDataFrame([(2,)] * 3, "b int")
+    assert M.class_weights(one, "b").first()["weight"] == 0.5  # 3 / (2 * 3)
 
 
 def test_common_word_bound():
@@ -184,6 +212,9 @@ def test_read_labeled_csv_fixture(spark, tmp_path):
                  '4,"",0\n5,"N/A",1\n6,"ok",\n7,"éè",0\n', encoding="utf-8")
     got = sorted(tuple(r) for r in FS.read_labeled(spark, str(p)).collect())
     assert got == [(1, "line one\nline two", 1), (2, 'say "hi"', 0), (3, "caf", 1)]
+    p = tmp_path / "moved.csv"
+    p.write_text('label, id,text\n1,7,"a"\nx,8,"b"\n', encoding="utf-8")
+    assert [tuple(r) for r in FS.read_labeled(spark, str(p)).collect()] == [(7, "a", 1)]
     with pytest.raises(ValueError):
         FS.read_labeled(spark, str(tmp_path / "x.xlsx"))
 

@@ -3,19 +3,20 @@
 Exact top-K by inner product between a query set and a train set, as a
 blocked matrix product:
 
-* queries get a block id ``qb`` (hash of the id, ``q_blocks`` blocks) and
-  train rows a block id ``tb`` (``t_blocks`` blocks);
+* queries get a block id ``qb`` and train rows a block id ``tb`` (hashes of
+  the ids); the block counts follow from the row counts and a fixed row
+  budget on both sides, so a cell never holds more rows when the data grow;
 * each query row is sent to every train block and each train row to every
   query block, so the cell (qb, tb) meets exactly its share of pairs once;
-* ``cogroup(...).applyInPandas`` scores a cell with one numpy matrix product
-  and emits only the per-query top K of that cell (ties: higher score, then
-  lower train id) — never all pairs;
+* ``cogroup(...).applyInPandas`` scores a cell tile by tile with a running
+  bound on the K-th best score and emits only the per-query top K of that
+  cell (ties: higher score, then lower train id) — never all pairs;
 * a ``row_number() <= K`` window per query (planned with a partial
   WindowGroupLimit before the shuffle) merges the cells.
 
-Memory per task is bounded by the block sizes, not by the data; the
-replication factor is ``t_blocks`` for queries and ``q_blocks`` for train.
-There is no cartesian product in the plan and no collect to the driver.
+Memory per task is bounded by the row budgets and the tile size, not by the
+data; the replication factor is ``t_blocks`` for queries and ``q_blocks`` for
+train.  There is no cartesian product in the plan and no collect to the driver.
 """
 
 from __future__ import annotations
@@ -27,21 +28,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _top_k_rows(scores: np.ndarray, tids: np.ndarray, k: int):
-    """Per row of ``scores``: indices of the k best (score desc, tid asc)."""
-    n = scores.shape[1]
-    if n <= k:
-        cand = np.broadcast_to(np.arange(n), scores.shape)
-        order = np.lexsort((np.broadcast_to(tids, scores.shape), -scores), axis=1)
-        return np.take_along_axis(cand, order, axis=1)
-    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]  # k-th largest per row
-    out = np.empty((scores.shape[0], k), dtype=np.int64)
-    for i in range(scores.shape[0]):
-        idx = np.nonzero(scores[i] >= kth[i, 0])[0]  # includes all ties at the cut
-        order = np.lexsort((tids[idx], -scores[i, idx]))
-        out[i] = idx[order[:k]]
-    return out
+# Rows of one cell, and of one score tile inside it (2,048 x 4,096 doubles = 64 MB).
+Q_ROWS, T_ROWS = 8_192, 65_536
+Q_TILE, T_TILE = 2_048, 4_096
+
+
+def _first_k(rows: np.ndarray, cols: np.ndarray, scores: np.ndarray, tids: np.ndarray, k: int):
+    """Candidates cut to the k best per row (score desc, train id asc)."""
+    order = np.lexsort((tids[cols], -scores, rows))
+    rows, cols, scores = rows[order], cols[order], scores[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
+    place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    ok = place < k
+    return rows[ok], cols[ok], scores[ok]
+
+
+def tiled_top_k(Q: np.ndarray, T: np.ndarray, tids: np.ndarray, k: int):
+    """(row, column, score) of the k best columns of ``Q @ T.T`` per row.
+
+    Tiles of fixed size; a tile's k-th best score is a lower bound of the
+    final k-th best, so later tiles contribute only scores that reach it."""
+    out = []
+    for q0 in range(0, len(Q), Q_TILE):
+        q = Q[q0:q0 + Q_TILE]
+        bound = np.full(len(q), -np.inf)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for t0 in range(0, len(T), T_TILE):
+            s = q @ T[t0:t0 + T_TILE].T
+            n = s.shape[1]
+            if n >= k:
+                bound = np.maximum(bound, np.partition(s, n - k, axis=1)[:, n - k])
+            r, c = np.nonzero(s >= bound[:, None])
+            best = _first_k(np.concatenate([best[0], r]), np.concatenate([best[1], c + t0]),
+                            np.concatenate([best[2], s[r, c]]), tids, k)
+        out.append((best[0] + q0, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _cell_fn(k: int, per_label: bool):
@@ -54,38 +75,25 @@ def _cell_fn(k: int, per_label: bool):
         tids = tdf["tid"].to_numpy(dtype=np.int64)
         tl = tdf["tlabel"].to_numpy(dtype=np.int64)
         qids = qdf["qid"].to_numpy(dtype=np.int64)
-        S = Q @ T.T
-        parts = []
         groups = [np.arange(len(tdf))] if not per_label else [np.nonzero(tl == v)[0] for v in np.unique(tl)]
+        parts = []
         for g in groups:
-            if len(g) == 0:
-                continue
-            sel = _top_k_rows(S[:, g], tids[g], k)
-            kk = sel.shape[1]
-            rows = np.repeat(np.arange(len(qids)), kk)
-            cols_ = g[sel.reshape(-1)]
-            parts.append(pd.DataFrame({"qid": qids[rows], "tid": tids[cols_], "tlabel": tl[cols_],
-                                       "score": S[rows, cols_]}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
-            {c: pd.Series(dtype="int64" if c != "score" else "float64") for c in cols})
+            r, c, s = tiled_top_k(Q, T[g], tids[g], k)
+            parts.append(pd.DataFrame({"qid": qids[r], "tid": tids[g[c]], "tlabel": tl[g[c]], "score": s}))
+        return pd.concat(parts, ignore_index=True)
     return fn
 
 
 def knn_topk(queries: DataFrame, train: DataFrame, k: int, *, q_id: str, q_vec: str,
              t_id: str, t_vec: str, t_label: str | None = None, per_label: bool = False,
-             q_blocks: int | None = None, t_blocks: int | None = None,
-             q_rows_per_block: int = 20000) -> DataFrame:
+             q_rows: int = Q_ROWS, t_rows: int = T_ROWS) -> DataFrame:
     """(qid, tid, tlabel, score, rank) for the K best train rows per query
     (per query and train label when ``per_label``).  Rank is 1-based.
 
-    ``q_blocks`` defaults from the query count (one cheap count job) so a
-    block holds at most ``q_rows_per_block`` queries; ``t_blocks`` defaults
-    to the shuffle partition count."""
-    spark = queries.sparkSession
-    if t_blocks is None:
-        t_blocks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if q_blocks is None:
-        q_blocks = max(1, math.ceil(queries.count() / q_rows_per_block))
+    ``q_rows`` and ``t_rows`` are the expected rows of a cell on either side;
+    the block counts follow from one count of each input."""
+    q_blocks = max(1, math.ceil(queries.count() / q_rows))
+    t_blocks = max(1, math.ceil(train.count() / t_rows))
     label = F.col(t_label).cast("long") if t_label else F.lit(0).cast("long")
     q = (queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qvec"))
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))
@@ -102,6 +110,11 @@ def knn_topk(queries: DataFrame, train: DataFrame, k: int, *, q_id: str, q_vec:
     return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_ranks(ranking: DataFrame, k: int) -> DataFrame:
+    """The K best of a longer ranking: one product serves every K up to its own."""
+    return ranking.where(F.col("rank") <= k)
+
+
 def seeded_order(key_cols, seed) -> Column:
     """A reproducible permutation key, independent of partitioning."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))

@@ -27,7 +27,7 @@ def attach(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFra
     once and shipped as a value), not a join."""
     g = list(group)
     if g:
-        return df.join(per_group, g)
+        return _join_null_safe(df, per_group, g)
     row = per_group.select(F.struct(*per_group.columns).alias("_s")).scalar()
     return df.select("*", *[row[c].alias(c) for c in per_group.columns])
 
@@ -159,7 +159,7 @@ def confusion_matrix(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -
               .where(F.col("v").isNotNull())
               .groupBy(*g).agg(F.array_sort(F.collect_set("v")).alias("_ls")))
     spine = labels.select(*g, F.explode("_ls").alias("a"), "_ls").select(*g, "a", F.explode("_ls").alias("b"))
-    return spine.join(cells, g + ["a", "b"], "left") \
+    return _join_null_safe(spine, cells, g + ["a", "b"], "left") \
         .select(*g, "a", "b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -171,9 +171,9 @@ def cohen_kappa(df: DataFrame, a: str, b: str, group: Sequence[str] = ()) -> Dat
                                F.sum((F.col(a) == F.col(b)).cast("long")).alias("agree"))
     ma = base.groupBy(*g, F.col(a).alias("v")).agg(F.count("*").alias("na"))
     mb = base.groupBy(*g, F.col(b).alias("v")).agg(F.count("*").alias("nb"))
-    pe = ma.join(mb, g + ["v"]).groupBy(*g).agg(
+    pe = _join_null_safe(ma, mb, g + ["v"]).groupBy(*g).agg(
         F.sum(F.col("na").cast("double") * F.col("nb")).alias("pp"))
-    j = tot.join(pe, g, "left") if g else attach(tot, pe, g)
+    j = _join_null_safe(tot, pe, g, "left") if g else attach(tot, pe, g)
     po = F.col("agree") / F.col("n")
     pee = F.coalesce(F.col("pp"), F.lit(0.0)) / (F.col("n").cast("double") * F.col("n"))
     return j.select(*g, F.when(pee == 1.0, F.lit(None).cast("double"))
@@ -209,12 +209,12 @@ def split_balance(df: DataFrame, group: Sequence[str] = ("split",), label: str =
 
 
 def class_weights(df: DataFrame, label: str = "label", group: Sequence[str] = ()) -> DataFrame:
-    """``n / (k * n_c)`` per class (k = number of classes present)."""
+    """``n / (2 * n_c)`` per class: the two-class balance, whatever classes
+    a group holds."""
     g = list(group)
     c = label_counts(df, label, g)
-    tot = c.groupBy(*g).agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    j = attach(c, tot, g)
-    return j.select(*g, label, (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
+    j = attach(c, c.groupBy(*g).agg(F.sum("n").alias("total")), g)
+    return j.select(*g, label, (F.col("total") / (2 * F.col("n"))).alias("weight"))
 
 
 def score_stats(df: DataFrame, col: str, group: Sequence[str] = (), digits: int = 4) -> DataFrame:
@@ -225,7 +225,7 @@ def score_stats(df: DataFrame, col: str, group: Sequence[str] = (), digits: int
                                F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                                F.max(x).alias("max"))
     q = exact_quantiles(df, col, (0.25, 0.5, 0.75), g, ("q25", "q50", "q75"))
-    j = basic.join(q, g, "left") if g else attach(basic, q, g)
+    j = _join_null_safe(basic, q, g, "left") if g else attach(basic, q, g)
     return j.select(*g, "n", *[F.round(F.col(c), digits).alias(c)
                                for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
 
@@ -243,7 +243,7 @@ def histogram(df: DataFrame, col: str, group: Sequence[str] = (), bins: int = 30
     counts = j.where(x.isNotNull()).groupBy(*g, b.alias("bin")).agg(F.count("*").alias("n"))
     spine = rng.select(*g, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     w = (F.col("hi") - F.col("lo")) / bins
-    return (spine.join(counts, g + ["bin"], "left")
+    return (_join_null_safe(spine, counts, g + ["bin"], "left")
             .select(*g, "bin", (F.col("lo") + F.col("bin") * w).alias("left"),
                     (F.col("lo") + (F.col("bin") + 1) * w).alias("right"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n")))
@@ -352,12 +352,12 @@ def share_of_total(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame
     return j.withColumn("share", F.col(value) / F.col("_tot")).drop("_tot")
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join on ``keys`` where null keys match (group keys may be
-    null); keeps the left columns plus the right non-key columns."""
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where null keys match (group keys may be null);
+    keeps the left columns plus the right non-key columns."""
     cond = [left[k].eqNullSafe(right[k]) for k in keys]
     extra = [right[c] for c in right.columns if c not in keys]
-    return left.join(right, cond).select(left["*"], *extra)
+    return left.join(right, cond, how).select(left["*"], *extra)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],

@@ -1,9 +1,11 @@
 """Deterministic stratified splits and leakage checks.
 
 A split is decided by each row's rank inside its stratum under a hash order
-``md5(id || seed)``.  The rank is computed in two levels so that a hot
-stratum (one that holds a third of all rows) is never a single window
-partition:
+``md5(id || seed)``.  The splits find the (hash, id) at each stratum's cuts
+from bucket counts and the ids of the cut buckets, and compare every row with
+them in place (``cut_by_rank``).  Where the rank itself is asked for it is
+computed in two levels so that a hot stratum (one that holds a third of all
+rows) is never a single window partition:
 
 1. bucket = the first ``hex_digits`` hex characters of the hash — a prefix,
    so bucket order agrees with hash order (4 digits = 65,536 buckets: a
@@ -21,6 +23,7 @@ retries (no ``rand``, no ``monotonically_increasing_id``).
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +53,53 @@ def stratum_rank(df: DataFrame, strata: Sequence[str], id_col: str = "id", seed=
     return j.withColumn("_rank", F.col("_off") + F.col("_r")).drop("_h", "_b", "_r", "_off")
 
 
+# Above so many strata the cut table is joined instead of broadcast.
+MAX_BROADCAST_STRATA = 100_000
+
+
+def _share(n: Column, part: float, up: bool = False) -> Column:
+    """``floor(n * part)`` (``ceil`` if ``up``) in exact decimals: 90 * 0.7 is 63."""
+    x = n.cast("decimal(20,0)") * F.lit(Decimal(str(part)))
+    return (F.ceil(x) if up else F.floor(x)).cast("long")
+
+
+def cut_by_rank(df: DataFrame, strata: Sequence[str], id_col: str, seed, cuts, names: Sequence[str], out: str,
+                hex_digits: int = 4) -> DataFrame:
+    """Name the part of every row by its hash rank in its stratum.
+
+    ``cuts(n)`` gives the first ranks of the second, third, ... part.  Strata
+    and hash buckets are counted, only the ids of the buckets with a cut are
+    ranked, and each stratum gets the (hash, id) at its cuts; rows are then
+    compared with them where they stand, so no other column moves."""
+    s = list(strata)
+    keyed = df.select(*s, id_col).withColumn("_h", hash_key(id_col, seed)).withColumn("_b", F.substring("_h", 1, hex_digits))
+    counts = keyed.groupBy(*s, "_b").agg(F.count("*").alias("_bn"))
+    before = Window.partitionBy(*s).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0))) \
+        .withColumn("_n", F.sum("_bn").over(Window.partitionBy(*s)))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), c.alias("rank")) for k, c in enumerate(cuts(F.col("_n")))]))
+    marks = counts.select(*s, "_b", "_off", "_bn", at.alias("_c")) \
+        .where((F.col("_c.rank") >= F.col("_off")) & (F.col("_c.rank") < F.col("_off") + F.col("_bn"))) \
+        .select(*[F.col(c).alias(f"_m_{c}") for c in [*s, "_b"]], F.col("_c.k").alias("_k"),
+                (F.col("_c.rank") - F.col("_off")).alias("_need"))
+    near = keyed.join(marks, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in [*s, "_b"]]) \
+        .select(*s, "_b", id_col, "_h", "_k", "_need")
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*s, "_b", "_k").orderBy("_h", id_col)) - 1) \
+        .where(F.col("_r") == F.col("_need"))
+    ends = [F.max(F.when(F.col("_k") == k, F.struct("_h", id_col))).alias(f"_cut{k}") for k in range(len(names) - 1)]
+    from ..session import cut_lineage
+    table = cut_lineage(ranked.groupBy(*s).agg(*ends).withColumnsRenamed({c: f"_m_{c}" for c in s}))
+    if table.count() <= MAX_BROADCAST_STRATA:
+        table = F.broadcast(table)
+    rows = df.join(table, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in s], "left").drop(*[f"_m_{c}" for c in s])
+    own = F.struct(hash_key(id_col, seed).alias("_h"), F.col(id_col))
+    part = F.lit(names[-1])
+    for k in range(len(names) - 2, -1, -1):
+        cut = F.col(f"_cut{k}")
+        part = F.when(cut.isNull() | (own < cut), F.lit(names[k])).otherwise(part)
+    return rows.withColumn(out, part).drop(*[f"_cut{k}" for k in range(len(names) - 1)])
+
+
 def validate_split_sizes(train: float, valid: float, min_size: float = 0.05) -> None:
     test = (1.0 - train) * (1.0 - valid)
     if not (0 <= train <= 1 and 0 <= valid <= 1):
@@ -65,13 +115,11 @@ def stratified_split3(df: DataFrame, strata: Sequence[str], label: str = "label"
     ``floor(rest·valid)`` to valid, the remainder to test (70/9/21 by
     default, as the reference's two chained splits)."""
     validate_split_sizes(train, valid)
-    r = stratum_rank(df, list(strata) + [label], id_col, seed, hex_digits)
-    n_train = F.floor(F.col("_n") * train)
-    n_valid = F.floor((F.col("_n") - n_train) * valid)
-    split = (F.when(F.col("_rank") < n_train, F.lit("train"))
-             .when(F.col("_rank") < n_train + n_valid, F.lit("valid"))
-             .otherwise(F.lit("test")))
-    return r.withColumn(out, split).drop("_rank", "_n").na.drop("any")
+
+    def cuts(n):
+        n_train = _share(n, train)
+        return n_train, n_train + _share(n - n_train, valid)
+    return cut_by_rank(df, [*strata, label], id_col, seed, cuts, ("train", "valid", "test"), out, hex_digits).na.drop("any")
 
 
 def split_half(df: DataFrame, label: str | None = "label", id_col: str = "id",
@@ -80,10 +128,7 @@ def split_half(df: DataFrame, label: str | None = "label", id_col: str = "id",
     """Re-split one split into ``valid``/``test`` with ``ceil(n·test)``
     test rows per stratum (stratified by ``label`` when present)."""
     s = list(strata) + ([label] if label and label in df.columns else [])
-    r = stratum_rank(df, s, id_col, seed, hex_digits)
-    n_test = F.ceil(F.col("_n") * test_size)
-    split = F.when(F.col("_rank") < F.col("_n") - n_test, F.lit("valid")).otherwise(F.lit("test"))
-    return r.withColumn(out, split).drop("_rank", "_n")
+    return cut_by_rank(df, s, id_col, seed, lambda n: (n - _share(n, test_size, up=True),), ("valid", "test"), out, hex_digits)
 
 
 def text_key(text_col: str) -> Column:

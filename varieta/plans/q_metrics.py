@@ -203,7 +203,7 @@ def class_weights_q(spark, sf):
 CLASS_WEIGHTS_SQL = f"""WITH {B.TASKS_CTE},
 c AS (SELECT task, label, count(*) AS n FROM tasks GROUP BY task, label),
 t AS (SELECT task, sum(n) AS total, count(*) AS k FROM c GROUP BY task)
-SELECT c.task, c.label, round(CAST(t.total AS DOUBLE) / (t.k * c.n), 6) AS weight
+SELECT c.task, c.label, round(CAST(t.total AS DOUBLE) / (2 * c.n), 6) AS weight
 FROM c JOIN t ON c.task = t.task"""
 query("class_weights", CLASS_WEIGHTS_SQL)(class_weights_q)
 
@@ -266,7 +266,7 @@ def weighted_ce_loss_q(spark, sf):
 WEIGHTED_CE_LOSS_SQL = f"""WITH {B.EMB_CTE},
 c AS (SELECT label, count(*) AS n FROM emb GROUP BY label),
 t AS (SELECT sum(n) AS total, count(*) AS k FROM c),
-w AS (SELECT c.label, CAST(t.total AS DOUBLE) / (t.k * c.n) AS weight FROM c, t),
+w AS (SELECT c.label, CAST(t.total AS DOUBLE) / (2 * c.n) AS weight FROM c, t),
 z AS (SELECT e.class10, e.label, w.weight,
              CAST(e.embedding[1:2] AS DOUBLE[]) AS logits FROM emb e JOIN w ON e.label = w.label),
 l AS (SELECT class10, weight,

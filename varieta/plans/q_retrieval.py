@@ -11,7 +11,7 @@ from ..operators import knn as KN
 from ..operators import metrics as M
 from ..operators import prompts as PR
 from ..operators import split as SP
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from . import bindings as B
 from . import sqltext as S
 from .q_metrics import r6
@@ -20,12 +20,20 @@ from .registry import query
 K = 4
 EMB_V = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS class10, label % 2 AS label FROM embeddings)"
 PAIRS = EMB_V + """,
-s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, b.label AS tlabel, list_dot_product(a.v, b.v) AS score FROM e a, e b)"""
+s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, b.label AS tlabel, list_dot_product(a.v, b.v) AS score FROM e a, e b
+      WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)"""
+
+
+def folds(e):
+    """Query rows (the validation fold) and train rows (the index): disjoint,
+    so no query meets itself or its own label."""
+    fold = F.col("vec_id") % 10 == 0
+    return e.where(fold), e.where(~fold)
 
 
 def closest(spark, sf, k=K):
-    e = B.emb(spark, sf)
-    return KN.knn_topk(e, e, k, q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding",
+    q, t = folds(B.emb(spark, sf))
+    return KN.knn_topk(q, t, k, q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding",
                        t_label="label")
 
 
@@ -41,8 +49,8 @@ SELECT qid, tid, CAST(rk AS BIGINT) AS rank, round(score, 6) AS score FROM r WHE
 
 # D9 / G4 -------------------------------------------------------------------
 def contrastive(spark, sf, k=K):
-    e = B.emb(spark, sf)
-    return KN.knn_contrastive(e, e, k, q_id="vec_id", q_vec="embedding", t_id="vec_id",
+    q, t = folds(B.emb(spark, sf))
+    return KN.knn_contrastive(q, t, k, q_id="vec_id", q_vec="embedding", t_id="vec_id",
                               t_vec="embedding", t_label="label", seed=42)
 
 
@@ -61,35 +69,69 @@ SELECT qid, tid, CAST(tlabel AS BIGINT) AS tlabel, CAST(rk AS BIGINT) AS rank, C
 
 
 # F1 + K2 -------------------------------------------------------------------
-def _prompts(spark, sf):
-    """Queries and examples are the embedded rows that have a document text."""
+def _prompts(spark, sf, technique="closest", prefix=PR.SENTIMENT_PROMPT):
+    """Queries and examples are the embedded rows of the two folds that have a
+    document text; ``technique`` is closest, contrastive or zero."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     e = B.emb(spark, sf).join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    nn = KN.knn_topk(e, e, K, q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding",
-                     t_label="label")
+    q, t = folds(e)
+    ids = dict(q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding", t_label="label")
+    if technique == "contrastive":
+        nn = KN.knn_contrastive(q, t, K, seed=42, **ids)
+    elif technique == "closest":
+        nn = KN.knn_topk(q, t, K, **ids).withColumn("position", F.col("rank"))
+    else:
+        nn = KN.knn_topk(q, t.where(F.lit(False)), K, **ids).withColumn("position", F.col("rank"))
     ex = nn.join(docs.withColumnRenamed("doc_id", "tid").withColumnRenamed("text", "ex_text"), "tid") \
-        .select("qid", F.col("rank").alias("position"), "ex_text", F.col("tlabel").alias("ex_label"))
-    qs = e.select(F.col("vec_id").alias("qid")) \
+        .select("qid", "position", "ex_text", F.col("tlabel").alias("ex_label"))
+    qs = q.select(F.col("vec_id").alias("qid")) \
         .join(docs.select(F.col("doc_id").alias("qid"), F.col("text").alias("q_text")), "qid")
-    return PR.few_shot_prompts(ex, qs, PR.SENTIMENT_PROMPT)
+    return PR.few_shot_prompts(ex, qs, prefix).select(
+        "qid", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("long").alias("prompt_chars"))
 
 
 def few_shot_prompt_q(spark, sf):
-    return _prompts(spark, sf).select("qid", F.md5("prompt").alias("prompt_md5"),
-                                      F.length("prompt").cast("long").alias("prompt_chars"))
+    return _prompts(spark, sf)
+
+
+def contrastive_prompt_q(spark, sf):
+    return _prompts(spark, sf, "contrastive")
+
+
+def sarcasm_prompt_q(spark, sf):
+    return _prompts(spark, sf, "closest", PR.SARCASM_PROMPT)
+
+
+def zero_shot_prompt_q(spark, sf):
+    return _prompts(spark, sf, "zero")
 
 
 _block = ("'## Example ' || CAST(n AS VARCHAR) || chr(10) || 'Text: ' || ex_text || chr(10) || 'Label: ' "
           "|| CAST(ex_label AS VARCHAR) || chr(10) || chr(10)")
-query("few_shot_prompt", f"""WITH {EMB_V.replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")},
-s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, b.label AS tlabel, list_dot_product(a.v, b.v) AS score FROM e a, e b),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS rk FROM s),
-ex AS (SELECT r.qid, r.rk AS n, d.text AS ex_text, r.tlabel AS ex_label FROM r JOIN documents d ON d.doc_id = r.tid WHERE r.rk <= {K}),
+def _prompt_sql(chosen: str, prefix: str) -> str:
+    return f"""WITH {EMB_V.replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")},
+s AS (SELECT a.vec_id AS qid, b.vec_id AS tid, b.label AS tlabel, list_dot_product(a.v, b.v) AS score FROM e a, e b
+      WHERE a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+{chosen},
+ex AS (SELECT c.qid, c.n, d.text AS ex_text, c.tlabel AS ex_label FROM chosen c JOIN documents d ON d.doc_id = c.tid),
 sh AS (SELECT qid, {q(PR.EXAMPLES_HEADER)} || string_agg({_block}, '' ORDER BY n) AS shots FROM ex GROUP BY qid),
-p AS (SELECT e.vec_id AS qid, {q(PR.SENTIMENT_PROMPT + chr(10) + chr(10))} || sh.shots || {q(chr(10) + PR.TURN_INTRO)}
-             || d.text || {q(PR.LABEL_CUE)} AS prompt
-      FROM e JOIN documents d ON d.doc_id = e.vec_id JOIN sh ON sh.qid = e.vec_id)
-SELECT qid, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM p""")(few_shot_prompt_q)
+p AS (SELECT e.vec_id AS qid, CASE WHEN sh.shots IS NULL
+        THEN {q(prefix + chr(10) + "Text: ")} || d.text || {q(PR.LABEL_CUE)}
+        ELSE {q(prefix + chr(10) + chr(10))} || sh.shots || {q(chr(10) + PR.TURN_INTRO)} || d.text || {q(PR.LABEL_CUE)} END AS prompt
+      FROM e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN sh ON sh.qid = e.vec_id WHERE e.vec_id % 10 = 0)
+SELECT qid, md5(prompt) AS prompt_md5, CAST(length(prompt) AS BIGINT) AS prompt_chars FROM p"""
+
+
+_CLOSEST = f"""r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tid) AS n FROM s),
+chosen AS (SELECT * FROM r WHERE n <= {K})"""
+_BOTH = f"""r AS (SELECT *, row_number() OVER (PARTITION BY qid, tlabel ORDER BY score DESC, tid) AS rk FROM s),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY md5(concat_ws('|', CAST(qid AS VARCHAR), CAST(tid AS VARCHAR), '42'))) AS n
+           FROM r WHERE rk <= {K // 2})"""
+_NONE = "chosen AS (SELECT *, 0 AS n FROM s WHERE FALSE)"
+query("few_shot_prompt", _prompt_sql(_CLOSEST, PR.SENTIMENT_PROMPT))(few_shot_prompt_q)
+query("contrastive_prompt", _prompt_sql(_BOTH, PR.SENTIMENT_PROMPT))(contrastive_prompt_q)
+query("sarcasm_prompt", _prompt_sql(_CLOSEST, PR.SARCASM_PROMPT))(sarcasm_prompt_q)
+query("zero_shot_prompt", _prompt_sql(_NONE, PR.SENTIMENT_PROMPT))(zero_shot_prompt_q)
 
 
 def number_examples_q(spark, sf):
@@ -123,7 +165,7 @@ def _generations(spark, sf):
     p = B.preds(spark, sf).where(F.col("model") == "m1")
     h = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("gen"))), 1, 1)
     raw = (F.when(h.isin("0", "1"), F.lit("Positive."))
-           .when(h.isin("2", "3"), F.concat(F.lit(" "), F.col("prediction").cast("string"), F.lit(" ")))
+           .when(h.isin("2", "3"), F.concat(F.lit("\t"), F.col("prediction").cast("string"), F.lit(" \n")))
            .otherwise(F.col("prediction").cast("string")))
     return p.select("id", "task", "variety", "domain", "label", raw.alias("raw"))
 
@@ -131,9 +173,9 @@ def _generations(spark, sf):
 GEN_CTE = B.preds_cte() + """,
 gen AS (SELECT id, task, variety, domain, label,
   CASE WHEN substr(md5(CAST(id AS VARCHAR) || 'gen'), 1, 1) IN ('0', '1') THEN 'Positive.'
-       WHEN substr(md5(CAST(id AS VARCHAR) || 'gen'), 1, 1) IN ('2', '3') THEN ' ' || CAST(prediction AS VARCHAR) || ' '
+       WHEN substr(md5(CAST(id AS VARCHAR) || 'gen'), 1, 1) IN ('2', '3') THEN chr(9) || CAST(prediction AS VARCHAR) || ' ' || chr(10)
        ELSE CAST(prediction AS VARCHAR) END AS raw FROM preds WHERE model = 'm1'),
-parsed AS (SELECT *, CASE WHEN trim(raw) = '1' THEN 1 WHEN trim(raw) = '0' THEN 0 ELSE -1 END AS prediction FROM gen)"""
+parsed AS (SELECT *, CASE WHEN regexp_full_match(raw, '\\s*1\\s*') THEN 1 WHEN regexp_full_match(raw, '\\s*0\\s*') THEN 0 ELSE -1 END AS prediction FROM gen)"""
 
 
 def collect_results_q(spark, sf):
@@ -191,12 +233,20 @@ def _vote(nn):
 
 
 def run_comparison_q(spark, sf):
-    e = B.emb(spark, sf).select(F.col("vec_id").alias("qid"), "label")
+    """All techniques and K from one product: the 8 best of each label hold the
+    8 best of all and the K/2 best of each.  The zero-shot answer, which sees
+    no example, is stood in for by the commonest train label."""
+    q, t = folds(B.emb(spark, sf))
+    ranking = cut_lineage(KN.knn_topk(q, t, 8, q_id="vec_id", q_vec="embedding", t_id="vec_id", t_vec="embedding",
+                                      t_label="label", per_label=True))
+    best = ranking.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "tid")))
+    truth = q.select(F.col("vec_id").alias("qid"), "label")
+    prior = t.groupBy(F.col("label").alias("prediction")).count().orderBy(F.desc("count"), "prediction").limit(1).select("prediction")
     runs = []
     for k in (4, 8):
-        for tech, nn in (("closest", closest(spark, sf, k)), ("contrastive", contrastive(spark, sf, k))):
-            v = _vote(nn).join(e, "qid").withColumn("technique", F.lit(tech)).withColumn("k", F.lit(k))
-            runs.append(v)
+        for tech, nn in (("closest", KN.first_ranks(best, k)), ("contrastive", KN.first_ranks(ranking, k // 2))):
+            runs.append(_vote(nn).join(truth, "qid").select("prediction", "label", F.lit(tech).alias("technique"), F.lit(k).alias("k")))
+        runs.append(M.attach(truth, prior, []).select("prediction", "label", F.lit("None").alias("technique"), F.lit(k).alias("k")))
     allr = runs[0]
     for r in runs[1:]:
         allr = allr.unionByName(r)
@@ -218,7 +268,9 @@ nn AS ({_vote_sql(4, False, 'closest')} UNION ALL {_vote_sql(4, True, 'contrasti
 w AS (SELECT technique, k, qid, tlabel, sum(score) AS w FROM nn GROUP BY ALL),
 b AS (SELECT technique, k, qid, tlabel AS prediction FROM (
         SELECT *, row_number() OVER (PARTITION BY technique, k, qid ORDER BY w DESC, tlabel ASC) AS rr FROM w) WHERE rr = 1),
-preds AS (SELECT b.technique, b.k, b.prediction, e.label FROM b JOIN e ON e.vec_id = b.qid),
+preds AS (SELECT b.technique, b.k, b.prediction, e.label FROM b JOIN e ON e.vec_id = b.qid
+  UNION ALL SELECT 'None', z.k, (SELECT label FROM e WHERE vec_id % 10 <> 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), e.label
+  FROM e, (VALUES (4), (8)) z(k) WHERE e.vec_id % 10 = 0),
 pc AS (SELECT *,
     CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
     CASE WHEN support + predicted = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (support + predicted) END AS f1
@@ -232,13 +284,13 @@ SELECT technique, round_even(max(CASE WHEN k = 4 THEN f1 END), 6) AS k4,
 
 # M6 ------------------------------------------------------------------------
 def softmax_argmax_q(spark, sf):
-    e = read_table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("z"))
+    e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("z"))
     p = PR.softmax(F.col("z"))
     return e.select("vec_id", F.round(p[0], 6).alias("p0"), F.round(p[1], 6).alias("p1"),
                     PR.argmax(F.col("z")).cast("long").alias("argmax"))
 
 
-query("softmax_argmax", """WITH z AS (SELECT vec_id, CAST(embedding[1:2] AS DOUBLE[]) AS z FROM embeddings),
+query("softmax_argmax", """WITH z AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z FROM embeddings),
 p AS (SELECT vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) AS ex FROM z)
 SELECT vec_id, round(ex[1] / list_sum(ex), 6) AS p0, round(ex[2] / list_sum(ex), 6) AS p1,
        CAST(list_position(z, list_max(z)) - 1 AS BIGINT) AS argmax FROM p""")(softmax_argmax_q)
@@ -248,7 +300,7 @@ SELECT vec_id, round(ex[1] / list_sum(ex), 6) AS p0, round(ex[2] / list_sum(ex),
 def l2_dot_q(spark, sf):
     e = read_table(spark, sf, "embeddings")
     v = F.col("embedding")
-    rot = F.concat(F.slice(v, 2, 1000), F.slice(v, 1, 1))
+    rot = F.concat(F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1))
     n = KN.l2_normalize(v)
     return e.select("vec_id", F.round(F.sqrt(KN.dot(v, v)), 6).alias("norm"),
                     F.round(KN.dot(v, rot), 6).alias("dot_rotated"),

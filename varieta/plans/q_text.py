@@ -171,7 +171,7 @@ def json_fields_q(spark, sf):
     return e.select("event_id",
                     T.default_to(F.get_json_object("props", "$.k"), "unknown").alias("k"),
                     T.default_to(F.get_json_object("props", "$.missing"), "N/A").alias("missing"),
-                    F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).cast("long")
+                    F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0)).cast("long")
                     .alias("k_num"))
 
 

@@ -48,12 +48,15 @@ def build_session(master: str | None = None, app: str = "varieta",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (tests, local runs) is ``fallback`` (or a
-    fresh folder under the system temp dir) installed.
+    A folder set on the context counts too.  Only on a local master that names
+    none (tests, local runs) is ``fallback`` (or a fresh folder under the
+    system temp dir) installed; a cluster without a shared folder is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
         if fallback is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
             fallback = tempfile.mkdtemp(prefix="varieta-ckpt-")
         current = fallback

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import NA_TOKENS
+from ..functions.rules import require_columns, trim_headers
 from ..functions.text import ascii_only
 from ..session import checkpoint_dir
 
@@ -48,9 +49,11 @@ def read_labeled(spark: SparkSession, path: str, schema: T.StructType = LABELED_
     characters dropped, NA tokens -> null, rows with any null dropped."""
     ext = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if ext in ("csv", "tsv"):
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-              .option("escape", '"').option("sep", "\t" if ext == "tsv" else ",")
-              .option("mode", "PERMISSIVE").csv(path))
+        # columns are bound by header name, whatever their order in the file
+        raw = trim_headers(spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+                           .option("sep", "\t" if ext == "tsv" else ",").csv(path))
+        require_columns(raw, schema.fieldNames())
+        df = raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     elif "json" in ext:
         df = spark.read.schema(schema).option("multiLine", ext == "json").json(path)
     else:
@@ -71,7 +74,8 @@ def write_splits(df: DataFrame, path: str, layout: Sequence[str] = SPLIT_LAYOUT,
     """One directory per (task, variety, domain, split)."""
     if ascii:
         df = df.withColumn("text", ascii_only("text"))
-    w = df.repartition(*layout).write.mode(mode).partitionBy(*layout)
+    # a rebalanced write: AQE splits the partitions of a hot (task, variety, domain, split)
+    w = df.hint("rebalance", *layout).write.mode(mode).partitionBy(*layout)
     if fmt == "csv":
         (w.option("header", True).option("escape", '"').option("quoteAll", True)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
