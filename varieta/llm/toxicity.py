@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 20_000
 GRADES = 4
@@ -131,50 +133,45 @@ def severity(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """Fit on about ``sample_rows`` labelled documents with the lowest hashes.
 
-    A first pass over the sample chooses the features: a toxic document counts
-    once for each new word before the feature, so a passage that many toxic
-    documents share counts once.  The labels grade a document by its
-    indicative words; then the regression is fitted."""
+    The sample is written once, in the shared folder, so all documents are
+    scanned once for it.  A first pass over it, combined by Spark, chooses the
+    features: a toxic document counts once for each new word before the
+    feature, so a passage that many toxic documents share counts once.  The
+    labels grade a document by its indicative words; then the regression is
+    fitted."""
     lab = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n = lab.count()
     share = min(1.0, sample_rows / max(1, n))
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(np.ceil(share * (1 << 24)))
     lab = lab.where(pick).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about sample_rows ids: small enough to broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("toxic", "text")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("toxic", "text"), "toxic-sample")
+    n_doc = sample.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(~(F.col("toxic") > 0)).alias("clean")).first()
 
     def count(batches: Iterator) -> Iterator:
+        """(toxic, key, n) of a part: a feature's clean documents, and the
+        distinct (feature, word before) pairs of toxic ones."""
         import pyarrow as pa
         from xxhash import xxh32_intdigest
-        table = _Features()
+        table, clean = _Features(), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            out = []
+            pairs: set = set()
             for toxic, t in zip(b.column(0).to_pylist(), b.column(1)):
                 words = _words(t.as_py())
                 if toxic > 0:
-                    f = {x << 32 | xxh32_intdigest(before) for before, w in zip([b"", *words], words) for x in table[w]}
+                    pairs.update(x << 32 | xxh32_intdigest(before) for before, w in zip([b"", *words], words) for x in table[w])
                 else:
                     f = {x for w in set(words) for x in table[w]}
-                out.append(np.fromiter(f, np.int64, len(f)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(out, pa.binary())], ["toxic", "features"])
-    n_doc = np.zeros(2, np.int64)
-    df = np.zeros((2, BUCKETS), np.int64)
-    seen = np.empty(0, np.int64)
-    fresh: list = []
-
-    def settle():
-        return np.unique(np.concatenate([seen, *fresh]))
-    for r in sample.mapInArrow(count, "toxic int, features binary").toLocalIterator():
-        f = np.frombuffer(r.features, np.int64)
-        if r.toxic > 0:
-            n_doc[1] += 1
-            fresh.append(f)
-            if len(fresh) >= 500:
-                seen, fresh = settle(), []
-        else:
-            n_doc[0] += 1
-            df[0, f] += 1
-    df[1] = np.bincount(settle() >> 32, minlength=BUCKETS)
-    chosen = choose_features(df[1].astype(float), df[0].astype(float), n_doc[1], n_doc[0])
+                    clean[np.fromiter(f, np.int64, len(f))] += 1
+            key = np.fromiter(pairs, np.int64, len(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), bool)), pa.array(key), pa.array(np.ones(len(key), np.int64))],
+                                             ["toxic", "key", "n"])
+        key = np.flatnonzero(clean)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), bool)), pa.array(key), pa.array(clean[key])], ["toxic", "key", "n"])
+    once = sample.mapInArrow(count, "toxic boolean, key long, n long").groupBy("toxic", "key").agg(F.sum("n").alias("n"))
+    feature = F.when(F.col("toxic"), F.shiftright("key", 32)).otherwise(F.col("key"))
+    df = once.groupBy(feature.alias("feature")).agg(F.count_if("toxic").alias("toxic"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("clean")) \
+        .where(F.col("toxic") > 0).orderBy("feature").toPandas()  # at most BUCKETS rows
+    chosen = df["feature"].to_numpy()[choose_features(df["toxic"].to_numpy(float), df["clean"].to_numpy(float), n_doc.toxic, n_doc.clean)]
     model = OrdinalModel({int(f): i for i, f in enumerate(chosen)}, len(chosen))
 
     def rows(batches: Iterator) -> Iterator:
