@@ -240,3 +240,41 @@ def test_publish_replacing(spark, tmp_path):
     FS.publish_replacing(spark.range(5), root, "b")
     assert FS.read_current(spark, root).count() == 5
     assert os.path.isdir(os.path.join(root, "v-a"))
+
+
+# -- axes from the data, whole files, models per task ------------------------
+def test_pivot_columns_come_from_the_data(spark):
+    df = spark.createDataFrame([("s", "a", "xx", 0.5), ("s", "a", "yy", 0.25), ("s", "b", "xx", 1.0)],
+                               "task string, trained string, variety string, f1 double")
+    got = {r.trained: (r.xx, r.yy) for r in M.pivot_matrix(df, ["task", "trained"], "variety", "f1").collect()}
+    assert got == {"a": (0.5, 0.25), "b": (1.0, None)}
+    mean = M.pivot_mean(df, "task", "variety", "f1").first()
+    assert (mean.xx, mean.yy) == (0.75, 0.25)
+
+
+def test_published_version_is_read_and_earlier_one_stays(spark, tmp_path):
+    root = str(tmp_path / "out")
+    first = FS.publish_replacing(spark.range(3).toDF("id"), root, "1")
+    second = FS.publish_replacing(spark.range(5).toDF("id"), root, "2")
+    assert FS.read_current(spark, root).count() == 5 and os.path.isdir(first) and first != second
+
+
+def test_newest_file_without_reading_contents(spark, tmp_path):
+    for k, name in enumerate(("b.csv", "a.csv", "c.txt")):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (1000 + k, 1000 + k))
+    assert FS.latest_file(spark, str(tmp_path / "*.csv")).first().path.endswith("/a.csv")
+
+
+def test_model_is_loaded_once_a_task(spark, tmp_path):
+    import uuid
+    from varieta.operators import ml as ML
+    folder = str(tmp_path)
+
+    def loader():
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda texts: texts.str.len().astype("int32")
+    df = spark.range(0, 40_000, 1, 2).selectExpr("cast(id as string) AS text")  # two tasks of two batches each
+    out = ML.batch_infer(df, "text", loader, "m", "1").collect()
+    assert len(out) == 40_000 and all(r.prediction == len(r.text) for r in out)
+    assert len(list(tmp_path.iterdir())) == 2

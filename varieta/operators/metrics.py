@@ -279,21 +279,23 @@ def best_worst(df: DataFrame, key: str, value: str, group: Sequence[str] = ()) -
                              F.min("m").alias("worst_mean"))
 
 
-def pivot_matrix(df: DataFrame, row: str, col: str, value: str,
-                 order: Sequence[str]) -> DataFrame:
-    """One value per (row, col) — a duplicate key is an error, detected
-    lazily as a null-producing ``raise_error`` in the cell expression."""
+def pivot_matrix(df: DataFrame, rows: Sequence[str], col: str, value: str,
+                 order: Sequence[str] | None = None) -> DataFrame:
+    """One value per (rows, col) — a duplicate key is an error, detected
+    lazily as a null-producing ``raise_error`` in the cell expression.  The
+    columns are ``order``, or all values of ``col`` if none is given."""
     cell = F.when(F.count("*") > 1,
-                  F.raise_error(F.lit(f"duplicate ({row}, {col}) key in pivot"))) \
+                  F.raise_error(F.lit(f"duplicate ({', '.join(rows)}, {col}) key in pivot"))) \
         .otherwise(F.first(value))
-    long = df.groupBy(row, col).agg(cell.alias("v"))
-    return long.groupBy(row).pivot(col, list(order)).agg(F.first("v"))
+    long = df.groupBy(*rows, col).agg(cell.alias("v"))
+    return long.groupBy(*rows).pivot(col, list(order) if order else None).agg(F.first("v"))
 
 
-def pivot_mean(df: DataFrame, row: str, col: str, value: str, order: Sequence[str],
+def pivot_mean(df: DataFrame, row: str, col: str, value: str, order: Sequence[str] | None = None,
                digits: int = 3) -> DataFrame:
-    """Pivot-table mean, rounded half-to-even, missing cells null."""
-    return df.groupBy(row).pivot(col, list(order)).agg(F.bround(F.avg(value), digits))
+    """Pivot-table mean, rounded half-to-even, missing cells null; the
+    columns are ``order``, or all values of ``col`` if none is given."""
+    return df.groupBy(row).pivot(col, list(order) if order else None).agg(F.bround(F.avg(value), digits))
 
 
 def sliced_f1(df: DataFrame, slice_col: str, group: Sequence[str] = (),

@@ -8,7 +8,7 @@ with class weights.  Training is distributed by Spark ML; scoring adds a
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -83,16 +83,15 @@ def embed_text(df: DataFrame, text_col: str = "text", num_features: int = 1 << 1
 
 def batch_infer(df: DataFrame, text_col: str, loader: Callable[[], Callable[[pd.Series], pd.Series]],
                 model_name: str, version: str, out_type: str = "int") -> DataFrame:
-    """Apply any Python model to a text column with Arrow batches.  The
-    model is loaded lazily once per Python worker (``loader``), never shipped
-    with every row."""
-    cache: dict = {}
-
-    @F.pandas_udf(out_type)
-    def infer(texts: pd.Series) -> pd.Series:
-        if "m" not in cache:
-            cache["m"] = loader()
-        return cache["m"](texts)
+    """Apply any Python model to a text column with Arrow batches.
+    ``loader`` runs once per task, before its first batch; the model is never
+    shipped with the rows."""
+    def infer(batches):
+        model = loader()
+        for texts in batches:
+            yield model(texts)
+    infer.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    infer = F.pandas_udf(infer, out_type)
 
     return df.withColumn("prediction", infer(F.col(text_col))) \
         .withColumn("model", F.lit(model_name)).withColumn("model_version", F.lit(version))

@@ -186,7 +186,7 @@ def _posts(spark, sf):
     c = read_table(spark, sf, "conversations")
     return c.select(
         "conv_id", F.col("turn").alias("_ord"), F.col("role").alias("subreddit"),
-        F.when(F.col("turn") % 5 == 0, F.lit(None).cast("string")).otherwise(F.substring("text", 1, 30)).alias("title"),
+        F.when(F.col("turn") % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("title"),
         F.col("text").alias("selftext"),
         ((F.col("turn") % 7) / 5.0).alias("upvote_ratio"),
         F.col("turn").cast("int").alias("ups"), (F.col("conv_id") % 2).cast("int").alias("downs"),
@@ -204,7 +204,7 @@ def flatten_posts_q(spark, sf):
 
 
 query("flatten_posts", """WITH p AS (SELECT conv_id, role AS subreddit,
-    coalesce(CASE WHEN turn % 5 = 0 THEN NULL ELSE substr(text, 1, 30) END, '') AS title,
+    coalesce(CASE WHEN turn % 5 = 0 THEN NULL ELSE text END, '') AS title,
     coalesce(text, '') AS selftext, (turn % 7) / 5.0 AS upvote_ratio, CAST(turn AS INTEGER) AS ups,
     CAST(conv_id % 2 AS INTEGER) AS downs,
     CAST(CASE WHEN turn % 4 = 0 THEN turn + 1 ELSE turn - conv_id % 2 END AS INTEGER) AS score
@@ -226,7 +226,7 @@ def flatten_reviews_q(spark, sf):
         F.struct(uri.alias("uri"), F.concat(F.lit("user"), F.col("id").cast("string")).alias("displayName"))
         .alias("authorAttribution"),
         rating.cast("int").alias("rating"),
-        F.struct(F.when(F.col("id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.substring("text", 1, 50))
+        F.struct(F.when(F.col("id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))
                  .alias("text"), F.col("variety").alias("languageCode")).alias("originalText"),
         F.lit(None).cast("string").alias("publishTime"))
     places = (a.groupBy(F.concat("domain", F.lit("-"), F.floor(F.col("id") / 5).cast("string")).alias("place_id"),
@@ -240,7 +240,7 @@ query("flatten_reviews", f"""WITH {B.ANN_CTE},
 r AS (SELECT domain || '-' || CAST(CAST(floor(id / 5) AS BIGINT) AS VARCHAR) AS place_id, variety AS city,
         CASE WHEN id % 9 = 0 THEN 'not a url' ELSE 'https://maps.example.com/contrib/' || CAST(id AS VARCHAR) || '/reviews' END AS uri,
         CAST(CASE WHEN id % 17 = 0 THEN 0 WHEN id % 19 = 0 THEN 6 ELSE quality * 4 + 1 END AS INTEGER) AS rating,
-        coalesce(CASE WHEN id % 11 = 0 THEN NULL ELSE substr(text, 1, 50) END, 'N/A') AS review FROM ann),
+        coalesce(CASE WHEN id % 11 = 0 THEN NULL ELSE text END, 'N/A') AS review FROM ann),
 f AS (SELECT *, CASE WHEN len(string_split(uri, '/')) >= 2 THEN (string_split(uri, '/'))[-2] END AS aid FROM r)
 SELECT place_id, city, aid AS id, rating, review,
   array_to_string(list_filter([CASE WHEN NOT coalesce(rating BETWEEN 1 AND 5, FALSE) THEN 'rating_range' END,
@@ -252,8 +252,8 @@ FROM f""")(flatten_reviews_q)
 # A5 ------------------------------------------------------------------------
 def explode_config_q(spark, sf):
     d = read_table(spark, sf, "documents")
-    per_lang = d.groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("subs"))
-    cfg = per_lang.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "subs")))).alias("config"))
+    pairs = d.select("lang", "source").distinct()
+    cfg = pairs.select(F.to_json(F.create_map("lang", F.array("source"))).alias("config"))  # one small config a pair
     return L.explode_config(cfg)
 
 
@@ -290,7 +290,7 @@ def latest_file_q(spark, sf):
     return latest.select(F.regexp_extract("path", r"/(run\d)/", 1).alias("run"))
 
 
-query("latest_file")(latest_file_q)
+query("latest_file", "SELECT 'run2' AS run")(latest_file_q)
 
 
 # A9 ------------------------------------------------------------------------

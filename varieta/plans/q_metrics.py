@@ -21,8 +21,6 @@ def big(c: str):
 
 
 LB_GROUP = ["model", "task", "variety", "domain"]
-VARIETIES = ("de", "en", "es", "fr")
-DOMAINS = ("Google", "Reddit")
 TASKS = ("Sarcasm", "Sentiment")
 
 
@@ -369,53 +367,49 @@ query("best_worst_model", BEST_WORST_MODEL_SQL)(best_worst_model_q)
 
 # ---------------------------------------------------------------- E20 -----
 def pivot_matrix_q(spark, sf):
-    """trained (model) x tested (variety) F1 for the Sentiment task."""
-    p = B.preds(spark, sf).where(F.col("task") == "Sentiment")
-    f1 = M.macro_prf(p, ["model", "variety"])
-    out = M.pivot_matrix(f1, "model", "variety", "f1_score", VARIETIES)
-    return out.select(F.col("model").alias("trained"), *[r6(v) for v in VARIETIES])
+    """trained (model) x tested (variety) F1 for each task, a column for every
+    variety of the data."""
+    f1 = M.macro_prf(B.preds(spark, sf), ["task", "model", "variety"]).withColumnRenamed("model", "trained")
+    out = M.pivot_matrix(f1, ["task", "trained"], "variety", "f1_score")
+    return out.select("task", "trained", *[r6(v) for v in out.columns[2:]])
 
 
 PIVOT_MATRIX_SQL = f"""WITH {B.preds_cte()},
-pc AS ({per_class_sql(class_counts_sql("(SELECT * FROM preds WHERE task = 'Sentiment')", ['model', 'variety']))}),
-f AS (SELECT model, variety, avg(f1) AS f1 FROM pc GROUP BY ALL)
-SELECT model AS trained, {', '.join(f"round(max(CASE WHEN variety = '{v}' THEN f1 END), 6) AS {v}" for v in VARIETIES)}
-FROM f GROUP BY model"""
+pc AS ({per_class_sql(class_counts_sql('preds', ['task', 'model', 'variety']))}),
+f AS (SELECT task, model AS trained, variety, avg(f1) AS f1 FROM pc GROUP BY ALL)
+SELECT * FROM (PIVOT f ON variety USING round(max(f1), 6) GROUP BY task, trained)"""
 query("pivot_matrix", PIVOT_MATRIX_SQL)(pivot_matrix_q)
 
 
 # ---------------------------------------------------------------- E21 -----
 def pivot_mean_q(spark, sf):
     lb = M.macro_prf(B.preds(spark, sf), LB_GROUP)
-    out = M.pivot_mean(lb, "task", "domain", "f1_score", DOMAINS, digits=3)
-    return out.select("task", *[F.col(d).cast("double").alias(d) for d in DOMAINS])
+    out = M.pivot_mean(lb, "task", "domain", "f1_score", digits=3)
+    return out.select("task", *[F.col(d).cast("double").alias(d) for d in out.columns[1:]])
 
 
 PIVOT_MEAN_SQL = f"""WITH {LB_CTE}
-SELECT task, {', '.join(f"CAST(round_even(avg(CASE WHEN domain = '{d}' THEN f1_score END), 3) AS DOUBLE) AS {d}" for d in DOMAINS)}
-FROM lb GROUP BY task"""
+SELECT * FROM (PIVOT lb ON domain USING CAST(round_even(avg(f1_score), 3) AS DOUBLE) GROUP BY task)"""
 query("pivot_mean", PIVOT_MEAN_SQL)(pivot_mean_q)
 
 
 # ---------------------------------------------------------------- D6 ------
 def grid_spine_q(spark, sf):
     """model x task x variety x domain minus (Google, Sarcasm), with the
-    leaderboard F1 attached; cells without data are kept and flagged."""
+    leaderboard F1 attached; cells without data are kept and flagged.  The
+    axes are the values of the data (one row of short sets)."""
     lb = M.macro_prf(B.preds(spark, sf), LB_GROUP)
-    arr = lambda vals: F.explode(F.array(*[F.lit(v) for v in vals]))
-    spine = (spark.range(1)
-             .select(arr(B.MODELS).alias("model")).select("*", arr(TASKS).alias("task"))
-             .select("*", arr(VARIETIES).alias("variety")).select("*", arr(DOMAINS).alias("domain"))
+    axes = B.preds(spark, sf).groupBy(*LB_GROUP).agg(F.count("*")).agg(*[F.collect_set(c).alias(c) for c in LB_GROUP])
+    spine = (axes.withColumn("model", F.explode("model")).withColumn("task", F.explode("task"))
+             .withColumn("variety", F.explode("variety")).withColumn("domain", F.explode("domain"))
              .where(~((F.col("domain") == "Google") & (F.col("task") == "Sarcasm"))))
     return (spine.join(lb, LB_GROUP, "left")
             .select(*LB_GROUP, r6("f1_score"), F.col("n").isNull().alias("missing")))
 
 
 GRID_SPINE_SQL = f"""WITH {LB_CTE},
-spine AS (SELECT * FROM (VALUES {', '.join(f"('{m}')" for m in B.MODELS)}) a(model),
-          (VALUES {', '.join(f"('{t}')" for t in TASKS)}) b(task),
-          (VALUES {', '.join(f"('{v}')" for v in VARIETIES)}) c(variety),
-          (VALUES {', '.join(f"('{d}')" for d in DOMAINS)}) d(domain)
+spine AS (SELECT * FROM (SELECT DISTINCT model FROM preds) a, (SELECT DISTINCT task FROM preds) b,
+          (SELECT DISTINCT variety FROM preds) c, (SELECT DISTINCT domain FROM preds) d
           WHERE NOT (domain = 'Google' AND task = 'Sarcasm'))
 SELECT s.model, s.task, s.variety, s.domain, round(lb.f1_score, 6) AS f1_score, lb.f1_score IS NULL AS missing
 FROM spine s LEFT JOIN lb ON s.model = lb.model AND s.task = lb.task AND s.variety = lb.variety AND s.domain = lb.domain"""

@@ -137,15 +137,15 @@ def parse_binary_label_q(spark, sf):
     c = read_table(spark, sf, "conversations")
     k = (F.col("turn") % 4).cast("int")
     out = (F.when(k == 0, F.lit(" 1 ")).when(k == 1, F.lit("0"))
-           .when(k == 2, F.lit("Positive.")).otherwise(F.substring("text", 1, 1)))
+           .when(k == 2, F.lit("Positive.")).otherwise(F.col("text")))
     return c.select("conv_id", "turn", out.alias("raw")).select(
         "conv_id", "turn", "raw", T.parse_binary_label("raw").alias("label"))
 
 
-query("parse_binary_label", """WITH r AS (SELECT conv_id, turn, CASE CAST(turn % 4 AS INTEGER)
-    WHEN 0 THEN ' 1 ' WHEN 1 THEN '0' WHEN 2 THEN 'Positive.' ELSE substr(text, 1, 1) END AS raw
+query("parse_binary_label", f"""WITH r AS (SELECT conv_id, turn, CASE CAST(turn % 4 AS INTEGER)
+    WHEN 0 THEN ' 1 ' WHEN 1 THEN '0' WHEN 2 THEN 'Positive.' ELSE text END AS raw
     FROM conversations)
-SELECT conv_id, turn, raw, CASE WHEN trim(raw) = '1' THEN 1 WHEN trim(raw) = '0' THEN 0 ELSE -1 END AS label
+SELECT conv_id, turn, raw, CASE {S.strip_ws('raw')} WHEN '1' THEN 1 WHEN '0' THEN 0 ELSE -1 END AS label
 FROM r""")(parse_binary_label_q)
 
 

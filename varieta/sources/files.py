@@ -8,10 +8,11 @@ filters prune directories instead of reading them.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ LABELED_SCHEMA = T.StructType([
 ])
 
 SPLIT_LAYOUT = ("task", "variety", "domain", "split")
+CURRENT_LOG = "current-log"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -103,33 +105,35 @@ def path_columns(df: DataFrame, pattern: str, names: Sequence[str]) -> DataFrame
     return df.select("*", *[F.regexp_extract(p, pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
-def latest_file(spark: SparkSession, glob: str, fmt: str = "csv") -> DataFrame:
+def latest_file(spark: SparkSession, glob: str) -> DataFrame:
     """Path of the newest file matching ``glob`` (by modification time),
-    ties broken by path."""
-    df = spark.read.format(fmt).option("header", True).load(glob)
-    files = df.select(F.col("_metadata.file_path").alias("path"),
-                      F.col("_metadata.file_modification_time").alias("mtime")).distinct()
+    ties broken by path.  Only file names and times are read, no contents;
+    Spark lists no empty files."""
+    files = spark.read.format("binaryFile").load(glob).select("path", F.col("modificationTime").alias("mtime"))
     return files.agg(F.max_by("path", F.struct("mtime", "path")).alias("path"),
                      F.max("mtime").alias("mtime"))
 
 
 def publish_replacing(df: DataFrame, root: str, version: str | None = None) -> str:
-    """Write a new version next to the old one, verify it, then move the
-    ``_CURRENT`` pointer.  The previous version stays as the backup and no
-    path that readers use is ever overwritten in place."""
+    """Write a new version next to the old one, verify it, then add a line
+    to the ``current-log``, whose last line names the version to read.  The
+    previous version stays as the backup; nothing that readers use is ever
+    overwritten, and the plan runs once (the rows are counted as written)."""
     spark = df.sparkSession
     version = version or uuid.uuid4().hex[:12]
     target = os.path.join(root, f"v-{version}")
-    df.write.mode("errorifexists").parquet(target)
-    expected = df.count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(target)
+    expected = seen.get["n"]
     got = spark.read.parquet(target).count()
     if got != expected:
         raise RuntimeError(f"published {got} rows, expected {expected}")
-    spark.createDataFrame([(target,)], "path string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(root, "_CURRENT"))
+    spark.createDataFrame([(time.time_ns(), target)], "at long, path string").coalesce(1) \
+        .write.mode("append").json(os.path.join(root, CURRENT_LOG))
     return target
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    target = spark.read.text(os.path.join(root, "_CURRENT")).first()[0]
+    log = spark.read.schema("at long, path string").json(os.path.join(root, CURRENT_LOG))
+    target = log.agg(F.max_by("path", F.struct("at", "path"))).first()[0]
     return spark.read.parquet(target)
