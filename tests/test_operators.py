@@ -278,3 +278,11 @@ def test_model_is_loaded_once_a_task(spark, tmp_path):
     out = ML.batch_infer(df, "text", loader, "m", "1").collect()
     assert len(out) == 40_000 and all(r.prediction == len(r.text) for r in out)
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_parameter_search_does_not_depend_on_layout(spark):
+    from varieta.operators import ml as ML
+    df = spark.createDataFrame([(i, ("good fine " if i % 2 else "bad poor ") + f"w{i % 7}", i % 2) for i in range(80)], "id long, text string, label int")
+    a, b = ML.param_search(df.coalesce(1), regs=(0.0, 5.0)), ML.param_search(df.repartition(5), regs=(0.0, 5.0))
+    assert [r for r, _ in a] == [0.0, 5.0] and a[0][1] == 1.0
+    assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(a, b))

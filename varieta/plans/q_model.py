@@ -177,8 +177,7 @@ query("variety_identification")(variety_identification_q)
 def param_search_q(spark, sf):
     from ..operators import ml as ML
     s = _task_splits(spark, sf).where(F.col("split") == "train")
-    tvs = ML.param_search(s, regs=(0.0, 0.1))
-    rows = [(float(pm[list(pm)[0]]), float(v)) for pm, v in zip(tvs.getEstimatorParamMaps(), tvs.validationMetrics)]
+    rows = ML.param_search(s, regs=(0.0, 0.1))
     return spark.createDataFrame(rows, "reg_param double, validation_f1 double")
 
 
