@@ -209,3 +209,27 @@ def test_pipeline(spark):
         assert 0 < out.count() <= n
         docs = out
     assert sorted(map(str, p.run(spark, SF).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_queries_run_where_workers_do_not_find_the_package(tmp_path):
+    """The operators that broadcast a model, run from a folder away from the
+    repository and without it on PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = ["op3_embedding_near_dedup", "op7_lm_scoring", "op8_quality_classifier", "op9_decontamination"]
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+import __spark_entry__ as E
+from varieta.session import build_session, checkpoint_dir
+spark = build_session("local[2]", shuffle_partitions=2)
+checkpoint_dir(spark, {str(tmp_path / "shared")!r})
+for name in {names!r}:
+    print(name, E.queries()[name](spark, E.SMOKE_DIR).count() > 0)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    for name in names:
+        assert f"{name} True" in got.stdout, got.stderr[-2000:]

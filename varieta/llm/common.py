@@ -37,6 +37,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object for tasks.  Only its plain attributes (arrays, lists,
+    dicts) are broadcast; its class travels with the function that uses it, so
+    workers need not have this package on their path."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self.kind, self.state = type(obj), spark.sparkContext.broadcast(vars(obj))
+
+    @property
+    def value(self):
+        obj = self.kind.__new__(self.kind)
+        vars(obj).update(self.state.value)
+        return obj
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

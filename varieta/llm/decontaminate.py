@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Shared, stage
 
 WINDOW = 10
 BLOCK_WORDS = 50_000
@@ -178,7 +178,7 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator:
     p = p.withColumn("_block", F.pmod(F.xxhash64("item", "piece"), F.lit(n)))
     for k in range(n):
         rows = p.where(F.col("_block") == k).select("item", "whole", "piece").collect()
-        yield spark.sparkContext.broadcast(SuffixAutomaton(window).build(
+        yield Shared(spark, SuffixAutomaton(window).build(
             [(r.item, r.whole, bytes(r.piece).split(b" ")) for r in rows]))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, spanning_links, stage
+from .common import Shared, connected_components, spanning_links, stage, whole_groups
 
 BLOCK_DIM = 16
 CELL_ROWS = 16_384
@@ -110,8 +110,8 @@ def _deal(trees, q, dim, threshold):
             if not b.num_rows:
                 continue
             x = unit_rotated(_read(b.column("vec").to_pylist(), dim), q)
-            for k, (s, tree) in enumerate(zip(parts, trees.value)):
-                home, row, cell = tree.reach(x[:, s], distance_budget(threshold, dim, s))
+            for k, (s, tree) in enumerate(zip(parts, trees)):
+                home, row, cell = tree.value.reach(x[:, s], distance_budget(threshold, dim, s))
                 rows = pa.array(np.concatenate([np.arange(len(x)), row]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.concatenate([home, cell]).astype(np.int32)),
@@ -161,7 +161,6 @@ def _join_cells(q, dim, threshold):
     """One cell (a home tile against a tile of homes and visitors) at a time."""
     def run(batches):
         import pyarrow as pa
-        from .common import whole_groups
         keys = ["block", "cell", "ht", "vt"]
         for t in whole_groups(batches, keys, 1):
             k = np.stack([t.column(c).to_numpy() for c in keys])
@@ -208,7 +207,7 @@ def pigeonhole_links(distinct: DataFrame, dim: int, threshold: float, cell_rows:
     rows = [bytes(r.vec) for r in pick.toLocalIterator()]
     x = unit_rotated(_read(rows, dim), q) if rows else np.zeros((0, dim))
     cells = max(1, min(math.ceil(n / cell_rows), max(1, len(rows) // 16)))
-    trees = spark.sparkContext.broadcast([CellTree(x[:, s], cells) for s in blocks(dim)])
+    trees = [Shared(spark, CellTree(x[:, s], cells)) for s in blocks(dim)]
     dealt = distinct.mapInArrow(_deal(trees, q, dim, threshold),
                                 "block int, cell int, home boolean, node long, vec binary, weight long")
     dealt = stage(dealt, "cells")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, stage
+from .common import Shared, lower_words, stage, whole_groups
 
 CHUNK_TOKENS = 200_000        # scored at a time
 COUNT_TOKENS = 500_000        # combined before they move
@@ -174,7 +174,6 @@ def _sum_by_hash(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _model_parts(batches: Iterator) -> Iterator:
     """Parts summed up: exact word counts and the filter of the pair counts."""
     import pyarrow as pa
-    from .common import whole_groups
     for t in whole_groups(batches, ["part"], 1, None):
         part = t.column("part").to_numpy()
         for p in np.unique(part):
@@ -338,7 +337,7 @@ def lm_scores(docs: DataFrame, smoothing: float = SMOOTHING, shard_bytes: int =
         empty = {"words": b"", "word_n": b"", "bits": b""}
         rows = sorted([*rows, *({"part": p, **empty} for p in {bounds[k], bounds[k + 1] - 1} - {r["part"] for r in rows})],
                       key=lambda r: r["part"])
-        shard = spark.sparkContext.broadcast(Shard(rows, n_parts, tokens, types))
+        shard = Shared(spark, Shard(rows, n_parts, tokens, types))
         del rows
         out = docs.mapInArrow(_score(shard, smoothing, doc_type), schema + (", _text long" if many else ""))
         out = stage(out, "scores") if many else out

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Shared, stage
 
 DIMS = 1 << 18
 SAMPLE_ROWS = 6_000
@@ -229,7 +229,7 @@ def quality_scores(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: f
     Null and empty texts get the vote junk of two labellers and are scored like
     any other; null and repeated doc_ids and repeated rows keep their rows; an
     empty table gives no rows; extra columns are ignored (or kept)."""
-    bc = docs.sparkSession.sparkContext.broadcast(train(docs, sample_rows))
+    bc = Shared(docs.sparkSession, train(docs, sample_rows))
     if keep_columns:
         at = docs.columns.index("text")
 

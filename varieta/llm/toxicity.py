@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import Shared, stage
 
 BUCKETS = 1 << 20
 SAMPLE_ROWS = 20_000
@@ -203,7 +203,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     documents are not used; of repeated labels the highest counts; without
     labels nothing is toxic; null doc_ids and repeated rows keep their rows;
     an empty table gives no rows; other columns are ignored."""
-    bc = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    bc = Shared(docs.sparkSession, train(docs, labels, sample_rows))
 
     def run(batches):
         import pyarrow as pa
