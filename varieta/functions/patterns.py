@@ -40,14 +40,25 @@ NON_ASCII = r"[^\x00-\x7F]"                              # C16
 BRACKET_PAIRS = (("[", "]"), ("(", ")"), ("{", "}"))
 
 # --- fixed values: emoji code points (C2) --------------------------------
-# Pictographic blocks, dingbats, regional indicators, variation selector,
-# zero-width joiner, keycap combiner, skin tones and tag characters.
-EMOJI_CLASS = (
-    r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}"
-    r"\x{2190}-\x{21FF}\x{25A0}-\x{25FF}\x{2900}-\x{297F}\x{3030}\x{303D}"
-    r"\x{3297}\x{3299}\x{203C}\x{2049}\x{2122}\x{2139}\x{24C2}\x{00A9}"
-    r"\x{00AE}\x{FE0E}\x{FE0F}\x{200D}\x{20E3}\x{E0020}-\x{E007F}]"
+# Characters of the Unicode emoji list, one by one or in its ranges; arrows,
+# technical signs and shapes that are no emoji stay.
+_EMOJI = (
+    r"\x{00A9}\x{00AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}\x{231B}\x{2328}\x{23CF}"
+    r"\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}\x{24C2}\x{25AA}\x{25AB}\x{25B6}\x{25C0}\x{25FB}-\x{25FE}\x{2600}-\x{2604}\x{260E}"
+    r"\x{2611}\x{2614}\x{2615}\x{2618}\x{261D}\x{2620}\x{2622}\x{2623}\x{2626}\x{262A}\x{262E}\x{262F}\x{2638}-\x{263A}"
+    r"\x{2640}\x{2642}\x{2648}-\x{2653}\x{265F}\x{2660}\x{2663}\x{2665}\x{2666}\x{2668}\x{267B}\x{267E}\x{267F}"
+    r"\x{2692}-\x{2697}\x{2699}\x{269B}\x{269C}\x{26A0}\x{26A1}\x{26A7}\x{26AA}\x{26AB}\x{26B0}\x{26B1}\x{26BD}\x{26BE}"
+    r"\x{26C4}\x{26C5}\x{26C8}\x{26CE}\x{26CF}\x{26D1}\x{26D3}\x{26D4}\x{26E9}\x{26EA}\x{26F0}-\x{26F5}\x{26F7}-\x{26FA}"
+    r"\x{26FD}\x{2702}\x{2705}\x{2708}-\x{270D}\x{270F}\x{2712}\x{2714}\x{2716}\x{271D}\x{2721}\x{2728}\x{2733}\x{2734}"
+    r"\x{2744}\x{2747}\x{274C}\x{274E}\x{2753}-\x{2755}\x{2757}\x{2763}\x{2764}\x{2795}-\x{2797}\x{27A1}\x{27B0}\x{27BF}"
+    r"\x{2934}\x{2935}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}\x{2B50}\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F004}\x{1F0CF}"
+    r"\x{1F170}\x{1F171}\x{1F17E}\x{1F17F}\x{1F18E}\x{1F191}-\x{1F19A}\x{1F1E6}-\x{1F1FF}\x{1F201}\x{1F202}\x{1F21A}\x{1F22F}"
+    r"\x{1F232}-\x{1F23A}\x{1F250}\x{1F251}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}\x{1F7F0}"
+    r"\x{1F90C}-\x{1F9FF}\x{1FA70}-\x{1FAFF}"
 )
+# A keycap with its key, or an emoji with the selectors, tags and joined
+# emoji that follow it; a joiner or selector elsewhere (Indic text) stays.
+EMOJI_SEQUENCE = rf"[0-9#*]\x{{FE0F}}?\x{{20E3}}|[{_EMOJI}](?:[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}\x{{E0020}}-\x{{E007F}}]|\x{{200D}}[{_EMOJI}])*"
 
 # --- fixed values: text repair subset (C3) -------------------------------
 HTML_ENTITIES = (           # applied in this order; &amp; last
@@ -70,6 +81,29 @@ REPAIR_TRIGGER = (r"[\x00-\x08\x0B\x0D-\x1F\x7F\x85\x{02BC}\x{2018}-\x{201F}\x{2
 FULLWIDTH_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 FULLWIDTH_TO = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
+# Mojibake: UTF-8 bytes read as Latin-1 or its Windows form.  Each rule is
+# (lead characters, following characters, what a following one stands for),
+# built from the byte ranges of Latin-1 letters and signs (U+00A0..U+00FF) and
+# of dashes, quotes, bullet and ellipsis (U+2010..U+2026).
+
+
+def _read_as_latin(first: int, last: int, shift: int) -> tuple[str, str]:
+    """Following characters for the bytes ``first..last`` and their meaning."""
+    pairs = [(chr(b), chr(b + shift)) for b in range(first, last + 1)]
+    for b in range(first, min(last, 0x9F) + 1):
+        windows = bytes([b]).decode("cp1252", "ignore")
+        if windows:
+            pairs.append((windows, chr(b + shift)))
+    return "".join(p for p, _ in pairs), "".join(m for _, m in pairs)
+
+
+MOJIBAKE = (
+    ("\u00c3", *_read_as_latin(0x80, 0xBF, 0x40)),
+    ("\u00c2", *_read_as_latin(0xA0, 0xBF, 0)),
+    ("\u00e2\u20ac", *_read_as_latin(0x90, 0xA6, 0x2000 - 0x80)),
+    ("\u00e2\u0080", *_read_as_latin(0x90, 0xA6, 0x2000 - 0x80)),
+)
+
 # --- fixed values: tokenisation and code-mixing detector (C11, M1-M3) ----
 TOKEN = r"[A-Za-z]+(?:['-][A-Za-z]+)*"
 TOKEN_OR_SYMBOL = TOKEN + f"|[^\\p{{L}}\\p{{N}}_{WS}]"

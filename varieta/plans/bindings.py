@@ -29,6 +29,8 @@ NOISE_SUFFIXES = (
     "\n\n\nblank lines\n\n  ",
     " &amp; “curly” ‘quotes’ ＦＵＬＬ &lt;tag&gt;",
     " www.example.org/page visit (nested (round) text) {ok}",
+    " caf\u00c3\u00a9 na\u00c3\u00afve \u00c3\u20ac la carte \u00c2\u00a35 \u00e2\u20ac\u0153so\u00e2\u20ac\u009d \u00e2\u20ac\u201c \u00c3x \u00c3",
+    " \u2192 \u25a0 \u2605 \u2318 \u0915\u094d\u200d\u0937 1\ufe0f\u20e3 \U0001F468\u200D\U0001F469\u200D\U0001F467 done",
     "",
 )
 

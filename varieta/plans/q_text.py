@@ -35,8 +35,8 @@ SELECT doc_id, {S.remove_urls('text')} AS out, {S.remove_urls('text', ' ')} AS o
        {S.remove_urls('text', loose=True)} AS out_loose FROM noisy""")(remove_urls_q)
 
 _on_noisy("remove_emoji", T.remove_emoji, S.remove_emoji)                          # C2
-_on_noisy("fix_text", lambda c: T.fix_text_subset(T.unescape_html(c)),             # C3
-          lambda x: S.fix_text_subset(S.unescape_html(x)))
+_on_noisy("fix_text", lambda c: T.fix_text_subset(T.fix_mojibake(T.unescape_html(c))),             # C3
+          lambda x: S.fix_text_subset(S.fix_mojibake(S.unescape_html(x))))
 _on_noisy("fix_contractions", T.fix_contractions, S.fix_contractions)              # C4
 _on_noisy("strip_gifs", T.strip_gifs, S.strip_gifs)                                # C5
 _on_noisy("unwrap_links", T.unwrap_links, S.unwrap_links)                          # C6
