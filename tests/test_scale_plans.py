@@ -8,32 +8,24 @@ from pyspark.sql import functions as F
 
 from varieta.functions import codemix as CM
 from varieta.operators import langid as LID
-from varieta.session import spread
+from varieta.session import SPREAD, read_table
 
 
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_spread_leaves_a_wide_scan_alone(spark, tmp_path):
-    rows = [(i, f"text {i}") for i in range(4000)]
-    path = str(tmp_path / "wide")
-    n_slots = spark.sparkContext.defaultParallelism
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(4 * n_slots).write.parquet(path)
-    wide = spark.read.parquet(path)
-    assert wide.rdd.getNumPartitions() >= n_slots
-    assert "Exchange" not in _plan(spread(wide, ["doc_id"]))
-
-
-def test_spread_hashes_a_short_scan_on_its_key(spark, tmp_path):
-    path = str(tmp_path / "short")
-    spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string") \
-        .coalesce(1).write.parquet(path)
-    short = spark.read.parquet(path)
-    out = spread(short, ["doc_id"])
-    plan = _plan(out)
-    assert "Exchange hashpartitioning(doc_id" in plan
-    assert sorted(r[0] for r in out.collect()) == list(range(100))
+def test_spread_is_the_users_choice(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    assert "Exchange" not in _plan(read_table(spark, str(tmp_path), "documents"))
+    spark.conf.set(SPREAD, "6")
+    try:
+        out = read_table(spark, str(tmp_path), "documents")
+        assert "Exchange hashpartitioning(doc_id" in _plan(out)
+        assert sorted(r[0] for r in out.collect()) == list(range(100))
+    finally:
+        spark.conf.unset(SPREAD)
 
 
 def test_generators_do_not_push_the_tokeniser_to_the_scan(spark, tmp_path):
@@ -81,3 +73,14 @@ def test_romanised_cue_equals_the_fixed_pattern(spark):
     df = spark.createDataFrame([(t,) for t in tokens], "t string")
     diff = df.where(F.col("t").rlike(P.ROMANISED_CUE) != CM.romanised_cue(F.col("t")))
     assert diff.count() == 0
+
+
+def test_language_scores_are_the_same_by_both_joins(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "la maison", "fr"), (4, "the house", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, langs = LID.train_nb(docs, "text", "lang")
+
+    def scores(limit):
+        got = LID.language_scores(docs, "doc_id", "text", model, langs, broadcast_grams=limit)
+        return {(r.doc_id, r.lang): round(r.prob, 9) for r in got.collect()}
+    assert scores(0) == scores(10**6) and len(scores(0)) == 8

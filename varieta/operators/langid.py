@@ -7,9 +7,10 @@ Scoring uses only the (gram, language) pairs that occur in the model:
 
 where u(l) = log 1/(N_l + V) is the add-one value of an unseen gram and
 G(d) the number of grams in d.  So the join is an inner equi-join on the
-gram, never a document × language × vocabulary product.  Hot grams are
-split by AQE's skew-join handling; per-document gram counts are
-pre-aggregated on the mapper (a document's grams come from one row).
+gram, never a document × language × vocabulary product.  A model whose
+counted rows stay below a limit is broadcast and only one partial sum per
+document is shuffled; a larger one joins per-document gram counts, whose
+hot grams AQE splits.
 """
 
 from __future__ import annotations
@@ -61,33 +62,36 @@ def train_nb(docs: DataFrame, text_col: str, label_col: str, n: int = 3) -> tupl
     return model, langs.select("lang", "prior", "unseen")
 
 
+BROADCAST_GRAMS = 500_000     # model rows sent to every task at most
+
+
 def language_scores(docs: DataFrame, id_col: str, text_col: str, model: DataFrame,
-                    langs: DataFrame, n: int = 3) -> DataFrame:
+                    langs: DataFrame, n: int = 3, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(id, lang, score, prob) for every language, probabilities normalised
     per document.
 
-    One pass over the text: each document's grams are counted with its total
-    gram count G carried along (a document's grams come from one row, so the
-    count is combined on the mapper), left-joined to the model pivoted to one
-    row per gram (AQE broadcasts it when it measures it small, else the
-    hot-gram skew split applies), and folded back per document with one sum
-    per language.  The language set is the label set (one row per
-    language, like a StringIndexer's labels) and is read to the driver once,
-    so scores and probabilities are array expressions on the document's row
-    — no (document, language) shuffle and no window."""
+    The model is pivoted to one row per gram, so a join emits one row per gram
+    whatever the number of languages.  If its counted rows are at most
+    ``broadcast_grams``, every gram of a text meets it where the text is read
+    and one partial sum per document and language is all that is shuffled.
+    A larger model joins the counts per (document, gram), whose hot grams AQE
+    splits.  Both give the same scores.  The language set is the label set
+    (one row per language, like a StringIndexer's labels) and is read to the
+    driver once, so scores and probabilities are array expressions on the
+    document's row."""
     rows = sorted(langs.select("lang", "prior", "unseen").collect(), key=lambda r: r["lang"])
-    grams = char_ngrams(F.col(text_col), n)
-    dg = (docs.select(id_col, grams.alias("_g"))
-          .select(id_col, F.size("_g").alias("G"), F.explode_outer("_g").alias("gram"))
-          .where(F.col("gram").isNotNull())  # outer + filter: see explode_grams
-          .groupBy(id_col, "gram").agg(F.count("*").alias("k"), F.max("G").alias("G")))
-    # the model one row per gram: weight log p(g|l) - u(l) per language (0
-    # where the gram is unseen in l), so the join emits one row per
-    # (document, gram) whatever the number of languages
+    # weight log p(g|l) - u(l) per language (0 where the gram is unseen in l)
     wide = model.groupBy("gram").agg(*[
         F.max(F.when(F.col("lang") == F.lit(r["lang"]), F.col("logp") - F.lit(r["unseen"]))).alias(f"_w{i}")
         for i, r in enumerate(rows)])
-    j = dg.join(wide, "gram", "left")
+    grams = docs.select(id_col, char_ngrams(F.col(text_col), n).alias("_g")) \
+        .select(id_col, F.size("_g").alias("G"), F.explode_outer("_g").alias("gram")) \
+        .where(F.col("gram").isNotNull())  # outer + filter: see explode_grams
+    if wide.count() <= broadcast_grams:
+        j = grams.withColumn("k", F.lit(1)).join(F.broadcast(wide), "gram", "left")
+    else:
+        counted = grams.groupBy(id_col, "gram").agg(F.count("*").alias("k"), F.max("G").alias("G"))
+        j = counted.join(wide, "gram", "left")
     per_lang = [F.sum(F.col("k") * F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_m{i}")
                 for i in range(len(rows))]
     per_doc = j.groupBy(id_col).agg(F.max("G").alias("G"), *per_lang)

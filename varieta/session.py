@@ -82,28 +82,23 @@ def table_path(sf_dir: str, name: str) -> str:
 TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
 
 
-def spread(df: DataFrame, keys) -> DataFrame:
-    """Give CPU-heavy text work (regex chains, tokenising) every task slot.
-
-    A scan planned with at least one input split per task slot is returned as
-    it is: Spark sizes splits so that a multi-file table already fills the
-    cluster, and no shuffle is added.  A short scan (one small file: a single
-    row group is read by one task whatever the split count) is
-    hash-partitioned on its unique ``keys`` into
-    ``spark.sql.shuffle.partitions`` parts.  Unique keys cannot be skewed,
-    and a later aggregate or join on them reuses the partitioning instead of
-    shuffling again.  (A scan with enough splits but far fewer row groups
-    than slots is not detected; files written by Spark have row groups of
-    about the split size.)"""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, slots), *keys)
+SPREAD = "spark.varieta.spread.partitions"
+
+
+def spread(df: DataFrame, keys, parts: int) -> DataFrame:
+    """Give CPU-heavy text work (regex chains, tokenising) ``parts`` tasks:
+    the scan is hash-partitioned on its unique ``keys``.  Unique keys cannot
+    be skewed, and a later aggregate or join on them reuses the partitioning.
+    With 0 the scan stays as Spark splits it: nothing is shuffled.
+
+    It pays where a table is one small file, which Spark reads in one task;
+    tables of many files fill a cluster by themselves, so 0 is the default."""
+    return df.repartition(parts, *keys) if parts else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; text tables are spread over as many tasks as the session
+    setting ``spark.varieta.spread.partitions`` says (unset: as they are)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     keys = TEXT_KEYS.get(name)
-    return spread(df, keys) if keys else df
+    return spread(df, keys, int(spark.conf.get(SPREAD, "0"))) if keys else df

@@ -3,8 +3,8 @@
 The reference collects by polling; landing those polls as files makes the
 ingestion naturally incremental.  Every query here is a ``readStream`` →
 transformations → ``writeStream`` with a checkpoint in the shared
-checkpoint folder, so a restarted or retried query resumes exactly where it
-stopped.  ``run_available`` drains what has landed (``availableNow``) and
+checkpoint folder, so a query that is given the same folder again resumes
+exactly where it stopped, and a replayed batch overwrites its own output.  ``run_available`` drains what has landed (``availableNow``) and
 returns a batch read of the sink.
 """
 
@@ -62,19 +62,31 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hou
             .agg(F.count("*").alias("n")))
 
 
+def epoch_sink(out: str, mode: str = "append",
+               transform_batch: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer that can be replayed: each epoch has a folder of its own
+    under ``out``, overwritten when the engine runs the epoch again (complete
+    mode holds the last result alone)."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        b = transform_batch(batch) if transform_batch else batch
+        b.write.mode("overwrite").parquet(os.path.join(out, "epoch=0" if mode == "complete" else f"epoch={epoch}"))
+    return sink
+
+
 def run_available(df: DataFrame, name: str, mode: str = "append",
-                  transform_batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Drain all available input once; the sink is parquet under the shared
-    checkpoint folder (complete mode rewrites it per batch)."""
+                  transform_batch: Callable[[DataFrame], DataFrame] | None = None, root: str | None = None) -> DataFrame:
+    """Drain what has landed and return a batch read of the sink.
+
+    ``root`` (a shared folder) holds the sink and the checkpoint: a later call
+    with the same folder takes up where the last one stopped and reads only
+    new input.  Without it the call has a fresh folder under the shared
+    checkpoint folder."""
     spark = df.sparkSession
-    root = scratch_path(spark, f"stream-{name}")
+    root = root or scratch_path(spark, f"stream-{name}")
     out, ckpt = os.path.join(root, "out"), os.path.join(root, "_checkpoint")
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        b = transform_batch(batch) if transform_batch else batch
-        b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    sink = epoch_sink(out, mode, transform_batch)
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")
