@@ -58,6 +58,8 @@ _EMOJI = (
 )
 # A keycap with its key, or an emoji with the selectors, tags and joined
 # emoji that follow it; a joiner or selector elsewhere (Indic text) stays.
+# Four ranges that hold them all: a text without any is not searched further.
+EMOJI_TRIGGER = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F004}-\x{1FAFF}]"
 EMOJI_SEQUENCE = rf"[0-9#*]\x{{FE0F}}?\x{{20E3}}|[{_EMOJI}](?:[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}\x{{E0020}}-\x{{E007F}}]|\x{{200D}}[{_EMOJI}])*"
 
 # --- fixed values: text repair subset (C3) -------------------------------
