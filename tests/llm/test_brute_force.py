@@ -179,6 +179,21 @@ def test_passages_over_partition_and_batch_borders(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_passages_of_repeated_rows_stay_at_their_first_place(spark):
+    """Documents that stand twice are the first holders of shared passages:
+    their contexts reach the index from each row, also from different tasks."""
+    rng = np.random.default_rng(15)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = text(300)
+    rows = [(7, text(200) + shared + text(200)), (None, text(150) + shared + text(90))]
+    rows = rows * 3 + [(8, text(200) + shared + text(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 5):
+        check_passages(df.repartition(n))
+        check_passages(df.repartition(n), hot_contexts=1)
+        assert suffix_dedup.dedup_passages(df.repartition(n)).where("doc_id = 7 and n_removed > 0").count() == 0
+
+
 def test_run_length_index_counts_windows():
     rng = np.random.default_rng(7)
     strings = [bytes(rng.integers(97, 99, n).tolist()) for n in rng.integers(100, 140, 30)]

@@ -201,10 +201,16 @@ def _cut_contexts(length: int):
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             out = ([], [], [], [], [])
             size = 0
             for doc, tie, text, todo in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if (doc, tie) in seen:        # a repeated row is no other place
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add((doc, tie))
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in todo:
                     at, n = x["span"] >> 8, x["span"] & 255
@@ -342,10 +348,28 @@ def repeated_windows(strings: list[bytes], order: np.ndarray, length: int) -> tu
     return np.concatenate(found_s), np.concatenate(found_o)
 
 
+def _once(batches: Iterator, keys: list[str]) -> Iterator:
+    """Batches sorted by ``keys`` without the rows that equal the row before
+    in all of them.  Streams: only the last row's keys are held."""
+    import pyarrow as pa
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        c = [b.column(k).to_numpy() for k in keys]
+        same = np.ones(b.num_rows, bool)
+        for k, x in enumerate(c):
+            same &= np.r_[last is not None and x[0] == last[k], x[1:] == x[:-1]]
+        last = tuple(x[-1] for x in c)
+        yield b.filter(pa.array(~same)) if same.any() else b
+
+
 def _index_contexts(length: int, index_bytes: int):
+    """Rows sorted by (key, doc, tie, start).  Rows that repeat a document give
+    its contexts again, which are no other places."""
     def run(batches):
         import pyarrow as pa
-        for t in whole_groups(batches, ["key"], index_bytes, "data"):
+        for t in whole_groups(_once(batches, ["key", "doc", "tie", "start"]), ["key"], index_bytes, "data"):
             doc, tie, start = (t.column(c).to_numpy() for c in ("doc", "tie", "start"))
             order = np.empty(len(doc), np.int64)
             order[np.lexsort((start, tie, doc))] = np.arange(len(doc))
@@ -385,7 +409,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, chunk_bytes: int = CHUNK_
         F.collect_list(F.struct("anchor", "span", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
     cut = docs.select("doc", "tie", "text").join(todo, ["doc", "tie"]).select("doc", "tie", "text", "todo").mapInArrow(
         _cut_contexts(length), "key long, doc long, tie long, start long, data binary")
-    shared = stage(cut.repartition("key").sortWithinPartitions("key").mapInArrow(
+    shared = stage(cut.repartition("key").sortWithinPartitions("key", "doc", "tie", "start").mapInArrow(
         _index_contexts(length, index_bytes), "doc long, tie long, span long"), "windows")
     return found.where("kind = 0").select("doc", "tie", "span").unionByName(shared)
 
