@@ -194,6 +194,28 @@ def test_passages_of_repeated_rows_stay_at_their_first_place(spark):
         assert suffix_dedup.dedup_passages(df.repartition(n)).where("doc_id = 7 and n_removed > 0").count() == 0
 
 
+def test_windows_of_hot_anchors_move_once_a_chunk(spark):
+    """A passage between different neighbours: its windows are combined before
+    the shuffle, whatever the number of documents, and stay exact."""
+    rng = np.random.default_rng(16)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    line = text(160)
+    texts = [text(120) + line + text(120) for _ in range(300)]
+    whole = [[{"anchor": 1, "span": at << 8 | 160, "hot": True} for at in (100, 161)] for _ in texts]
+    import pyarrow as pa
+    todo = pa.array(whole, pa.list_(pa.struct([("anchor", pa.int64()), ("span", pa.int64()), ("hot", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([0] * 300), pa.array(texts), todo], ["doc", "tie", "text", "todo"])
+    out = pa.Table.from_batches(suffix_dedup._cut_contexts(100, 1 << 30)([batch])).to_pylist()
+    rows = Counter((r["key"], r["data"]) for r in out if r["kind"] == suffix_dedup._WINDOW)
+    assert set(rows.values()) == {1}
+    inside = {line[i:i + 100].encode() for i in range(61)}
+    assert all(r["doc"] == 0 for r in out if r["data"] in inside)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 4):
+        check_passages(df.repartition(n), hot_contexts=5)
+        check_passages(df.repartition(n), hot_contexts=5, window_bytes=2_000)
+
+
 def test_run_length_index_counts_windows():
     rng = np.random.default_rng(7)
     strings = [bytes(rng.integers(97, 99, n).tolist()) for n in rng.integers(100, 140, 30)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ GRAM = 32                    # anchor length; the doubling below fixes it
 CHUNK_BYTES = 4 << 20
 INDEX_BYTES = 1 << 20
 HOT_CONTEXTS = 20_000
+WINDOW_BYTES = 8 << 20       # windows of hot anchors combined before they move
 _U = np.uint64
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
 _STEP = [_U(x | 1) for x in np.random.default_rng(12).integers(0, 2**63, 8).tolist()]
@@ -194,17 +196,37 @@ def _reduce_contexts(batches: Iterator) -> Iterator:
     return
 
 
-def _cut_contexts(length: int):
+_DECIDED, _WINDOW, _CONTEXT = range(3)
+_CUT = ["kind", "key", "data", "doc", "tie", "start"]
+
+
+def _cut_contexts(length: int, window_bytes: int):
     """Bytes of the contexts that go to the index, cut from their documents.
     Contexts of a hot anchor are cut in single windows, each under its own
-    key, so that no key gathers all of them."""
+    key.  Of equal windows of one chunk only the first place moves; the others
+    are decided here (``start`` is then the packed span)."""
     def run(batches):
-        import pyarrow as pa
         from xxhash import xxh64_intdigest
         seen: set[tuple[int, int]] = set()
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        first: dict[bytes, tuple[int, int, int]] = {}
+        again: list[tuple[int, int, int]] = []
+        size = wide = 0
+
+        def put(*row):
+            for o, v in zip(out, row):
+                o.append(v)
+
+        def combined():
+            for w, place in first.items():
+                put(_WINDOW, xxh64_intdigest(w, 3) - 2**63, w, *place)
+            if again:
+                doc, tie, span = _runs(*np.array(again, np.int64).T, length)
+                for key, d, t, x in zip(_mix(doc.astype(np.uint64)).view(np.int64).tolist(), doc.tolist(), tie.tolist(), span.tolist()):
+                    put(_DECIDED, key, b"", d, t, x)
+            first.clear()
+            again.clear()
         for b in batches:
-            out = ([], [], [], [], [])
-            size = 0
             for doc, tie, text, todo in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if (doc, tie) in seen:        # a repeated row is no other place
                     continue
@@ -214,24 +236,49 @@ def _cut_contexts(length: int):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for x in todo:
                     at, n = x["span"] >> 8, x["span"] & 255
-                    pieces = [(x["anchor"], at, data[at:at + n])]
-                    if x["hot"]:
-                        pieces = [(xxh64_intdigest(w, 3) - 2**63, i, w) for i in range(at, at + n - length + 1) for w in (data[i:i + length],)]
-                    for key, i, w in pieces:
-                        for o, v in zip(out, (key, doc, tie, i, w)):
-                            o.append(v)
-                        size += len(w)
+                    if not x["hot"]:
+                        put(_CONTEXT, x["anchor"], data[at:at + n], doc, tie, at)
+                        size += n
+                        continue
+                    for i in range(at, at + n - length + 1):
+                        w, place = data[i:i + length], (doc, tie, i)
+                        old = first.setdefault(w, place)
+                        if old is place:
+                            wide += length
+                        elif old != place:
+                            first[w] = min(old, place)
+                            again.append(max(old, place))
+                            wide += 24
+                    if wide >= window_bytes:
+                        combined()
+                        wide, size = 0, size + wide
                 if size > 8 << 20:
-                    yield _context_batch(pa, out)
-                    out, size = ([], [], [], [], []), 0
-            if out[0]:
-                yield _context_batch(pa, out)
+                    yield _cut_batch(out)
+                    out, size = ([], [], [], [], [], []), 0
+        combined()
+        if out[0]:
+            yield _cut_batch(out)
     return run
 
 
-def _context_batch(pa, out):
-    return pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())],
-                                      ["key", "doc", "tie", "start", "data"])
+def _cut_batch(out):
+    import pyarrow as pa
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], _CUT)
+
+
+def _runs(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows as packed spans: neighbours in one document are joined as far
+    as a span's size allows."""
+    by = np.lexsort((start, tie, doc))
+    doc, tie, start = doc[by], tie[by], start[by]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] > start[:-1] + 1)]
+    head = start[np.flatnonzero(new)][np.cumsum(new) - 1]
+    block = (start - head) // (256 - length)
+    new |= np.r_[False, block[1:] != block[:-1]]
+    at = np.flatnonzero(new)
+    size = start[np.r_[at[1:], len(start)] - 1] - start[at] + length
+    return doc[at], tie[at], start[at] << 8 | size
 
 
 class RunLengthIndex:
@@ -364,12 +411,46 @@ def _once(batches: Iterator, keys: list[str]) -> Iterator:
         yield b.filter(pa.array(~same)) if same.any() else b
 
 
+def _found(doc, tie, span):
+    import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tie), pa.array(span)], ["doc", "tie", "span"])
+
+
+def _repeated_single_windows(length: int):
+    """Windows sorted by (data, doc, tie, start) under each key: all but the
+    first place of each are repeated.  Streams: only the last row is held."""
+    last = last_place = None
+
+    def run(b):
+        nonlocal last, last_place
+        data = np.frombuffer(b"".join(b.column("data").to_pylist()), np.uint8).reshape(-1, length)
+        place = np.stack([b.column(c).to_numpy() for c in ("doc", "tie", "start")], axis=1)
+        before = np.concatenate([data[:1] if last is None else last, data[:-1]])
+        before_place = np.concatenate([place[:1] if last is None else last_place, place[:-1]])
+        again = (data == before).all(axis=1) & (place != before_place).any(axis=1)
+        last, last_place = data[-1:], place[-1:]
+        return _runs(*place[again].T, length) if again.any() else None
+    return run
+
+
 def _index_contexts(length: int, index_bytes: int):
-    """Rows sorted by (key, doc, tie, start).  Rows that repeat a document give
-    its contexts again, which are no other places."""
+    """Rows sorted by _CUT: decided spans, single windows, then contexts.  Rows
+    that repeat a document give its contexts again, which are no other places."""
     def run(batches):
         import pyarrow as pa
-        for t in whole_groups(_once(batches, ["key", "doc", "tie", "start"]), ["key"], index_bytes, "data"):
+        batches, windows = iter(batches), _repeated_single_windows(length)
+        rest: Iterator = iter(())
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            done, single, other = (b.filter(pa.array(kind == k)) for k in (_DECIDED, _WINDOW, _CONTEXT))
+            if done.num_rows:
+                yield _found(*(done.column(c).to_numpy() for c in ("doc", "tie", "start")))
+            if single.num_rows and (got := windows(single)) is not None:
+                yield _found(*got)
+            if other.num_rows:                 # the last kind
+                rest = chain([other], batches)
+                break
+        for t in whole_groups(_once(rest, ["key", "doc", "tie", "start"]), ["key"], index_bytes, "data"):
             doc, tie, start = (t.column(c).to_numpy() for c in ("doc", "tie", "start"))
             order = np.empty(len(doc), np.int64)
             order[np.lexsort((start, tie, doc))] = np.arange(len(doc))
@@ -382,19 +463,21 @@ def _index_contexts(length: int, index_bytes: int):
             stop = np.r_[new[1:], len(s)] - 1
             at = start[s[new]] + o[new]
             size = o[stop] - o[new] + length
-            yield pa.RecordBatch.from_arrays([pa.array(doc[s[new]]), pa.array(tie[s[new]]), pa.array(at << 8 | size)], ["doc", "tie", "span"])
+            yield _found(doc[s[new]], tie[s[new]], at << 8 | size)
     return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, chunk_bytes: int = CHUNK_BYTES, index_bytes: int = INDEX_BYTES,
-                   hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+                   hot_contexts: int = HOT_CONTEXTS, window_bytes: int = WINDOW_BYTES) -> DataFrame:
     """(doc, tie, span) over ``docs(doc, tie, text)``: spans (start << 8 | bytes)
     whose bytes lie in a window of ``length`` bytes that starts earlier.
 
     1. Every document is cut in contexts by anchors; equal contexts are
        combined, per chunk before the shuffle and then per anchor.
     2. Different contexts with one anchor go, by anchor, through a run-length
-       index that finds the windows they share.
+       index that finds the windows they share.  Those of an anchor with more
+       than ``hot_contexts`` go as single windows: equal ones are combined per
+       chunk before the shuffle, the others compared with the row before.
     A context or window is compared by two 64-bit hashes in step 1, by its
     bytes in step 2."""
     if not 2 * GRAM <= length <= 112:
@@ -408,8 +491,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, chunk_bytes: int = CHUNK_
     todo = todo.join(hot, "anchor", "left").groupBy("doc", "tie").agg(
         F.collect_list(F.struct("anchor", "span", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("todo"))
     cut = docs.select("doc", "tie", "text").join(todo, ["doc", "tie"]).select("doc", "tie", "text", "todo").mapInArrow(
-        _cut_contexts(length), "key long, doc long, tie long, start long, data binary")
-    shared = stage(cut.repartition("key").sortWithinPartitions("key", "doc", "tie", "start").mapInArrow(
+        _cut_contexts(length, window_bytes), "kind int, key long, data binary, doc long, tie long, start long")
+    shared = stage(cut.repartition("key").sortWithinPartitions(*_CUT).mapInArrow(
         _index_contexts(length, index_bytes), "doc long, tie long, span long"), "windows")
     return found.where("kind = 0").select("doc", "tie", "span").unionByName(shared)
 
