@@ -87,6 +87,16 @@ def test_leaf_blocks_by_hand():
         (("html", "body", "div.ad.box", "ul", "li"), "b"), (("html", "body"), "tail")]
 
 
+def test_leaf_blocks_after_self_closed_images_and_open_heads():
+    body = [(("html", "body", "p"), "one"), (("html", "body", "p"), "two")]
+    for empty in ("<svg class='i' width=\"1\" />", "<svg/>", "<math />"):
+        assert html.leaf_blocks(f"<html><body><p>one</p>{empty}<p>two</p></body></html>") == body
+        assert html.leaf_blocks(f"<html><body><p>one</p>{empty}<p>two</p><svg><text>no</text></svg><math><mi>x</mi></math></body>") == body
+    assert html.leaf_blocks("<html><head><title>T</title><meta charset=x><body><p>one</p><p>two") == body
+    assert html.leaf_blocks("<head><link rel=a><script>x()</script><style>p{}</style>\n<h1>one</h1>two") == [(("h1",), "one"), ((), "two")]
+    assert html.leaf_blocks("<head><title>T</title>one <img src=x> two") == [((), "one two")]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     m = html.BlockLabeller()
