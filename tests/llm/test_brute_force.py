@@ -127,6 +127,21 @@ def test_keep_one_leaves_one_row_of_each_group(spark, documents):
     assert kept.count() == comp.select("component_id").distinct().count()
 
 
+def test_keep_one_with_repeated_and_missing_ids(spark):
+    word = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    rows = [(1, word("a"), "x"), (1, word("a"), "x"), (1, word("b"), "x"), (0, word("b"), "y"), (None, word("a"), "x"),
+            (None, word("c"), "x"), (None, word("c"), "x"), (None, word("d"), "z"), (None, word("d"), None), (5, word("d"), "z"),
+            (6, word("e"), None), (6, word("e"), "x"), (6, word("e"), "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for n in (1, 6):
+        got = simhash.keep_one(df.repartition(n)).collect()
+        assert sorted(((r.doc_id, r.text) for r in got), key=str) == \
+            sorted([(1, word("a")), (0, word("b")), (None, word("c")), (5, word("d")), (6, word("e"))], key=str)
+        assert {tuple(r) for r in got} <= set(rows)
+    odd = odd_docs(spark)
+    assert simhash.keep_one(odd.repartition(5)).count() == len({c for _, _, c in slow_simhash([(i, t) for i, (_, t) in enumerate(rows_of(odd))])})
+
+
 # -- repeated passages -----------------------------------------------------
 def slow_passages(rows, length=100):
     uniq = sorted({(d if d is not None else 2**63 - 1, h, t) for d, t, h in rows})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,15 +37,17 @@ def simhash(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long; and the
+    long columns ``keep``."""
     def run(batches):
         import pyarrow as pa
         for b in batches:
             fp = [simhash(lower_words(t.as_py()), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), *b.columns[2:]],
+                                             ["doc_id", "fp", *keep])
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, fp long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join([f"doc_id {doc_type}", "fp long", *(f"{k} long" for k in keep)]))
 
 
 def masks(distance: int = DISTANCE, spare: int = 2, bits: range = range(64)) -> list[int]:
@@ -215,10 +218,42 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one document of every near-duplicate group: the one whose
-    doc_id names the group.  Rows that repeat this doc_id stay with it; a row
-    without doc_id stays only in a group where no row has one."""
-    c = simhash_components(docs, shingle, distance)
-    keep = c.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _first_of_task(batches: Iterator) -> Iterator:
+    """Rows without most of those that repeat an earlier row of the task, so
+    that a row repeated many times does not move as a group."""
+    import pyarrow as pa
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        ok = np.ones(b.num_rows, bool)
+        for i, key in enumerate(zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())):
+            ok[i] = key not in seen
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.add(key)
+        yield b.filter(pa.array(ok))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """``docs`` with one row of every near-duplicate group: the one with the
+    least doc_id, of several with this doc_id the one with the least hash of
+    the row; rows without doc_id come last, rows equal in all columns count as
+    one.  Rows are told apart by two 64-bit hashes of their columns (maps
+    aside)."""
+    columns = docs.columns
+    plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    plain += [c.isNull() for c in plain]          # a hash passes over nulls
+    rows = docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit(1), *plain))
+    key = ["_row", "_row2"]
+    fps = stage(fingerprints(rows, shingle, tuple(key)), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)
+    reps = stage(fps.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    comp = connected_components(fingerprint_links(reps.select("fp"), distance, group_limit))
+    named = reps.join(comp, reps["fp"] == comp["node"], "left").select("first", F.coalesce("component", "fp").alias("root"))
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first._row", "first._row2")
+    repeated = fps.groupBy(*key).count().where("count > 1").select(*key)
+    keep = stage(keep.join(repeated.withColumn("_many", F.lit(True)), key, "left"), "kept")
+    out = rows.join(keep.select(*key), key, "left_semi")
+    if not keep.where("_many").isEmpty():
+        many = rows.mapInArrow(_first_of_task, rows.schema).join(keep.where("_many").select(*key), key, "left_semi").dropDuplicates(key)
+        out = rows.join(keep.where("_many is null").select(*key), key, "left_semi").unionByName(many)
+    return out.select(*columns)
