@@ -366,6 +366,24 @@ def test_lm_without_training_or_rows(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in only] == [(3, 0, 0)]
 
 
+def test_word_counts_above_32_bits_are_exact():
+    import pyarrow as pa
+    words = np.sort(np.random.default_rng(4).integers(0, 2**63, 6, dtype=np.uint64))
+    n = np.array([3, 2**32 - 2, 2**32 - 1, 2**32, 4 * 10**9, 7], np.int64)
+
+    def chunk(n):
+        pairs, m = words[:1], np.array([5], np.int32)
+        cols = [[0], [words.tobytes()], [n.tobytes()], [pairs.tobytes()], [m.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
+                                          ["part", "words", "word_n", "pairs", "pair_n"])
+    for chunks in ([chunk(n)], [chunk(n), chunk(n)]):
+        row = pa.Table.from_batches(lm._model_parts(chunks)).to_pylist()[0]
+        shard = lm.Shard([row], 1, row["tokens"], row["types"])
+        assert shard.count(words).tolist() == (len(chunks) * n).tolist()
+        assert shard.count(words + np.uint64(1)).tolist() == [0] * 6
+        assert row["tokens"] == len(chunks) * n.sum()
+
+
 def test_filter_never_loses_a_level():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64))

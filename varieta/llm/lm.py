@@ -20,6 +20,7 @@ LEVEL_BASE = 1.2
 SMOOTHING = 20.0
 END = b"\n"  # no word holds white space
 PART_BYTES = 32_000_000
+TOP = 2**32 - 1               # word counts from here on stand in a list of their own
 _U = np.uint64
 
 
@@ -184,23 +185,26 @@ def _model_parts(batches: Iterator) -> Iterator:
             words, n = _sum_by_hash(col("words", np.uint64), col("word_n", np.int64))
             pairs, m = _sum_by_hash(col("pairs", np.uint64), col("pair_n", np.int32).astype(np.int64))
             bits = build_filter(pairs, m)
+            big = n >= TOP
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p)]), pa.array([int(n.sum())]), pa.array([len(words)]), pa.array([12 * len(words) + len(bits)]),
-                 pa.array([words.tobytes()], pa.binary()), pa.array([np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()),
+                [pa.array([int(p)]), pa.array([int(n.sum())]), pa.array([len(words)]), pa.array([12 * len(words) + 16 * int(big.sum()) + len(bits)]),
+                 pa.array([words.tobytes()], pa.binary()), pa.array([np.minimum(n, TOP).astype(np.uint32).tobytes()], pa.binary()),
+                 pa.array([words[big].tobytes()], pa.binary()), pa.array([n[big].tobytes()], pa.binary()),
                  pa.array([bits.tobytes()], pa.binary())],
-                ["part", "tokens", "types", "bytes", "words", "word_n", "bits"])
+                ["part", "tokens", "types", "bytes", "words", "word_n", "big_words", "big_n", "bits"])
 
 
 def train(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The model's parts, staged: exact counts of the training words and one
-    log-frequency Bloom filter of the word pairs per part.  A part is a range
+    log-frequency Bloom filter of the word pairs per part (32 bits a count;
+    counts that do not fit stand beside them in 64).  A part is a range
     of word hashes; their number follows the size of the texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(64, math.ceil(size / part_bytes))
     counts = docs.select("doc_id", "text").mapInArrow(
         lambda it: _counts(it, parts), "part long, words binary, word_n binary, pairs binary, pair_n binary")
     model = counts.repartition("part").sortWithinPartitions("part").mapInArrow(
-        _model_parts, "part long, tokens long, types long, bytes long, words binary, word_n binary, bits binary")
+        _model_parts, "part long, tokens long, types long, bytes long, words binary, word_n binary, big_words binary, big_n binary, bits binary")
     return stage(model, "model").withColumn("parts", F.lit(parts))
 
 
@@ -212,6 +216,8 @@ class Shard:
         self.first, self.last = rows[0]["part"], rows[-1]["part"]
         self.words = np.concatenate([np.frombuffer(r["words"], np.uint64) for r in rows])
         self.word_n = np.concatenate([np.frombuffer(r["word_n"], np.uint32) for r in rows])
+        self.big_words = np.concatenate([np.frombuffer(r.get("big_words", b""), np.uint64) for r in rows])
+        self.big_n = np.concatenate([np.frombuffer(r.get("big_n", b""), np.int64) for r in rows])
         sizes = np.zeros(self.last - self.first + 1, np.uint64)
         for r in rows:
             sizes[r["part"] - self.first] = len(r["bits"])
@@ -228,7 +234,11 @@ class Shard:
         at = np.minimum(np.searchsorted(self.words, word), max(0, len(self.words) - 1))
         if not len(self.words):
             return np.zeros(len(word), np.int64)
-        return np.where(self.words[at] == word, self.word_n[at], 0).astype(np.int64)
+        n = np.where(self.words[at] == word, self.word_n[at], 0).astype(np.int64)
+        if len(self.big_words):
+            at = np.minimum(np.searchsorted(self.big_words, word), len(self.big_words) - 1)
+            n = np.where(self.big_words[at] == word, self.big_n[at], n)
+        return n
 
     def level(self, x: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Quantised pair counts: probe levels 1, 2, ... until one is missing."""
@@ -333,7 +343,7 @@ def lm_scores(docs: DataFrame, smoothing: float = SMOOTHING, shard_bytes: int =
     passes = None
     for k in range(len(groups)):
         rows = [r.asDict() for r in model.where(F.col("part").between(bounds[k], bounds[k + 1] - 1))
-                .select("part", "words", "word_n", "bits").toLocalIterator()]
+                .select("part", "words", "word_n", "big_words", "big_n", "bits").toLocalIterator()]
         empty = {"words": b"", "word_n": b"", "bits": b""}
         rows = sorted([*rows, *({"part": p, **empty} for p in {bounds[k], bounds[k + 1] - 1} - {r["part"] for r in rows})],
                       key=lambda r: r["part"])
