@@ -109,8 +109,8 @@ query("train_text_classifier")(train_text_classifier_q)
 
 
 def cross_variety_matrix_q(spark, sf):
-    """Train one model per variety, score every held-out row: F1 for each
-    (task, trained, tested).  A variety whose train part has one class has no
+    """Train one model per variety on its Sentiment rows, score every held-out
+    Sentiment row: F1 for each (trained, tested).  A variety whose train part has one class has no
     model; its rows stay, with null F1 and the reason."""
     from ..operators import ml as ML
     from ..session import cut_lineage
