@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, html, lm, mixing, quality, simhash, suffix_dedup, toxicity
+from . import align, chat, decontaminate, embeddings, html, lm, mixing, packing, quality, simhash, spelling, suffix_dedup, toxicity
 from .common import table
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -56,6 +56,18 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.dedup_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark, sf_dir):
+    return align.alignment_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": (op1_html_extraction, None),
     "op2_chat_formatting": (op2_chat_formatting, chat.CHAT_SQL),
@@ -67,4 +79,7 @@ QUERIES = {
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_decontamination": (op9_decontamination, decontaminate.DECONTAMINATION_SQL),
     "op10_suffix_array_dedup": (op10_suffix_array_dedup, None),
+    "op11_tokenizer_alignment": (op11_tokenizer_alignment, None),
+    "op12_best_fit_packing": (op12_best_fit_packing, None),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
