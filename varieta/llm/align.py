@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import CHUNK_BYTES, ByteTokenizer, PieceTokenizer, cut_units, gather, text_chunks, vocabulary_path
+from .tokens import ByteTokenizer, PieceTokenizer, cut_units, gather, text_chunks, vocabulary_path
 
-BLOCK_PRODUCTS = 4_000_000   # multiplications of a sparse product held at a time
+CHUNK_BYTES = 5_000_000      # text aligned at a time: some fifty bytes of arrays for each of its bytes
+BLOCK_PRODUCTS = 2_000_000   # multiplications of a sparse product held at a time
 
 
 class Csr:
@@ -158,10 +159,11 @@ def _aligned(paths, chunk_bytes: int):
             pairs, local = np.unique(pair, return_inverse=True)
             total = np.bincount(local, times[unit], minlength=len(pairs)).astype(np.int64)
             n_links = np.bincount(unit, minlength=len(units))
-            texts = al.group_texts()
-            text_of = np.array([*texts, None], object)[:-1]
+            del links, pair
+            text_of = np.array([*al.group_texts(), None], object)[:-1]
             digests = ["" if s == e else hashlib.sha256(";".join(text_of[codes[s:e]]).encode()).hexdigest()
                        for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
+            del text_of
             # each document's distinct units, for the second pass
             key, mult = np.unique(doc * max(len(units), 1) + codes, return_counts=True)
             u_doc, u_code = key // max(len(units), 1), key % max(len(units), 1)
