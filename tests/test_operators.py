@@ -242,6 +242,55 @@ def test_publish_replacing(spark, tmp_path):
     assert os.path.isdir(os.path.join(root, "v-a"))
 
 
+def test_two_writers_from_one_version(spark, tmp_path):
+    root = str(tmp_path / "log")
+    assert FS.current_version(spark, root) == 0
+    FS.publish_replacing(spark.range(3), root)
+    base = FS.current_version(spark, root)
+    held = FS.read_current(spark, root)
+    FS.publish_replacing(spark.range(4), root, base=base)
+    with pytest.raises(FS.CommitConflict):
+        FS.publish_replacing(spark.range(9), root, base=base)
+    assert held.count() == 3 and FS.read_current(spark, root).count() == 4
+    FS.publish_replacing(spark.range(9), root, base=FS.current_version(spark, root))
+    assert [tuple(r) for r in FS.commits(spark, root).orderBy("version").select("version", "rows").collect()] == [(1, 3), (2, 4), (3, 9)]
+    assert FS.read_current(spark, root, version=2).count() == 4
+    with pytest.raises(FileNotFoundError):
+        FS.read_current(spark, root, version=7)
+
+
+def test_a_taken_commit_number_is_not_overwritten(spark, tmp_path):
+    path = str(tmp_path / "c" / "1.json")
+    assert FS._create_if_absent(spark, path, "first")
+    assert not FS._create_if_absent(spark, path, "second")
+    assert open(path).read() == "first"
+    assert [f for f in os.listdir(tmp_path / "c") if not f.endswith(".crc")] == ["1.json"]
+
+
+def test_rows_other_than_expected_are_not_published(spark, tmp_path):
+    root = str(tmp_path / "short")
+    with pytest.raises(RuntimeError):
+        FS.publish_replacing(spark.range(3), root, expected=4)
+    assert FS.current_version(spark, root) == 0
+
+
+def test_training_after_a_publish(spark, tmp_path):
+    """A publish leaves nothing behind in the session that later jobs ship."""
+    from varieta.operators import ml as ML
+    FS.publish_replacing(spark.range(3), str(tmp_path / "p"))
+    rows = [(i, "good fine" if i % 2 else "bad poor", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    model = ML.train_text_classifier(df, "lr", max_iter=5, num_features=64)
+    assert {r.prediction == r.label for r in ML.predict(model, df, "m", ["id", "label"]).collect()} == {True}
+
+
+def test_newest_file_of_the_first_pattern_that_matches(spark, tmp_path):
+    spark.range(1).coalesce(1).write.csv(str(tmp_path / "b"))
+    got = FS.latest_file(spark, str(tmp_path / "a*/*.csv"), str(tmp_path / "b*/*.csv")).first()
+    assert "/b/" in got.path
+    assert FS.latest_file(spark, str(tmp_path / "x*")).first().path is None
+
+
 # -- axes from the data, whole files, models per task ------------------------
 def test_pivot_columns_come_from_the_data(spark):
     df = spark.createDataFrame([("s", "a", "xx", 0.5), ("s", "a", "yy", 0.25), ("s", "b", "xx", 1.0)],

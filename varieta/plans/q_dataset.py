@@ -173,8 +173,9 @@ query("scan_splits", SPLIT_SQL)(scan_splits_q)
 # A11 -----------------------------------------------------------------------
 def publish_replacing_q(spark, sf):
     root = FS.scratch_path(spark, "published")
-    FS.publish_replacing(splits(spark, sf).select(*OUT_COLS), root, "1")
-    FS.publish_replacing(splits(spark, sf).select(*OUT_COLS), root, "2")
+    rows = splits(spark, sf).select(*OUT_COLS)
+    FS.publish_replacing(rows, root, "1")
+    FS.publish_replacing(FS.read_current(spark, root), root, "2", base=1)
     return FS.read_current(spark, root)
 
 
@@ -261,14 +262,16 @@ query("explode_config", "SELECT DISTINCT lang AS locale, source AS subreddit FRO
 
 
 # A6 ------------------------------------------------------------------------
-def scan_results_q(spark, sf):
-    lb = M.macro_prf(B.preds(spark, sf), LB_GROUP).select(*LB_GROUP, "precision", "recall", "f1_score")
+def _landed_results(spark, sf):
+    p = B.preds(spark, sf)
+    lb = M.macro_prf(p, LB_GROUP)
     root = FS.scratch_path(spark, "results")
-    lb.write.partitionBy("model", "task", "variety", "domain").option("header", True).csv(root)
-    schema = "precision double, recall double, f1_score double"
-    got = spark.read.schema(schema).option("header", True).csv(root + "/*/*/*/*/")
-    got = FS.path_columns(got, r"model=([^/]+)/task=([^/]+)/variety=([^/]+)/domain=([^/]+)/",
-                          ["model", "task", "variety", "domain"])
+    FS.write_results(p.select("id", "prediction", *LB_GROUP), root, lb)
+    return root
+
+
+def scan_results_q(spark, sf):
+    got = FS.scan_results(spark, _landed_results(spark, sf))
     return got.select("model", "task", "variety", "domain", r6("precision"), r6("recall"), r6("f1_score"))
 
 
@@ -278,6 +281,26 @@ SELECT model, task, variety, domain, round(avg(precision), 6) AS precision, roun
        round(avg(f1), 6) AS f1_score FROM pc GROUP BY ALL""")(scan_results_q)
 
 
+def combined_metrics_q(spark, sf):
+    """The combined sheet from landed metric files: train sizes attached, the
+    pair (Google, Sarcasm) left out."""
+    size = splits(spark, sf).where(F.col("split") == "train").groupBy(*STRATA).agg(F.count("*").alias("size"))
+    got = FS.combined_metrics(FS.scan_results(spark, _landed_results(spark, sf)), size)
+    return got.select("model", "locale", "task", F.col("size").cast("long").alias("size"), r6("precision"), r6("recall"), r6("f1_score"))
+
+
+query("combined_metrics", f"""WITH {SPLIT_CTE},
+size AS (SELECT task, variety, domain, count(*) AS size FROM splits WHERE split = 'train' GROUP BY ALL),
+models(model) AS (VALUES {', '.join(f"('{m}')" for m in B.MODELS)}),
+preds AS (SELECT t.*, m.model, {B.flip_sql('t.id', 't.label', 'm.model')} AS prediction FROM tasks t, models m),
+pc AS ({per_class_sql(class_counts_sql('preds', LB_GROUP))}),
+lb AS (SELECT model, task, variety, domain, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f FROM pc GROUP BY ALL)
+SELECT lb.model, lb.variety AS locale, lower(lb.domain) || '-' || lower(lb.task) AS task, CAST(size.size AS BIGINT) AS size,
+       round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score
+FROM lb LEFT JOIN size ON lb.task = size.task AND lb.variety = size.variety AND lb.domain = size.domain
+WHERE NOT (lb.domain = 'Google' AND lb.task = 'Sarcasm')""")(combined_metrics_q)
+
+
 # A7 ------------------------------------------------------------------------
 def latest_file_q(spark, sf):
     p = B.preds(spark, sf).select("id", "model", "prediction")
@@ -286,7 +309,8 @@ def latest_file_q(spark, sf):
     # by modification time belongs to the run written last.
     p.where(F.col("model") == "m1").write.option("header", True).csv(root + "/run1")
     p.where(F.col("model") == "m2").write.option("header", True).csv(root + "/run2")
-    latest = FS.latest_file(spark, root + "/run*/*.csv")
+    # the first pattern matches nothing: the second one is taken
+    latest = FS.latest_file(spark, root + "/best*/*.csv", root + "/run*/*.csv")
     return latest.select(F.regexp_extract("path", r"/(run\d)/", 1).alias("run"))
 
 
@@ -295,10 +319,7 @@ query("latest_file", "SELECT 'run2' AS run")(latest_file_q)
 
 # A9 ------------------------------------------------------------------------
 def write_predictions_q(spark, sf):
-    p = B.preds(spark, sf).select("id", "model", "task", "variety", "domain", "prediction")
-    root = FS.scratch_path(spark, "preds")
-    p.write.partitionBy("model", "task", "variety", "domain").parquet(root)
-    back = spark.read.parquet(root)
+    back = spark.read.parquet(_landed_results(spark, sf) + "/prediction")
     return back.select("id", "model", "task", "variety", "domain", "prediction")
 
 

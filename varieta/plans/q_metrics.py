@@ -377,7 +377,8 @@ def pivot_matrix_q(spark, sf):
 PIVOT_MATRIX_SQL = f"""WITH {B.preds_cte()},
 pc AS ({per_class_sql(class_counts_sql('preds', ['task', 'model', 'variety']))}),
 f AS (SELECT task, model AS trained, variety, avg(f1) AS f1 FROM pc GROUP BY ALL)
-SELECT * FROM (PIVOT f ON variety USING round(max(f1), 6) GROUP BY task, trained)"""
+SELECT task, trained, {', '.join(f"round(max(CASE WHEN variety = '{v}' THEN f1 END), 6) AS {v}" for v in ('de', 'en', 'es', 'fr'))}
+FROM f GROUP BY task, trained"""
 query("pivot_matrix", PIVOT_MATRIX_SQL)(pivot_matrix_q)
 
 
@@ -389,7 +390,8 @@ def pivot_mean_q(spark, sf):
 
 
 PIVOT_MEAN_SQL = f"""WITH {LB_CTE}
-SELECT * FROM (PIVOT lb ON domain USING CAST(round_even(avg(f1_score), 3) AS DOUBLE) GROUP BY task)"""
+SELECT task, {', '.join(f"CAST(round_even(avg(CASE WHEN domain = '{d}' THEN f1_score END), 3) AS DOUBLE) AS {q}{d}{q}" for q in ('"',) for d in ('Google', 'Reddit'))}
+FROM lb GROUP BY task"""
 query("pivot_mean", PIVOT_MEAN_SQL)(pivot_mean_q)
 
 
