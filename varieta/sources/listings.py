@@ -55,9 +55,7 @@ def flatten_posts(listings: DataFrame, json_col: str = "listing",
                           .alias("_c"))
     flat = posts.select(*keep, *[F.coalesce(F.col(f"_c.data.{k}"), F.lit(v)).alias(k)
                                  for k, v in POST_DEFAULTS.items()])
-    gated = quality_gate(flat, [("upvote_ratio_range", F.col("upvote_ratio").between(0.0, 1.0))])
-    return gated.withColumn("score_mismatch",
-                            F.coalesce((F.col("downs") == 0) & (F.col("score") != F.col("ups")), F.lit(False)))
+    return gate_posts(flat)
 
 
 def flatten_reviews(places: DataFrame, reviews_col: str = "reviews",
@@ -78,6 +76,53 @@ def flatten_reviews(places: DataFrame, reviews_col: str = "reviews",
     return quality_gate(flat, rules)
 
 
+POST_ID_FIELDS = T.StructType([T.StructField("id", T.StringType()), T.StructField("created_utc", T.DoubleType())])
+LANDED_SCHEMA = T.StructType([
+    T.StructField("data", T.StructType([
+        # each child's post stays text here, so that one bad post does not spoil its listing
+        T.StructField("children", T.ArrayType(T.StructType([T.StructField("data", T.StringType())])))])),
+    T.StructField("_bad", T.StringType())])
+
+
+def landed_posts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """A3 for landed polls: one JSON listing a line -> one row a post, or one
+    row with a ``reject`` reason for what holds none.
+
+    Columns: reject (null for posts), raw (rejected text alone), post_id,
+    created (timestamp, null if missing) and the fields of ``POST_DEFAULTS``
+    with their defaults.  Reasons: ``malformed`` (no JSON object),
+    ``no_children`` (JSON without ``data.children``), ``bad_post`` (a field
+    that does not fit its type; the other posts of the listing stay).  A post
+    without id gets a hash of its texts.  Blank lines give no rows."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    at = lines.where(F.trim(value) != "").select(F.col(value).alias("_raw"), F.from_json(value, LANDED_SCHEMA, options).alias("_l"))
+    reason = F.when(F.col("_l").isNull() | F.col("_l._bad").isNotNull(), F.lit("malformed")) \
+        .when(F.col("_l.data.children").isNull(), F.lit("no_children"))
+    posts = at.select("_raw", reason.alias("_why"), F.explode_outer(F.when(reason.isNull(), F.col("_l.data.children"))).alias("_c")) \
+        .where(F.col("_why").isNotNull() | F.col("_c").isNotNull())
+    fields = T.StructType([*POST_ID_FIELDS, *POST_FIELDS, T.StructField("_bad", T.StringType())])
+    read = posts.select("_raw", "_why", F.col("_c.data").alias("_text"),
+                        F.from_json(F.coalesce(F.col("_c.data"), F.lit("{}")), fields, options).alias("_p"))
+    why = F.coalesce("_why", F.when(F.col("_p").isNull() | F.col("_p._bad").isNotNull(), F.lit("bad_post")))
+    flat = read.select(why.alias("reject"), F.when(F.col("_why").isNotNull(), F.col("_raw")).when(why.isNotNull(), F.col("_text")).alias("raw"),
+                       F.col("_p.id").alias("_id"), F.timestamp_millis((F.col("_p.created_utc") * 1000).cast("long")).alias("created"),
+                       *[F.coalesce(F.col(f"_p.{k}"), F.lit(v)).alias(k) for k, v in POST_DEFAULTS.items()])
+    own = F.concat(F.lit("h"), F.md5(F.concat_ws("\u0000", "subreddit", "title", "selftext")))
+    return flat.select("reject", "raw", F.coalesce("_id", own).alias("post_id"), "created", *POST_DEFAULTS)
+
+
+def gate_posts(posts: DataFrame) -> DataFrame:
+    """B9 and B10 of posts: ``errors`` and ``score_mismatch``."""
+    gated = quality_gate(posts, [("upvote_ratio_range", F.col("upvote_ratio").between(0.0, 1.0))])
+    return gated.withColumn("score_mismatch", F.coalesce((F.col("downs") == 0) & (F.col("score") != F.col("ups")), F.lit(False)))
+
+
+def tag_locale(posts: DataFrame, config: DataFrame) -> DataFrame:
+    """Locale of each post by the (locale, subreddit) rows of ``config``: one
+    row for each locale that lists the post's subreddit, null if none does."""
+    return posts.join(config.select("locale", "subreddit").distinct(), "subreddit", "left")
+
+
 def explode_config(df: DataFrame, json_col: str = "config") -> DataFrame:
     """A5: ``{locale: [subreddit, …]}`` -> (locale, subreddit) rows."""
     m = df.select(F.from_json(F.col(json_col), CONFIG_SCHEMA).alias("_m"))
