@@ -115,9 +115,10 @@ def classification_report(df: DataFrame, group: Sequence[str] = (), label: str =
 
 
 def report_text(report: DataFrame, group: Sequence[str] = (), digits: int = 2) -> DataFrame:
-    """A10: fixed-width report lines (one row per line), ready for ``write.text``."""
+    """A10: fixed-width report lines (one row per line), ready for ``write.text``;
+    a row without precision (accuracy) leaves the first two fields blank."""
     fmt = f"%12s %9.{digits}f %9.{digits}f %9.{digits}f %9d"
-    line = F.when(F.col("row") == "accuracy",
+    line = F.when(F.col("precision").isNull(),
                   F.format_string(f"%12s %9s %9s %9.{digits}f %9d", F.col("row"), F.lit(""),
                                   F.lit(""), F.col("f1_score"), F.col("support"))) \
         .otherwise(F.format_string(fmt, F.col("row"), F.col("precision"), F.col("recall"),

@@ -78,6 +78,28 @@ tasks AS (
   SELECT id, text, variety, domain, 'Sarcasm' AS task, sarcasm_label AS label FROM ann WHERE sarcasm_label <> 2)"""
 
 
+# --- fixed values: words planted for each label
+MARKERS = (("mornblat", "quervil", "tasklon"), ("zephrin", "oldrake", "vintuco"))
+
+
+def planted(rows: DataFrame, label: str = "label", text: str = "text") -> DataFrame:
+    """Rows whose texts end in words that give their label away, as long as the
+    text itself: input for which a right classifier must score high."""
+    kind = F.col(label).cast("int")
+    n = F.size(F.split(text, " ")) / 2 + 1
+    own = [F.when(kind == 0, F.lit(a + " ")).otherwise(F.lit(b + " ")) for a, b in zip(*MARKERS)]
+    return rows.withColumn(text, F.concat(F.col(text), F.lit(" "), *[F.repeat(w, n.cast("int")) for w in own]))
+
+
+def coin_label(id_col: str = "id"):
+    """A label for planting: even classes, whatever the row's own label."""
+    h = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("plant"))), 1, 1)
+    return F.when(h < "8", F.lit(1)).otherwise(F.lit(0))
+
+
+COIN_SQL = "CASE WHEN substr(md5(CAST(id AS VARCHAR) || 'plant'), 1, 1) < '8' THEN 1 ELSE 0 END"
+
+
 # ------------------------------------------------------------ preds -------
 def flip_prediction(id_col, label_col, salt_col):
     h = F.substring(F.md5(F.concat(F.col(id_col).cast("string"), salt_col)), 1, 1)

@@ -91,97 +91,194 @@ LP_FINAL = """SELECT doc_id, max(CASE WHEN rk = 1 THEN lang END) AS pred_lang,
 query("language_probability", f"WITH {LP_CTE} {LP_FINAL}")(language_probability_q)
 
 
-# Trained models, rows-checked ----------
-def _task_splits(spark, sf, task="Sentiment"):
+# Trained models -------------------------------------------------------
+# The texts carry words of a label with even classes (bindings.planted), so
+# that a right model must reach F1 >= FLOOR; the SQL counts each cell's rows.
+# A penalty keeps words of single texts from standing for their label.
+FLOOR, REG = 0.9, 0.02
+# Logistic regression stops after few rounds in the search; well above even odds.
+SEARCH_FLOOR = 0.6
+
+
+def _planted_splits(spark, sf):
+    """Splits of both tasks with planted texts, written once: they are read
+    once per model and once for scoring."""
+    from ..session import cut_lineage
     from .q_dataset import splits
-    return splits(spark, sf).where(F.col("task") == task)
+    return cut_lineage(B.planted(splits(spark, sf).withColumn("label", B.coin_label())))
+
+
+def _split_cte():
+    from .q_dataset import SPLIT_CTE
+    return SPLIT_CTE
+
+
+TASKS = ("Sarcasm", "Sentiment")
+
+
+def _floor(f1="f1_score"):
+    return (F.col(f1) >= FLOOR).alias("f1_ok")
 
 
 def train_text_classifier_q(spark, sf):
+    """One model per task, scored on all held-out rows by variety."""
     from ..operators import ml as ML
-    s = _task_splits(spark, sf)
-    model = ML.train_text_classifier(s.where(F.col("split") == "train"), "lr", max_iter=30)
-    p = ML.predict(model, s.where(F.col("split") != "train"), "tfidf-lr", ["id", "variety", "label"])
-    return M.macro_prf(p, ["model", "variety"]).select("model", "variety", r6("f1_score"), "n")
+    s = _planted_splits(spark, sf)
+    parts = []
+    for task in TASKS:
+        of = s.where(F.col("task") == task)
+        model = ML.train_text_classifier(of.where(F.col("split") == "train"), "svm", max_iter=30, reg=REG)
+        parts.append(ML.predict(model, of.where(F.col("split") != "train"), "tfidf-svm", ["id", "task", "variety", "label"]))
+    f1 = M.macro_prf(reduce(DataFrame.unionByName, parts), ["model", "task", "variety"])
+    return f1.select("model", "task", "variety", F.col("n").cast("long").alias("n"), _floor())
 
 
-query("train_text_classifier")(train_text_classifier_q)
+query("train_text_classifier", f"""WITH {_split_cte()}
+SELECT 'tfidf-svm' AS model, task, variety, CAST(count(*) AS BIGINT) AS n, TRUE AS f1_ok
+FROM splits WHERE split <> 'train' GROUP BY task, variety""")(train_text_classifier_q)
 
 
-def cross_variety_matrix_q(spark, sf):
-    """Train one model per variety on its Sentiment rows, score every held-out
-    Sentiment row: F1 for each (trained, tested).  A variety whose train part has one class has no
-    model; its rows stay, with null F1 and the reason."""
+# model x features of the study's argument lists
+TEXT_MODELS = (("nn", "tfidf"), ("nn", "w2v"), ("svm", "glove"), ("lr", "w2v"), ("svm", "tfidf"))
+
+
+def text_models_q(spark, sf):
+    """Every kind of model and of features on the Sentiment task."""
     from ..operators import ml as ML
-    from ..session import cut_lineage
-    # read once per variety model and once for scoring: materialised in the
-    # shared checkpoint folder (survives executor loss, holds no cache open)
-    s = cut_lineage(_task_splits(spark, sf))
-    tests = s.where(F.col("split") != "train")
-    train = s.where(F.col("split") == "train")
-    classes = s.groupBy("variety").agg(F.count_distinct(F.when(F.col("split") == "train", F.col("label"))).alias("n")).orderBy("variety")
+    s = _planted_splits(spark, sf).where(F.col("task") == "Sentiment")
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") != "train")
     parts = []
-    for v, n in classes.collect():  # one row per model to train
+    for kind, embed in TEXT_MODELS:
+        options = {"rounds": 2} if embed != "tfidf" else {}
+        model = ML.train_text_classifier(train, kind, max_iter=40, embed=embed, dim=32, reg=0.02, **options)
+        parts.append(ML.predict(model, test, f"{embed}-{kind}", ["id", "label"]).select("id", "label", "prediction", "model"))
+    f1 = M.macro_prf(reduce(DataFrame.unionByName, parts), ["model"])
+    return f1.select("model", F.col("n").cast("long").alias("n"), _floor())
+
+
+query("text_models", f"""WITH {_split_cte()}
+SELECT m.model, CAST(count(*) AS BIGINT) AS n, TRUE AS f1_ok
+FROM splits, (VALUES {', '.join(f"('{e}-{k}')" for k, e in TEXT_MODELS)}) m(model)
+WHERE split <> 'train' AND task = 'Sentiment' GROUP BY m.model""")(text_models_q)
+
+
+ONE_CLASS = "fewer than two classes to train on"
+
+
+def _per_part(spark, sf, by: str):
+    """Train one model per task and value of ``by``, score every held-out row
+    of the task: (predictions with the trained value, cells without a model)."""
+    from ..operators import ml as ML
+    s = _planted_splits(spark, sf)
+    tests, train = s.where(F.col("split") != "train"), s.where(F.col("split") == "train")
+    classes = s.groupBy("task", by).agg(F.count_distinct(F.when(F.col("split") == "train", F.col("label"))).alias("n")).orderBy("task", by)
+    scored, none = [], []
+    for task, value, n in classes.collect():  # one row per model to train
+        of = tests.where(F.col("task") == task)
         if n < 2:
-            parts.append(tests.groupBy(F.col("variety").alias("tested")).agg(F.count("*").alias("n")).select(
-                F.lit(v).alias("trained"), "tested", F.lit(None).cast("double").alias("f1_score"), "n",
-                F.lit("fewer than two classes to train on").alias("reason")))
+            none.append(of.groupBy("task", "variety", "domain").agg(F.count("*").alias("n")).withColumn("trained", F.lit(value)))
             continue
-        m = ML.train_text_classifier(train.where(F.col("variety") == v), "lr", max_iter=20, num_features=1 << 16)
-        f1 = M.macro_prf(ML.predict(m, tests, v, ["id", "variety", "label"]), ["model", "variety"])
-        parts.append(f1.select(F.col("model").alias("trained"), F.col("variety").alias("tested"), F.bround("f1_score", 3).alias("f1_score"),
-                               F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("reason")))
+        m = ML.train_text_classifier(train.where((F.col("task") == task) & (F.col(by) == value)), "svm", max_iter=20, num_features=1 << 16, reg=REG)
+        scored.append(ML.predict(m, of, value, ["id", "task", "variety", "domain", "label"]).withColumnRenamed("model", "trained"))
+    return [reduce(DataFrame.unionByName, x) if x else None for x in (scored, none)]
+
+
+def _matrix(spark, sf, by: str, cell: list[str]):
+    scored, none = _per_part(spark, sf, by)
+    parts = []
+    if scored is not None:
+        f1 = M.macro_prf(scored, ["task", "trained", *cell])
+        parts.append(f1.select("task", "trained", *cell, F.col("n").cast("long").alias("n"), _floor(), F.lit(None).cast("string").alias("reason")))
+    if none is not None:
+        parts.append(none.groupBy("task", "trained", *cell).agg(F.sum("n").alias("n"))
+                     .select("task", "trained", *cell, "n", F.lit(None).cast("boolean").alias("f1_ok"), F.lit(ONE_CLASS).alias("reason")))
     return reduce(DataFrame.unionByName, parts)
 
 
-query("cross_variety_matrix")(cross_variety_matrix_q)
+def _matrix_sql(by: str, cell: str) -> str:
+    return f"""WITH {_split_cte()},
+c AS (SELECT task, {by} AS trained, count(DISTINCT CASE WHEN split = 'train' THEN {B.COIN_SQL} END) AS classes FROM splits GROUP BY task, {by})
+SELECT c.task, c.trained, {cell}, CAST(count(*) AS BIGINT) AS n, CASE WHEN max(classes) >= 2 THEN TRUE END AS f1_ok,
+  CASE WHEN max(classes) < 2 THEN '{ONE_CLASS}' END AS reason
+FROM c JOIN splits s ON s.task = c.task WHERE s.split <> 'train' GROUP BY c.task, c.trained, {cell}"""
 
 
-def cross_domain_matrix_q(spark, sf):
-    """F1 for each (variety, train domain, test domain) of the data."""
+def cross_variety_matrix_q(spark, sf):
+    """Train one model per task and variety, score every held-out row of the
+    task: a cell for each (task, trained, tested).  The row ``PT`` holds the
+    model that saw no variety's labels in particular: trained on all of them.
+    A variety whose train part has one class has no model; its cells stay,
+    with the reason."""
     from ..operators import ml as ML
-    from ..session import cut_lineage
-    s = cut_lineage(_task_splits(spark, sf))
-    tests = s.where(F.col("split") != "train")
+    own = _matrix(spark, sf, "variety", ["variety"])
+    s = _planted_splits(spark, sf)
     parts = []
-    for (d,) in s.select("domain").distinct().orderBy("domain").collect():  # one row per model to train
-        m = ML.train_text_classifier(s.where((F.col("split") == "train") & (F.col("domain") == d)),
-                                     "lr", max_iter=20, num_features=1 << 16)
-        parts.append(ML.predict(m, tests, d, ["id", "variety", "domain", "label"]))
-    scored = reduce(DataFrame.unionByName, parts).withColumnRenamed("model", "train_domain")
-    f1 = M.macro_prf(scored, ["variety", "train_domain", "domain"])
-    return f1.select("variety", "train_domain", F.col("domain").alias("test_domain"), F.bround("f1_score", 3).alias("f1_score"),
-                     F.col("n").cast("long").alias("n"))
+    for task in TASKS:
+        of = s.where(F.col("task") == task)
+        m = ML.train_text_classifier(of.where(F.col("split") == "train"), "svm", max_iter=20, num_features=1 << 16, reg=REG)
+        parts.append(ML.predict(m, of.where(F.col("split") != "train"), "PT", ["task", "variety", "label"]))
+    pt = M.macro_prf(reduce(DataFrame.unionByName, parts).withColumnRenamed("model", "trained"), ["task", "trained", "variety"])
+    return own.unionByName(pt.select("task", "trained", "variety", F.col("n").cast("long").alias("n"), _floor(),
+                                     F.lit(None).cast("string").alias("reason"))).withColumnRenamed("variety", "tested")
 
 
-query("cross_domain_matrix")(cross_domain_matrix_q)
+query("cross_variety_matrix", f"""SELECT task, trained, variety AS tested, n, f1_ok, reason FROM ({_matrix_sql("variety", "variety")})
+UNION ALL SELECT task, 'PT', tested, n, TRUE, NULL FROM (WITH {_split_cte()}
+  SELECT task, variety AS tested, CAST(count(*) AS BIGINT) AS n FROM splits WHERE split <> 'train' GROUP BY task, variety)""")(cross_variety_matrix_q)
+
+
+def cross_domain_matrix_q(spark, sf):
+    """A cell for each (task, train domain, variety, test domain)."""
+    return _matrix(spark, sf, "domain", ["variety", "domain"]).withColumnRenamed("trained", "train_domain").withColumnRenamed("domain", "test_domain")
+
+
+query("cross_domain_matrix", f"""SELECT task, trained AS train_domain, variety, domain AS test_domain, n, f1_ok, reason
+FROM ({_matrix_sql("domain", "variety, domain")})""")(cross_domain_matrix_q)
+
+
+# --- fixed values: varieties of the outer circle; all others are inner ones
+OUTER_CIRCLE = ("de", "es")
 
 
 def variety_identification_q(spark, sf):
-    """Inner circle (en, fr) = 0 vs outer (de, es) = 1; mean probability of
-    the own class by (variety, domain)."""
+    """Inner circle = 0 vs outer = 1: is the mean probability of the own class
+    above one half, by (variety, domain)."""
     from ..operators import ml as ML
-    a = B.ann(spark, sf).withColumn("label", F.col("variety").isin("de", "es").cast("int"))
     from ..operators import split as SP
-    s = SP.stratified_split3(a, ["domain"], "label", "id")
-    m = ML.train_text_classifier(s.where(F.col("split") == "train"), "lr", max_iter=20)
+    a = B.ann(spark, sf).withColumn("label", F.col("variety").isin(*OUTER_CIRCLE).cast("int"))
+    s = SP.stratified_split3(B.planted(a), ["domain"], "label", "id")
+    m = ML.train_text_classifier(s.where(F.col("split") == "train"), "lr", max_iter=20, reg=REG)
     p = ML.predict(m, s.where(F.col("split") != "train"), "variety-lr", ["id", "variety", "domain", "label"])
     own = F.element_at("probability", F.col("label") + 1)
-    return p.groupBy("variety", "domain").agg(F.round(F.avg(own), 6).alias("mean_own_prob"),
-                                              F.count("*").alias("n"))
+    return p.groupBy("variety", "domain").agg((F.avg(own) > 0.5).alias("own_class_likelier"), F.count("*").alias("n"))
 
 
-query("variety_identification")(variety_identification_q)
+query("variety_identification", f"""WITH {B.ANN_CTE},
+a AS (SELECT *, CASE WHEN variety IN ({', '.join(f"'{v}'" for v in OUTER_CIRCLE)}) THEN 1 ELSE 0 END AS label FROM ann),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain, label ORDER BY md5(CAST(id AS VARCHAR) || '7'), id) - 1 AS rk,
+             count(*) OVER (PARTITION BY domain, label) AS n FROM a
+      WHERE id IS NOT NULL AND text IS NOT NULL AND domain IS NOT NULL)
+SELECT variety, domain, TRUE AS own_class_likelier, CAST(count(*) AS BIGINT) AS n
+FROM r WHERE rk >= floor(n * 0.7) GROUP BY variety, domain""")(variety_identification_q)
 
 
 def param_search_q(spark, sf):
+    """Grid and random search on each task: how many parameter sets were
+    tried, and whether the best one reaches the floor."""
     from ..operators import ml as ML
-    s = _task_splits(spark, sf).where(F.col("split") == "train")
-    rows = ML.param_search(s, regs=(0.0, 0.1))
-    return spark.createDataFrame(rows, "reg_param double, validation_f1 double")
-
-
-query("param_search")(param_search_q)
+    s = _planted_splits(spark, sf).where(F.col("split") == "train")
+    rows = []
+    for task in TASKS:
+        of = s.where(F.col("task") == task)
+        grid = ML.param_search(of, regs=(0.02, 0.1))
+        rows.append((task, "grid", len(grid), max(f1 for _, f1 in grid) >= SEARCH_FLOOR))
+        tried = ML.search_params(of, ML.sample_params({"regParam": (1e-2, 1e-1), "elasticNetParam": [0.0]}, 3), folds=2, max_iter=20)
+        rows.append((task, "random", len(tried), tried[0][1] >= SEARCH_FLOOR))
+    return spark.createDataFrame(rows, "task string, search string, n_tried long, f1_ok boolean")
+
+
+query("param_search", """SELECT task, search, CAST(n AS BIGINT) AS n_tried, TRUE AS f1_ok
+FROM (VALUES ('Sarcasm'), ('Sentiment')) t(task), (VALUES ('grid', 2), ('random', 3)) s(search, n)""")(param_search_q)
 
 
 def embed_text_q(spark, sf):

@@ -10,12 +10,15 @@ from ..functions.patterns import sql_str as q
 from ..operators import knn as KN
 from ..operators import metrics as M
 from ..operators import prompts as PR
+from ..operators import reports as RP
 from ..operators import split as SP
 from ..session import cut_lineage, read_table
+from ..sources import files as FS
 from . import bindings as B
 from . import sqltext as S
 from .q_metrics import r6
 from .registry import query
+from .sqlgen import class_counts_sql, per_class_sql
 
 K = 4
 EMB_V = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS class10, label % 2 AS label FROM embeddings)"
@@ -282,6 +285,36 @@ SELECT technique, round_even(max(CASE WHEN k = 4 THEN f1 END), 6) AS k4,
        round_even(max(CASE WHEN k = 8 THEN f1 END), 6) AS k8 FROM f GROUP BY technique""")(run_comparison_q)
 
 
+# K5 from result files --------------------------------------------------------
+RUN_MODELS = tuple(f"{t}_{k}" for t in ("closest", "contrastive", "None") for k in (4, 8))
+
+
+def report_comparison_q(spark, sf):
+    """Every run of the grid (three techniques, two K) lands its report as a
+    text file; the files are read back and compared by macro F1."""
+    p = B.preds(spark, sf, RUN_MODELS)
+    parts = F.split("model", "_")
+    key = PR.run_key(parts[0], parts[1], F.concat(F.lit("en-"), F.upper("variety")), F.col("task"), F.col("domain"))
+    rep = M.classification_report(p.withColumn("run", key), ["run"])
+    root = RP.write_reports(RP.report_documents(rep, ["run"], digits=6), FS.scratch_path(spark, "reports"))
+    runs = RP.compare_runs(RP.parse_reports(RP.read_reports(spark, root)))
+    return M.pivot_matrix(runs, ["technique", "variety", "task", "source"], "k", "f1_score") \
+        .select("technique", "variety", "task", "source", F.col("4").alias("k4"), F.col("8").alias("k8"))
+
+
+def _report_comparison_sql():
+    group = ["model", "variety", "task", "domain"]
+    return f"""WITH {B.preds_cte(RUN_MODELS)},
+pc AS ({per_class_sql(class_counts_sql('preds', group))}),
+f AS (SELECT {', '.join(group)}, CAST(printf('%.6f', avg(f1)) AS DOUBLE) AS f1 FROM pc GROUP BY ALL)
+SELECT string_split(model, '_')[1] AS technique, 'en-' || upper(variety) AS variety, task, domain AS source,
+  max(CASE WHEN string_split(model, '_')[2] = '4' THEN f1 END) AS k4, max(CASE WHEN string_split(model, '_')[2] = '8' THEN f1 END) AS k8
+FROM f GROUP BY ALL"""
+
+
+query("report_comparison", _report_comparison_sql())(report_comparison_q)
+
+
 # M6 ------------------------------------------------------------------------
 def softmax_argmax_q(spark, sf):
     e = read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("z"))

@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     # Import for side effects: each module registers its queries.
-    from . import q_metrics, q_text, q_dataset, q_codemix, q_retrieval, q_ingest, q_model, q_stream  # noqa: F401
+    from . import q_metrics, q_text, q_dataset, q_codemix, q_retrieval, q_model, q_stream  # noqa: F401
     return REGISTRY
