@@ -218,17 +218,79 @@ def class_weights(df: DataFrame, label: str = "label", group: Sequence[str] = ()
     return j.select(*g, label, (F.col("total") / (2 * F.col("n"))).alias("weight"))
 
 
+def value_counts(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group..., v, c): the non-null values and how often they stand there, by
+    a map-side combined aggregate.  Everything the descriptive statistics need
+    is in this table; a plan that reads it several times shuffles the input
+    once (the exchange is reused)."""
+    x = F.col(col).cast("double")
+    return df.select(*group, x.alias("v")).where(F.col("v").isNotNull()).groupBy(*group, "v").agg(F.count("*").alias("c"))
+
+
 def score_stats(df: DataFrame, col: str, group: Sequence[str] = (), digits: int = 4) -> DataFrame:
-    """Count, mean, sample std, min, quartiles (linear), max."""
+    """Count, mean, sample std, min, quartiles (linear), max.  The
+    input is read twice: with nulls, which keep groups without any value
+    (count 0, nulls), and without."""
     g = list(group)
     x = F.col(col).cast("double")
-    basic = df.groupBy(*g).agg(F.count(x).alias("n"), F.avg(x).alias("mean"),
-                               F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                               F.max(x).alias("max"))
-    q = exact_quantiles(df, col, (0.25, 0.5, 0.75), g, ("q25", "q50", "q75"))
-    j = _join_null_safe(basic, q, g, "left") if g else attach(basic, q, g)
-    return j.select(*g, "n", *[F.round(F.col(c), digits).alias(c)
-                               for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+    # null values stay in the counts as one row a group, so that groups without values stay too
+    vc = df.select(*g, x.alias("v")).groupBy(*g, "v").agg(F.count("*").alias("c"))
+    known = vc.where(F.col("v").isNotNull())
+    n = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0))
+    basic = vc.groupBy(*g).agg(n.alias("n"), F.sum(F.col("v") * F.col("c")).alias("_s"), F.min("v").alias("min"), F.max("v").alias("max")) \
+        .withColumn("mean", F.when(F.col("n") > 0, F.col("_s") / F.col("n"))).drop("_s")
+    # the spread around the mean: no difference of large squares
+    around = attach(known, basic.select(*g, "mean", "n"), g).groupBy(*g).agg(
+        F.sum(F.col("c") * (F.col("v") - F.col("mean")) ** 2).alias("_ss"))
+    q = quantiles_of_counts(known, (0.25, 0.5, 0.75), g, ("q25", "q50", "q75"))
+    j = basic
+    for part in (around, q):
+        j = _join_null_safe(j, part, g, "left") if g else attach(j, part, g)
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / (F.col("n") - 1)))
+    return j.withColumn("std", std).select(*g, "n", *[F.round(F.col(c), digits).alias(c)
+                                                      for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+# -- mergeable sketches ------------------------------------------------------------
+# Rank error of a KLL sketch with parameter k, at 99 % confidence (published with the algorithm).
+SKETCH_K = 200
+
+
+def sketch_rank_error(k: int = SKETCH_K) -> float:
+    """Share of rows by which the rank of a returned quantile may be off, with
+    99 % confidence: 2.446 / k^0.943 (about 1.65 % at k = 200)."""
+    return 2.446 / k ** 0.943
+
+
+def score_sketch(df: DataFrame, col: str, group: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """E16 in mergeable form: (group..., n, total, low, high, sketch) in one
+    pass with map-side partial sketches.  Rows of such tables (one a day, one a
+    partition) are put together by ``merge_sketches``; a group holds some
+    kilobytes whatever its size.  NaN counts as no value; a group without
+    values has n = 0 and a null sketch."""
+    x = F.col(col).cast("double")
+    v = F.when(~F.isnan(x), x)
+    return df.select(*group, v.alias("_v")).groupBy(*group).agg(
+        F.count("_v").alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("low"), F.max("_v").alias("high"),
+        F.kll_sketch_agg_double("_v", F.lit(k)).alias("_sk")).select(
+            *group, "n", "total", "low", "high", F.when(F.col("n") > 0, F.col("_sk")).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, group: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """Sketch rows of the same group put together; null sketches add nothing."""
+    return sketches.groupBy(*group).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.kll_merge_agg_double("sketch", F.lit(k)).alias("_sk")).select(
+            *group, "n", "total", "low", "high", F.when(F.col("n") > 0, F.col("_sk")).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float], group: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """(group..., n, mean, min, one column a probability, max) of sketch rows:
+    values of the data whose rank is within ``sketch_rank_error`` of the asked."""
+    names = list(names or [f"q{int(round(p * 100))}" for p in probs])
+    at = [F.when(F.col("sketch").isNotNull(), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p)))).alias(nm) for p, nm in zip(probs, names)]
+    return sketches.select(*group, "n", (F.col("total") / F.when(F.col("n") > 0, F.col("n"))).alias("mean"), F.col("low").alias("min"), *at,
+                           F.col("high").alias("max"))
 
 
 def histogram(df: DataFrame, col: str, group: Sequence[str] = (), bins: int = 30) -> DataFrame:
@@ -252,17 +314,18 @@ def histogram(df: DataFrame, col: str, group: Sequence[str] = (), bins: int = 30
 
 def box_stats(df: DataFrame, col: str, group: Sequence[str] = ()) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme values inside the
-    fences) and the outlier count."""
+    fences) and the outlier count; one scan."""
     g = list(group)
-    x = F.col(col).cast("double")
-    q = exact_quantiles(df, col, (0.25, 0.5, 0.75), g, ("q1", "med", "q3"))
+    vc = value_counts(df, col, g)
+    q = quantiles_of_counts(vc, (0.25, 0.5, 0.75), g, ("q1", "med", "q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
         .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = attach(df.where(x.isNotNull()), q, g)
+    j = attach(vc, q, g)
+    x = F.col("v")
     inside = (x >= F.col("lo_fence")) & (x <= F.col("hi_fence"))
     return j.groupBy(*g, "q1", "med", "q3").agg(
         F.min(F.when(inside, x)).alias("whisker_lo"), F.max(F.when(inside, x)).alias("whisker_hi"),
-        F.sum((~inside).cast("long")).alias("n_outliers"))
+        F.sum(F.when(~inside, F.col("c")).otherwise(0)).alias("n_outliers"))
 
 
 def mean_by_group(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
@@ -366,13 +429,21 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
                     group: Sequence[str] = (), names: Sequence[str] | None = None,
                     buckets: int = 256) -> DataFrame:
-    """Exact linear-interpolated quantiles without holding a group in one task.
+    """Exact linear-interpolated quantiles without holding a group in one task
+    (``quantiles_of_counts`` of the values' counts); the input is read once."""
+    return quantiles_of_counts(value_counts(df, col, group), probs, group, names, buckets)
+
+
+def quantiles_of_counts(vc: DataFrame, probs: Sequence[float], group: Sequence[str] = (),
+                        names: Sequence[str] | None = None, buckets: int = 256) -> DataFrame:
+    """Exact linear-interpolated quantiles of a (group..., v, c) table.
 
-    1. Values are reduced to (group, value, count) with a map-side combined
+    1. Values come reduced to (group, value, count) by a map-side combined
        aggregate.
     2. Each group's value line is cut into ``buckets`` ordered ranges at
-       approximate quantiles (a bounded sketch per group); any cut points
-       give the same exact answer, the sketch only balances the ranges.
+       approximate quantiles of its distinct values (a bounded sketch per
+       group); any cut points give the same exact answer, the sketch only
+       balances the ranges.
     3. Counts per (group, range) and their running offsets are a table of at
        most ``buckets`` rows per group.
     4. The running count inside (group, range) is a window whose partitions
@@ -382,10 +453,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     The value at rank r is then ``min(v) where cum > r``."""
     g = list(group)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    vals = df.select(*g, F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-    vc = vals.groupBy(*g, "v").agg(F.count("*").alias("c"))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = vals.groupBy(*g).agg(F.percentile_approx("v", cuts, 10000).alias("_cuts"))
+    # naming the count keeps this reader's columns those of the others, so that they share one exchange
+    bounds = vc.where(F.col("c") > 0).groupBy(*g).agg(F.percentile_approx("v", cuts, 10000).alias("_cuts"))
     if g:
         vb = _join_null_safe(vc, bounds, g)
     else:
