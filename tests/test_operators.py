@@ -144,6 +144,18 @@ DETECTOR_CASES = [("plain english sentence here", 0.0, 0, 0.0, False), ("", 0.0,
                   ("yaar plain yaar plain", 0.5, 3, 0.7 + 0.3 * 3 / 5, True), ("see https://x.y/yaar now", 0.0, 0, 0.0, False)]
 
 
+def test_knn_leaves_unusable_vectors_out(spark):
+    good = [(i, [float(i), 1.0], i % 2) for i in range(1, 6)]
+    bad = [(10, None, 0), (11, [], 0), (12, [1.0], 0), (13, [None, 1.0], 1), (14, [float("nan"), 1.0], 1), (15, [float("inf"), 1.0], 0),
+           (None, [9.0, 9.0], 1)]
+    df = spark.createDataFrame(good + bad, "id long, v array<double>, label int")
+    named = dict(q_id="id", q_vec="v", t_id="id", t_vec="v", t_label="label")
+    got = KN.knn_topk(df, df, 2, **named).collect()
+    assert {r.qid for r in got} == {r.tid for r in got} | {1, 2, 3} == {1, 2, 3, 4, 5}
+    assert [r.tid for r in sorted(got, key=lambda r: (r.qid, r["rank"]))] == [5, 4] * 5
+    assert KN.knn_topk(df, df.where("id IN (10, 11, 13, 14, 15)"), 2, **named).collect() == []
+
+
 def test_detector_by_hand(spark):
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(DETECTOR_CASES)], "id long, text string")
     common = spark.createDataFrame([(w,) for w in ("shopping", "chairs", "cheese", "sentence", "plain", "english", "here")], "word string")

@@ -82,10 +82,6 @@ def quality_gate(df: DataFrame, rules: Sequence[tuple[str, Column]],
     return df.withColumn(out, F.filter(F.array(*flags), lambda e: e.isNotNull()))
 
 
-def split_valid(df: DataFrame, errors: str = "errors") -> tuple[DataFrame, DataFrame]:
-    return df.where(F.size(errors) == 0), df.where(F.size(errors) > 0)
-
-
 def gate_report(df: DataFrame, errors: str = "errors") -> DataFrame:
     """Rejections per rule plus the number of valid rows (one pass)."""
     tags = F.when(F.size(errors) == 0, F.array(F.lit("valid"))).otherwise(F.col(errors))
@@ -113,6 +109,17 @@ def coordinate_rules(lat, lng) -> list[tuple[str, Column]]:
     return [("lat_range", _c(lat).between(-90, 90)), ("lng_range", _c(lng).between(-180, 180))]
 
 
+def request_rules(lat, lng, radius, max_results) -> list[tuple[str, Column]]:
+    """B9 rules of a place-search request: centre on the globe, a positive
+    radius, 1 to 20 results."""
+    return [*coordinate_rules(lat, lng), ("radius_positive", _c(radius) > 0), ("max_results_range", _c(max_results).between(1, 20))]
+
+
+def weight_rules(*weights) -> list[tuple[str, Column]]:
+    """B9 rules of class weights: every weight is positive."""
+    return [(f"weight_{k}_positive", _c(w) > 0) for k, w in enumerate(weights)]
+
+
 # B12 ----------------------------------------------------------------------
 def build_request(lat, lng, types: Sequence[str], radius: float = 500.0,
                   max_results: int = 20) -> Column:

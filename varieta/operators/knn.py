@@ -84,6 +84,12 @@ def _cell_fn(k: int, per_label: bool):
     return fn
 
 
+def usable_vector(vec) -> Column:
+    """The vector is there, not empty, and all its components are finite numbers."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def knn_topk(queries: DataFrame, train: DataFrame, k: int, *, q_id: str, q_vec: str,
              t_id: str, t_vec: str, t_label: str | None = None, per_label: bool = False,
              q_rows: int = Q_ROWS, t_rows: int = T_ROWS) -> DataFrame:
@@ -91,9 +97,16 @@ def knn_topk(queries: DataFrame, train: DataFrame, k: int, *, q_id: str, q_vec:
     (per query and train label when ``per_label``).  Rank is 1-based.
 
     ``q_rows`` and ``t_rows`` are the expected rows of a cell on either side;
-    the block counts follow from one count of each input."""
+    the block counts follow from one count of each input.  Rows without id,
+    and vectors that are null, empty, hold null or non-finite components or are not as
+    long as most train vectors, are left out: such a query has no rows in the
+    result and such a train row is nobody's neighbour."""
+    train = train.where(F.col(t_id).isNotNull() & usable_vector(t_vec))
+    size = train.agg(F.count("*").alias("n"), F.mode(F.size(t_vec), True).alias("width")).first()
+    queries = queries.where(F.col(q_id).isNotNull() & usable_vector(q_vec) & (F.size(q_vec) == F.lit(size.width or 0)))
+    train = train.where(F.size(t_vec) == F.lit(size.width or 0))
     q_blocks = max(1, math.ceil(queries.count() / q_rows))
-    t_blocks = max(1, math.ceil(train.count() / t_rows))
+    t_blocks = max(1, math.ceil(size.n / t_rows))
     label = F.col(t_label).cast("long") if t_label else F.lit(0).cast("long")
     q = (queries.select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qvec"))
          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)))

@@ -320,6 +320,26 @@ SELECT rule, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'valid' AS rule FROM g WHERE len(errors) = 0) GROUP BY rule""")(quality_gate_q)
 
 
+# B9 (requests and weights) ---------------------------------------------------
+def request_gate_q(spark, sf):
+    """Customers as search requests with class weights: the failed rules of each."""
+    c = read_table(spark, sf, "customer").select(
+        "c_custkey", ((F.col("c_custkey") % 241) - 120).alias("lat"), ((F.col("c_custkey") % 481) - 240).alias("lng"),
+        F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal").cast("double")).alias("radius"), (F.col("c_custkey") % 25).alias("k"),
+        (F.col("c_custkey") % 3).alias("w0"), (F.col("c_custkey") % 4).alias("w1"))
+    gated = R.quality_gate(c, [*R.request_rules("lat", "lng", "radius", "k"), *R.weight_rules("w0", "w1")])
+    return gated.select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+query("request_gate", """SELECT c_custkey, array_to_string(list_filter([
+  CASE WHEN NOT (c_custkey % 241) - 120 BETWEEN -90 AND 90 THEN 'lat_range' END,
+  CASE WHEN NOT (c_custkey % 481) - 240 BETWEEN -180 AND 180 THEN 'lng_range' END,
+  CASE WHEN c_custkey % 50 = 0 OR NOT coalesce(CAST(c_acctbal AS DOUBLE) > 0, FALSE) THEN 'radius_positive' END,
+  CASE WHEN NOT c_custkey % 25 BETWEEN 1 AND 20 THEN 'max_results_range' END,
+  CASE WHEN c_custkey % 3 = 0 THEN 'weight_0_positive' END, CASE WHEN c_custkey % 4 = 0 THEN 'weight_1_positive' END],
+  lambda e: e IS NOT NULL), ',') AS errors FROM customer""")(request_gate_q)
+
+
 # B10 -----------------------------------------------------------------------
 def soft_check_q(spark, sf):
     li = read_table(spark, sf, "lineitem")
