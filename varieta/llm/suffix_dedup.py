@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import MAX_ID, stage, whole_groups
 
 GRAM = 32                    # anchor length; the doubling below fixes it
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20        # some hundred bytes of arrays for each of its bytes
 INDEX_BYTES = 1 << 20
 HOT_CONTEXTS = 20_000
 WINDOW_BYTES = 8 << 20       # windows of hot anchors combined before they move
@@ -60,7 +60,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     for level in range(5):
         h = _double(h, 1 << level, level)
     h64 = _double(h, GRAM, 5)
-    bits = _U(max(1, int(n).bit_length()))
+    bits = _U(32)   # a fixed share for the place: equal windows choose alike in chunks of any size
     at = np.arange(len(h), dtype=np.uint64)
     least = _window_min((h >> bits << bits) | at, length - GRAM + 1)
     anchor = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
@@ -111,6 +111,20 @@ def _read_chunks(batches: Iterator, chunk: int, length: int) -> Iterator[tuple[l
 _MARK = ["anchor", "content", "doc", "tie", "span"]
 
 
+def _by_content(content: np.ndarray, docs: np.ndarray, ties: np.ndarray, offs: np.ndarray, k: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Order of contexts by (content, doc, tie, begin).  Contexts come piece by
+    piece in their order, so ranking the chunk's pieces leaves one sort by
+    content; only where a row stands twice in the chunk are begins compared."""
+    by = np.lexsort((offs, ties, docs))
+    a, z = by[:-1], by[1:]
+    if ((docs[a] == docs[z]) & (ties[a] == ties[z]) & (offs[a] == offs[z])).any():
+        return np.lexsort((begin, ties[k], docs[k], content))
+    rank = np.empty(len(by), np.uint16 if len(by) < 1 << 16 else np.int64)
+    rank[by] = np.arange(len(by))
+    first = np.argsort(rank[k], kind="stable")
+    return first[np.argsort(content[first], kind="stable")]
+
+
 def _map_contexts(chunk: int, length: int):
     """Contexts of all documents; those that repeat an earlier one of the same
     chunk are decided here (negative span), so copies do not move as a group."""
@@ -124,7 +138,7 @@ def _map_contexts(chunk: int, length: int):
             begin = first - np.concatenate([[0], ends[:-1]])[k] + offs[k]
             doc, tie = docs[k], ties[k]
             span = begin << 8 | size
-            order = np.lexsort((begin, tie, doc, content))
+            order = _by_content(content, docs, ties, offs, k, begin)
             a, z = order[:-1], order[1:]
             again, twice = np.zeros(len(order), bool), np.zeros(len(order), bool)
             again[z] = (content[z] == content[a]) & (anchor[z] == anchor[a])
