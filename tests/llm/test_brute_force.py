@@ -429,6 +429,42 @@ def test_embeddings_equal_brute_force(spark, sizes):
     assert sorted((tuple(r) for r in got), key=str) == slow_embeddings(rows)
 
 
+def test_embeddings_of_extreme_size(spark):
+    """Squares that leave the doubles' range do not hide a direction."""
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [3.0, 3.0]), (4, [1.0, -1.0]), (5, [-0.0, 0.0]), (6, [1e308, float("inf")]),
+            (7, [5e-324, 5e-324])]
+    got = embeddings.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 0, 5, True),
+                                             (6, 0, 6, True), (7, 3, 1, False)]
+
+
+def test_cells_in_reach_hold_all_near_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 0.125, (1500, 16))
+    tree = embeddings.CellTree(x[:1000], 100)
+    home, row, cell = tree.reach(x, 0.1)
+    assert 64 <= tree.cells <= 128 and set(home) == set(range(tree.cells))
+    visits = set(zip(row.tolist(), cell.tolist()))
+    assert len(visits) == len(row) and all(c < home[r] for r, c in visits)
+    near = ((x[:, None] - x[None])**2).sum(2) <= 0.1
+    assert near.sum() > 2000
+    for a, b in zip(*np.nonzero(near)):
+        assert home[a] == home[b] or ((a, home[b]) if home[b] < home[a] else (b, home[a])) in visits
+
+
+def test_block_axes_keep_distances():
+    rng = np.random.default_rng(2)
+    raw = rng.normal(size=(200, 40)) * np.linspace(1, 3, 40)
+    q = embeddings.rotation(40)
+    turned = embeddings.principal_axes(q, raw)
+    assert np.allclose(turned @ turned.T, np.eye(40))
+    x, y = embeddings.unit_rotated(raw, q), embeddings.unit_rotated(raw, turned)
+    for s in embeddings.blocks(40):
+        assert np.allclose(np.linalg.norm(x[0, s] - x[1, s]), np.linalg.norm(y[0, s] - y[1, s]))
+        var = y[:, s].var(0)
+        assert (np.diff(var) <= 1e-12).all()
+
+
 def test_embeddings_empty_table(spark):
     assert embeddings.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 

@@ -15,6 +15,7 @@ BLOCK_DIM = 16
 CELL_ROWS = 16_384
 TILE_ROWS = 32_768
 SAMPLE_ROWS = 65_536
+LEAF_SAMPLE = 4              # sampled vectors a cell is split down to: 16,384 cells at SAMPLE_ROWS
 _SLACK = 1e-9
 
 
@@ -38,45 +39,77 @@ def unit_rotated(raw: np.ndarray, q: np.ndarray) -> np.ndarray:
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True)) @ q
 
 
+def principal_axes(q: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """``q`` with the axes of every block turned to the sample's principal
+    directions in that block: distances inside blocks stay, and splits meet
+    the widest directions."""
+    q = q.copy()
+    if len(sample) > 1:
+        x = unit_rotated(sample, q)
+        for s in blocks(q.shape[1]):
+            y = x[:, s] - x[:, s].mean(0)
+            q[:, s] = q[:, s] @ np.linalg.eigh(y.T @ y)[1][:, ::-1]
+    return q
+
+
 class CellTree:
-    """Median splits of one block of the rotated space; cells as boxes."""
+    """Median splits of one block of the rotated space along the direction of
+    largest variance; the leaves are the cells."""
 
     def __init__(self, points: np.ndarray, cells: int):
-        self.low, self.high = [], []
-        dim = points.shape[1]
-
-        def split(p, low, high, n):
-            if n <= 1 or len(p) < 32:
-                self.low.append(low)
-                self.high.append(high)
-                return
-            d = int(np.argmax(p.max(0) - p.min(0)))
-            at = float(np.median(p[:, d]))
-            left = p[:, d] < at
-            if left.all() or not left.any():
-                self.low.append(low)
-                self.high.append(high)
-                return
-            h2, l2 = high.copy(), low.copy()
-            h2[d] = l2[d] = at
-            split(p[left], low, h2, n // 2)
-            split(p[~left], l2, high, n - n // 2)
-        split(points, np.full(dim, -np.inf), np.full(dim, np.inf), cells)
-        self.low, self.high = np.array(self.low), np.array(self.high)
+        axis, at, left, right, cell = [], [], [], [], []
+        self.cells = 0
+
+        def grow(p, n) -> int:
+            k = len(axis)
+            for column, v in ((axis, 0), (at, 0.0), (left, -1), (right, -1), (cell, -1)):
+                column.append(v)
+            if n > 1 and len(p) >= 2 * LEAF_SAMPLE:
+                d = int(np.argmax(p.var(0)))
+                cut = float(np.median(p[:, d]))
+                low = p[:, d] < cut
+                if low.any() and not low.all():
+                    axis[k], at[k] = d, cut
+                    left[k] = grow(p[low], n // 2)
+                    right[k] = grow(p[~low], n - n // 2)
+                    return k
+            cell[k] = self.cells
+            self.cells += 1
+            return k
+        grow(points, cells)
+        self.axis, self.at = np.array(axis), np.array(at)
+        self.left, self.right, self.cell = np.array(left), np.array(right), np.array(cell)
 
     def reach(self, x: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Home cell per row, and (row, cell) for lower cells within the radius."""
-        gap2 = np.zeros((len(x), len(self.low)))
-        inside = np.ones((len(x), len(self.low)), bool)
-        for d in range(x.shape[1]):
-            v = x[:, d, None]
-            gap = np.maximum(np.maximum(self.low[:, d] - v, v - self.high[:, d]), 0)
-            gap2 += gap * gap
-            inside &= (v >= self.low[:, d]) & (v < self.high[:, d])
-        home = inside.argmax(axis=1)
-        row, cell = np.nonzero(gap2 <= radius2 + _SLACK)
-        below = cell < home[row]
-        return home, row[below], cell[below]
+        """Home cell per row, and (row, cell) for lower cells within the radius.
+
+        Rows go down the tree level by level: always to their side of a split,
+        to the other side while the squared gaps to it, one per direction, stay
+        within the radius."""
+        home = np.zeros(len(x), np.int64)
+        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        own, gap2, gaps = np.ones(len(x), bool), np.zeros(len(x)), np.zeros_like(x)
+        rows, cells = [], []
+        while len(row):
+            leaf = self.left[node] < 0
+            home[row[leaf & own]] = self.cell[node[leaf & own]]
+            rows.append(row[leaf])
+            cells.append(self.cell[node[leaf]])
+            row, node, own, gap2, gaps = (v[~leaf] for v in (row, node, own, gap2, gaps))
+            d = self.axis[node]
+            off = x[row, d] - self.at[node]
+            near = np.where(off >= 0, self.right[node], self.left[node])
+            far = np.where(off >= 0, self.left[node], self.right[node])
+            far2 = gap2 - gaps[np.arange(len(row)), d]**2 + off * off
+            go = np.flatnonzero(far2 <= radius2 + _SLACK)
+            over = gaps[go]
+            over[np.arange(len(go)), d[go]] = np.abs(off[go])
+            row, node = np.concatenate([row, row[go]]), np.concatenate([near, far[go]])
+            own = np.concatenate([own, np.zeros(len(go), bool)])
+            gap2, gaps = np.concatenate([gap2, far2[go]]), np.concatenate([gaps, over])
+        rows, cells = np.concatenate(rows or [row]), np.concatenate(cells or [node])
+        below = cells < home[rows]
+        return home, rows[below], cells[below]
 
 
 def _read(blob: list, dim: int) -> np.ndarray:
@@ -85,7 +118,8 @@ def _read(blob: list, dim: int) -> np.ndarray:
 
 def _pack(batches: Iterator) -> Iterator:
     """Rows with their vector as double bytes and its length; null where the
-    vector is null, empty, zero or has null or non-finite components."""
+    vector is null, empty, zero or has null or non-finite components.  Vectors
+    are scaled by a power of two, so that no square is too large or small."""
     import pyarrow as pa
     for b in batches:
         vec, dims = [], []
@@ -93,7 +127,9 @@ def _pack(batches: Iterator) -> Iterator:
             a = None
             if v and None not in v:
                 a = np.array(v, np.float64)
-                a = a if np.isfinite(a).all() and np.isfinite((a * a).sum()) and (a * a).sum() > 0 else None
+                a = a if np.isfinite(a).all() and a.any() else None
+                if a is not None:
+                    a = np.ldexp(a, -np.frexp(np.abs(a).max())[1]) + 0.0    # -0.0 is 0.0
             vec.append(None if a is None else a.tobytes())
             dims.append(None if a is None else len(a))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vec, pa.binary()), pa.array(dims, pa.int32())],
@@ -106,12 +142,12 @@ def _deal(trees, q, dim, threshold):
     def run(batches):
         import pyarrow as pa
         parts = blocks(dim)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        grown = [t.value for t in trees]
+        most = max(64, (1 << 19) // max(t.cells for t in grown))   # rows at a time: they may visit every cell
+        for b in (b.slice(a, most) for b in batches for a in range(0, b.num_rows, most)):
             x = unit_rotated(_read(b.column("vec").to_pylist(), dim), q)
-            for k, (s, tree) in enumerate(zip(parts, trees)):
-                home, row, cell = tree.value.reach(x[:, s], distance_budget(threshold, dim, s))
+            for k, (s, tree) in enumerate(zip(parts, grown)):
+                home, row, cell = tree.reach(x[:, s], distance_budget(threshold, dim, s))
                 rows = pa.array(np.concatenate([np.arange(len(x)), row]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), k, np.int32)), pa.array(np.concatenate([home, cell]).astype(np.int32)),
@@ -132,15 +168,19 @@ def cell_links(block: int, dim: int, q: np.ndarray, threshold: float, home: tupl
     (na, a), (nb, b) = home, other
     ra, rb = unit_rotated(a, q), unit_rotated(b, q)
     la, lb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    # one product gives the block's squared distance less its limit
     fa, fb = ra[:, s].astype(np.float32), rb[:, s].astype(np.float32)
-    qa, qb = (fa * fa).sum(1), (fb * fb).sum(1)
-    for i0 in range(0, len(a), 1024):
-        for j0 in range(0, len(b), 4096):
-            d2 = fa[i0:i0 + 1024] @ fb[j0:j0 + 4096].T
-            d2 *= -2
-            d2 += qa[i0:i0 + 1024, None]
-            d2 += qb[j0:j0 + 4096]
-            i, j = np.nonzero(d2 <= limit[block] + 1e-4)
+    ones = np.ones((max(len(a), len(b)), 1), np.float32)
+    fa = np.hstack([-2 * fa, (fa * fa).sum(1, keepdims=True), ones[:len(a)]])
+    fb = np.ascontiguousarray(np.hstack([fb, ones[:len(b)], (fb * fb).sum(1, keepdims=True) - np.float32(limit[block] + 1e-4)]).T)
+    over = np.empty((512, 1024), np.float32)
+    for i0 in range(0, len(a), 512):
+        for j0 in range(0, len(b), 1024):
+            left, right = fa[i0:i0 + 512], fb[:, j0:j0 + 1024]
+            d = np.matmul(left, right, out=over[:len(left), :right.shape[1]]) if right.shape[1] == 1024 else left @ right
+            i, j = np.nonzero(d <= 0)
+            if not len(i):
+                continue
             i, j = i + i0, j + j0
             ok = ~is_home[j] | (na[i] < nb[j])
             i, j = i[ok], j[ok]
@@ -195,8 +235,8 @@ def pigeonhole_links(distinct: DataFrame, dim: int, threshold: float, cell_rows:
     """For distinct vectors (node, vec, weight) of one length: rows (a, b, null)
     that join linked nodes, and rows (a, null, n): n further links of node a.
 
-    The split points come from at most about ``sample_rows`` vectors; every
-    vector is dealt.  A cell with more rows than ``tile_rows`` is cut in tiles
+    The split points and the axes of each block come from at most about
+    ``sample_rows`` vectors; every vector is dealt.  A cell with more rows than ``tile_rows`` is cut in tiles
     and each home tile meets each tile, so a task's size is bounded.  A pair
     is counted in one block and one cell, and only sums leave the task."""
     spark = distinct.sparkSession
@@ -205,8 +245,10 @@ def pigeonhole_links(distinct: DataFrame, dim: int, threshold: float, cell_rows:
     share = min(1.0, sample_rows / max(1, n))
     pick = distinct.where(F.pmod("node", F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select("vec")
     rows = [bytes(r.vec) for r in pick.toLocalIterator()]
-    x = unit_rotated(_read(rows, dim), q) if rows else np.zeros((0, dim))
-    cells = max(1, min(math.ceil(n / cell_rows), max(1, len(rows) // 16)))
+    sample = _read(rows, dim)
+    q = principal_axes(q, sample)
+    x = unit_rotated(sample, q)
+    cells = max(1, math.ceil(n / cell_rows))
     trees = [Shared(spark, CellTree(x[:, s], cells)) for s in blocks(dim)]
     dealt = distinct.mapInArrow(_deal(trees, q, dim, threshold),
                                 "block int, cell int, home boolean, node long, vec binary, weight long")
