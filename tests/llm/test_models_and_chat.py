@@ -7,9 +7,12 @@ import hashlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from varieta.llm import chat, html, quality, queries, toxicity
+from varieta.llm.common import lowest_hashes
 
 SF = "/root/testdata/sf0.001"
 BIG = "/root/testdata/sf0.01"
@@ -97,6 +100,61 @@ def test_leaf_blocks_after_self_closed_images_and_open_heads():
     assert html.leaf_blocks("<head><title>T</title>one <img src=x> two") == [((), "one two")]
 
 
+def test_leaf_blocks_of_odd_tags_and_comments():
+    def texts(page):
+        return [t for _, t in html.leaf_blocks(page)]
+    assert texts("<p class=it's>Hello world</p><p>I don't know</p>") == ["Hello world", "I don't know"]
+    assert texts("<!--><p>text</p>") == texts("<!---><p>text</p>") == texts("<!-- x --!><p>text</p>") == ["text"]
+    assert texts("<!-- <p>no</p> --><p>text</p><!-- never ends <p>no</p>") == ["text"]
+    assert texts('<p title="x>one</p>') == ["one"] and texts("<p title='x>one</p><p>two") == ["one", "two"]
+    assert texts('<p title="a > b" data-x=\'<i>\'>one</p>') == ["one"]
+    assert texts("<svg><path d=x><p>one</p>two") == ["one", "two"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg><p>two") == ["two"]
+    assert texts("one</ x>two<//>three<a href=x/>four</a> a < b") == ["onetwothreefour a < b"]
+    assert html.leaf_blocks("<div class = ad  ID='b c'\n hidden = \"\">one</div><div class=x/>two") \
+        == [(("div.ad.b.c.hidden",), "one"), (("div.x",), "two")]
+    long = "<p a='" * 30_000
+    assert texts(long + "x") == [] and texts('<p a="' * 30_000 + ">x") == ["x"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["<p>", "</p>", "<div class=it's>", "</div>", "<b title='a>b'>", "</b>", "<br/>", "<li x=\"1\" y>", "<!--x-->", "<!-->", "<!--a--!>", "</ >",
+     "<img src=a/>", "<svg><g>x</g></svg>", "<svg/>", "<td =a>", "</table>", "<h1 a = \"it's\" >", "<a href=x/y?z>", "&amp;", "<span a=''b=\"\">", "W", "W", "W"])))
+def test_every_visible_word_lands_in_a_block(parts):
+    page, words = "", []
+    for k, part in enumerate(parts):
+        if part == "W":
+            words.append(f"word{k}.")
+        page += words[-1] if part == "W" else part
+    found = "".join(t for _, t in html.leaf_blocks(page)).replace(" ", "").replace("&", "")
+    assert found == "".join(words)
+
+
+def test_stretches_cover_long_pages_to_their_ends():
+    for n in (1, 255, 256, 257, 1000, 2048, 100_000):
+        cut = html.stretches(n)
+        assert cut[0].start == 0 and cut[-1].stop == n and len(cut) <= html.TRAIN_STRETCHES
+        assert all(0 < c.stop - c.start <= html.TRAIN_BLOCKS for c in cut)
+        if n <= html.TRAIN_STRETCHES * html.TRAIN_BLOCKS:
+            assert [c.start for c in cut[1:]] == [c.stop for c in cut[:-1]]
+
+
+def test_every_word_of_a_block_counts():
+    table = html.Features()
+    a, b = (html.page_features([(("p",), " ".join(["w"] * 400 + [w] * 400))], table) for w in ("x", "y"))
+    assert not np.array_equal(a, b)
+
+
+def test_samples_are_bounded_with_repeated_and_null_rows(spark):
+    rows = [(None, None, "same")] * 1000 + [(None, None, f"t{k}") for k in range(1000)] + [(k, "u", "same") for k in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, hash string").repartition(5)
+    got = [tuple(r) for r in lowest_hashes(df, 300).collect()]
+    assert len(got) == len(set(got)) == 300 and len(set(lowest_hashes(df, 5000).collect())) == 2001
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in lowest_hashes(df.repartition(2), 300).collect())
+    assert lowest_hashes(df.limit(0), 300).collect() == []
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     m = html.BlockLabeller()

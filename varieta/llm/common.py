@@ -37,6 +37,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lowest_hashes(df: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` different rows of ``df``: those with the lowest hashes of
+    all their columns, rows of one hash once.  About twice as many hashes are
+    put in order, one number comes to the driver, and a row repeated many
+    times is combined before it moves."""
+    name, = free_names(df.columns, "hash")
+    columns = [F.col(c) for c in df.columns]
+    h = df.select(*columns, F.xxhash64(*columns, *(c.isNull() for c in columns)).alias(name))
+    share = min(1.0, 2 * n / max(1, df.count()))
+    low = h if share == 1 else h.where(F.col(name) <= int(-2**63 + share * 2**64))
+    last = low.select(name).distinct().orderBy(name).limit(n).agg(F.max(name)).first()[0]
+    if last is None:
+        return df.limit(0)
+    return low.where(F.col(name) <= last).dropDuplicates([name]).drop(name).repartition(min(32, max(1, n // 32)))
+
+
 class Shared:
     """A broadcast object for tasks.  Only its plain attributes (arrays, lists,
     dicts) are broadcast; its class travels with the function that uses it, so

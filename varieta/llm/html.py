@@ -8,15 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, lowest_hashes
 
 PATH_DIMS, WORD_DIMS, SIZE_DIMS = 64, 16, 4
 DIMS = PATH_DIMS + WORD_DIMS + SIZE_DIMS
 HIDDEN = 16
 SAMPLE_PAGES = 300
-TRAIN_BLOCKS = 256           # blocks of a page that training looks at; labelling reads all
+TRAIN_BLOCKS = 256           # training cuts a page into stretches of at most this many blocks; labelling reads pages in one
+TRAIN_STRETCHES = 8          # and takes at most so many of a page, from its first to its last
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style noscript template iframe svg math object canvas head title select option datalist".split())
@@ -32,13 +32,62 @@ cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subsc
 reply replies respond disqus related recommended share sharing social toolbar pagination pager copyright legal disclaimer
 tags skip search dialog""".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "iframe", "template", "textarea", "title", "svg", "math")}
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# Elements that end an open svg or math element, and the parts of these that hold HTML again.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+                     "ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HTML_INSIDE = frozenset("foreignobject desc annotation-xml".split())
+
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z])[^>]*(?:>|\Z)"
+                    r"|<(/?)([A-Za-z][^ \t\n\f\r/>]*)", re.S)
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "iframe", "template", "textarea", "title")}
+# The attributes of most tags hold no doubt: names, and values in quotes without angle brackets.
+_PLAIN = re.compile(r"""((?:[ \t\n\f\r]++[A-Za-z][\w:.-]*+(?:="[^"<>]*+"|='[^'<>]*+'|=[\w:.#%+-]++(?=[ \t\n\f\r>]))?+)*+[ \t\n\f\r]*+/?+)>""", re.A)
+_ATTR = re.compile(r"""[ \t\n\f\r]([A-Za-z][\w:.-]*)(?:=(?:"([^"]*)"|'([^']*)'|([\w:.#%+-]+)))?""", re.A)
+_GAP = re.compile(r"[ \t\n\f\r/]*")
+_KEY = re.compile(r"=?[^ \t\n\f\r/>=]*")
+_EQUALS = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*")
+_BARE = re.compile(r"[^ \t\n\f\r>]*")
+_SHOWN_KEYS = frozenset("class id role hidden aria-hidden".split())
 _NAMES = re.compile(r"[A-Za-z]+")
 
 
+class _Tags:
+    """Attributes of one page's tags.  A value ends where its own quote or, if
+    it has none, white space or the tag ends.  A quote that never ends counts
+    as a part of a value without quotes, so that the text behind it is kept."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {q: page.rfind(q) for q in "\"'"}
+
+    def read(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """(attributes, self-closed, end of the tag) from behind the tag's name."""
+        m = _PLAIN.match(self.page, at)
+        if m:
+            found = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(m[1])] if len(m[1]) > 1 else []
+            return found, m[1].endswith("/"), m.end()
+        page, n, out = self.page, len(self.page), []
+        while True:
+            gap = at
+            at = _GAP.match(page, at).end()
+            if at >= n:
+                return out, False, n
+            if page[at] == ">":
+                return out, page[at - 1] == "/" and at > gap, at + 1
+            key = _KEY.match(page, at)
+            at = key.end()
+            value, equals = "", _EQUALS.match(page, at)
+            if equals:
+                at = equals.end()
+                quote = page[at:at + 1]
+                if quote in self.last and self.last[quote] > at:
+                    end = page.index(quote, at + 1)
+                    value, at = page[at + 1:end], end + 1
+                else:
+                    m = _BARE.match(page, at)
+                    value, at = m[0], m.end()
+            out.append((key[0].lower(), value))
+
+
 def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
     """Leaf blocks of a page in order: (tag path, text).
 
@@ -47,13 +96,15 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
     and, after a dot, the words of its class, id and role.  Scripts, styles
     and other hidden elements hold no blocks; unclosed elements are closed by
     their parents' ends, a head also by text or the first element that is no
-    part of a head.  Self-closed svg and math elements are empty."""
+    part of a head, svg and math by an HTML element that cannot stand in them.
+    Self-closed svg and math elements are empty."""
     out: list[tuple[tuple[str, ...], str]] = []
     if not page:
         return out
     stack: list[tuple[str, str]] = []
     buf: list[str] = []
     hidden = 0
+    tags = _Tags(page)
 
     def flush():
         if buf:
@@ -82,6 +133,7 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
                 buf.append(_html.escape(m[0][9:-3]))
             continue
         name = m[2].lower()
+        attributes, self_closed, at = tags.read(at)
         inline = name in INLINE
         if not inline:
             flush()
@@ -97,6 +149,13 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
             continue
         if stack and stack[-1][0] == "head" and name not in HEAD_PARTS:
             close(len(stack) - 1)
+        if hidden and name in BREAKOUT:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in HTML_INSIDE:
+                    break
+                if stack[k][0] in ("svg", "math"):
+                    close(k)
+                    break
         if name == "br" or name in VOID:
             continue
         if name in CLOSES_P and any(n == "p" for n, _ in stack):
@@ -105,7 +164,7 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
                 close(k)
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
-        if m[3].rstrip().endswith("/") and (name not in HIDDEN_TAGS or name in ("svg", "math")):
+        if self_closed and (name not in HIDDEN_TAGS or name in ("svg", "math")):
             continue
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
@@ -113,12 +172,11 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str]]:
                 at = end.end() if end else len(page)
                 continue
         words, unseen = [], False
-        if "=" in m[3] or "hidden" in m[3]:
-            for key, value in _ATTR.findall(m[3]):
-                if key.lower() == "hidden" or key.lower() == "aria-hidden" and "true" in value:
-                    unseen = True
-                else:
-                    words += _NAMES.findall(value.lower())
+        for key, value in attributes:
+            if key == "hidden" or key == "aria-hidden" and "true" in value:
+                unseen = True
+            elif key in _SHOWN_KEYS:
+                words += _NAMES.findall(value.lower())
         label = name + "".join("." + w for w in sorted(set(words)))
         stack.append((name, label + (".hidden" if unseen else "")))
         hidden += name in HIDDEN_TAGS
@@ -157,7 +215,7 @@ def page_features(blocks: list[tuple[tuple[str, ...], str]], table: Features) ->
     for k, (path, text) in enumerate(blocks):
         x[k, :PATH_DIMS] = table[path]
         words = text.split(" ")
-        got = [table[w] for w in words[:400]]
+        got = [table[w] for w in words]
         v = np.bincount([g[0] for g in got], [g[1] for g in got], WORD_DIMS)
         x[k, PATH_DIMS:PATH_DIMS + WORD_DIMS] = v / np.sqrt(len(got))
         n = len(words)
@@ -331,28 +389,37 @@ def varied(blocks: list, rng: np.random.Generator) -> list:
     return out
 
 
-def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
-    """Fit on about ``sample_pages`` pages with the lowest hashes and four varied
-    copies of each; only feature rows reach the driver."""
-    n = pages.count()
-    share = min(1.0, sample_pages / max(1, n))
-    pick = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 24)) < int(np.ceil(share * (1 << 24)))
+def stretches(n: int) -> list[slice]:
+    """Even parts of a page of ``n`` blocks, of at most ``TRAIN_BLOCKS`` blocks; of more than
+    ``TRAIN_STRETCHES`` of them as many, evenly spread, the first and last among them."""
+    parts = max(1, -(-n // TRAIN_BLOCKS))
+    cuts = [n * k // parts for k in range(parts + 1)]
+    take = range(parts) if parts <= TRAIN_STRETCHES else [k * (parts - 1) // (TRAIN_STRETCHES - 1) for k in range(TRAIN_STRETCHES)]
+    return [slice(cuts[k], cuts[k + 1]) for k in take]
 
+
+def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> BlockLabeller:
+    """Fit on at most ``sample_pages`` different pages, those with the lowest
+    hashes, and four varied copies of each; only feature rows reach the
+    driver, of at most ``TRAIN_STRETCHES`` stretches a copy."""
     def features(batches: Iterator) -> Iterator:
         import pyarrow as pa
         table = Features()
         for b in batches:
-            xs, ys = [], []
             for page in b.column(0):
                 blocks = leaf_blocks(page.as_py())
                 if not blocks:
                     continue
+                xs, ys = [], []
                 rng = np.random.default_rng(_bucket(blocks[-1][1], 9))
                 for version in (blocks, *(varied(blocks, rng) for _ in range(4))):
-                    xs.append(page_features(version, table)[:TRAIN_BLOCKS].tobytes())
-                    ys.append(weak_labels(version)[:TRAIN_BLOCKS].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
-    rows = pages.where(pick).select("html").mapInArrow(features, "x binary, y binary").collect()
+                    x, y = page_features(version, table), weak_labels(version).astype(np.float32)
+                    for part in stretches(len(x)):
+                        xs.append(x[part].tobytes())
+                        ys.append(y[part].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
+    sample = lowest_hashes(pages.select("page_id", "url", "html"), sample_pages)
+    rows = sample.select("html").mapInArrow(features, "x binary, y binary").collect()
     rows.sort(key=lambda r: (len(r.x), bytes(r.x)))
     return BlockLabeller().fit([(np.frombuffer(r.x, np.float32).reshape(-1, DIMS), np.frombuffer(r.y, np.float32)) for r in rows])
 
