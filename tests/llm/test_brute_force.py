@@ -315,6 +315,35 @@ def test_decontaminate_cuts_spans_and_keeps_clean_rows(spark):
     assert out[3].text == "nothing to see" and out[3].n_chars == 7 and out[4].text is None
 
 
+def test_repeated_benchmark_rows_are_dealt_once(spark):
+    """A third of the rows without id, all of one text, and one id many times."""
+    rows = [(None, BENCH[0][1])] * 200 + [(5, BENCH[1][1])] * 200 + [(k, f"{BENCH[0][1]} w{k} x{k}") for k in range(10, 40)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    few = [len(a.value.next) for a in decontaminate._blocks(bench.distinct(), 10, 400)]
+    assert len(few) > 1 and sorted(len(a.value.next) for a in decontaminate._blocks(bench, 10, 400)) == sorted(few)
+    docs = [(1, f"before {BENCH[0][1]} w12 x12 after"), (2, BENCH[1][1]), (3, None)]
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench, block_words=400)
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=str) == slow_contamination(docs, sorted(set(rows), key=str))
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Columns named like the operators' own come back as they were."""
+    shared = "one passage that several documents share word by word and that is longer than one hundred bytes in all, as it must be"
+    rows = [(1, f"first start {shared} first end", 11, 12, 13, 14, 15, 16, 17, 18), (2, f"another head {shared} other tail", 21, 22, 23, 24, 25, 26, 27, 28),
+            (2, f"another head {shared} other tail", 21, 22, 23, 24, 25, 26, 27, 28), (3, None, 31, 32, 33, 34, 35, 36, 37, 38)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ROW long, _row2 long, _many long, _doc long, _tie long, _spans long, _masks long, _items long")
+    bench = spark.createDataFrame([(1, shared)], "item_id long, text string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.where("doc_id > 0").collect()) == [rows[0], rows[1], rows[3]]
+    cut = suffix_dedup.without_passages(df)
+    assert cut.columns == df.columns
+    assert sorted((r.doc_id, *r[2:]) for r in cut.collect()) == [(r[0], *r[2:]) for r in rows]
+    assert {r.text for r in cut.collect() if r.doc_id == 2} == {"another headother tail"}
+    clean = decontaminate.decontaminate(df, bench, max_coverage=1.0)
+    assert clean.columns == df.columns and sorted((r.doc_id, *r[2:]) for r in clean.collect()) == [(r[0], *r[2:]) for r in rows]
+    assert {r.text for r in clean.collect() if r.doc_id == 1} == {"first start  first end"}
+
+
 def test_decontamination_without_items(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(documents, none).where("contaminated").count() == 0

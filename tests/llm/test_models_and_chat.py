@@ -19,6 +19,16 @@ BIG = "/root/testdata/sf0.01"
 
 
 # -- quality ---------------------------------------------------------------
+def test_quality_sample_is_bounded(spark):
+    """A third of the rows without id, a third one repeated row."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    texts = docs.select(F.lit(None).cast("long"), F.concat("text", F.lit(" x")))
+    same = spark.range(1000).select(F.lit(7).cast("long"), F.lit("one text that stands in many rows of the table"))
+    assert lowest_hashes(docs.union(texts).union(same), 200).count() == 200
+    got = quality.quality_scores(docs.union(texts).union(same), sample_rows=200)
+    assert got.count() == 2 * docs.count() + 1000
+
+
 def test_quality_agrees_with_labels(spark):
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     got = quality.quality_scores(docs).join(labels, "doc_id").select("keep", labels["quality"].alias("y")).collect()

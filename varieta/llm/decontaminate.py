@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stage
+from .common import Shared, free_names, stage
 
 WINDOW = 10
 BLOCK_WORDS = 50_000
@@ -172,7 +172,8 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator:
     spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull()) \
         .select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    p = stage(items.mapInArrow(lambda it: _pieces(it, longest, window), "item string, whole long, piece binary"), "items")
+    # rows that repeat an item and its text say nothing new, and would meet in one block
+    p = stage(items.mapInArrow(lambda it: _pieces(it, longest, window), "item string, whole long, piece binary").distinct(), "items")
     total = p.agg(F.coalesce(F.sum(F.size(F.split(F.col("piece").cast("string"), " "))), F.lit(0))).first()[0]
     n = max(1, math.ceil(2 * total / block_words)) if total > block_words else 1
     p = p.withColumn("_block", F.pmod(F.xxhash64("item", "piece"), F.lit(n)))
@@ -183,14 +184,15 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and ``_masks`` (hit masks per automaton, over
-    words, null without hits) and ``_items`` (items whose windows occur).
+    """All columns of ``docs`` and, last, hit masks (one per automaton with hits,
+    over words) and the items whose windows occur, under names that are free.
 
     The items are dealt in blocks of at most ``block_words`` words, a fixed
     bound on every broadcast automaton; documents are read once per block and
     nothing is shuffled.  A benchmark of one block takes one pass."""
     from pyspark.sql import types as T
-    out = docs.withColumn("_masks", F.array().cast("array<binary>")).withColumn("_items", F.array().cast("array<string>"))
+    names = free_names(docs.columns, "_masks", "_items")
+    out = docs.withColumn(names[0], F.array().cast("array<binary>")).withColumn(names[1], F.array().cast("array<string>"))
     first = True
     for auto in _blocks(benchmark, window, block_words):
         schema = T.StructType(out.schema.fields)
@@ -200,7 +202,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
 
 def _marker(auto, columns):
-    at = [columns.index(c) for c in ("text", "_masks", "_items")]
+    at = [columns.index("text"), len(columns) - 2, len(columns) - 1]
 
     def run(batches):
         import pyarrow as pa

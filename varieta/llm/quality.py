@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stage
+from .common import Shared, lowest_hashes, stage
 
 DIMS = 1 << 18
 SAMPLE_ROWS = 6_000
@@ -188,16 +188,15 @@ class QualityModel:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
     """Labeller statistics come from all documents, as counts of at most 3^7
-    vote patterns; the scorer is fitted on about ``sample_rows`` documents
-    with the lowest hashes, labelled by the posterior."""
+    vote patterns; the scorer is fitted on at most ``sample_rows`` different
+    documents, those with the lowest hashes of id and text, labelled by the
+    posterior."""
     docs = docs.select("doc_id", "text")
     voted = stage(docs.mapInArrow(_vote_rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, pattern int"), "votes")
     rows = voted.groupBy("pattern").count().collect()
     patterns = _digits(np.array([r["pattern"] for r in rows], np.int64))
     counts = np.array([r["count"] for r in rows], np.float64)
     prior, table = fit_label_model(patterns, counts)
-    n = int(counts.sum())
-    share = min(1.0, sample_rows / max(1, n))
 
     def features(batches):
         import pyarrow as pa
@@ -213,8 +212,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
                 pattern.append(votes(stats, len(words)))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(values, pa.binary()),
                                               pa.array(pattern, pa.list_(pa.int32()))], ["at", "value", "votes"])
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(np.ceil(share * (1 << 24)))
-    sample = docs.where(pick).mapInArrow(features, "at binary, value binary, votes array<int>").collect()
+    sample = lowest_hashes(docs, sample_rows).mapInArrow(features, "at binary, value binary, votes array<int>").collect()
     xs = [(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.value, np.float32).astype(np.float64)) for r in sample]
     target = posterior(np.array([r.votes for r in sample], np.int64).reshape(-1, len(LABELLERS)), prior, table)
     return QualityModel(prior, table, fit_linear(xs, target))

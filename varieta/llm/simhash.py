@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, lower_words, spanning_links, stage, whole_groups
+from .common import connected_components, free_names, lower_words, spanning_links, stage, whole_groups
 
 SHINGLE, DISTANCE = 4, 4
 GROUP_LIMIT = 200_000
@@ -242,18 +242,18 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
     columns = docs.columns
     plain = [F.col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     plain += [c.isNull() for c in plain]          # a hash passes over nulls
-    rows = docs.withColumn("_row", F.xxhash64(*plain)).withColumn("_row2", F.xxhash64(F.lit(1), *plain))
-    key = ["_row", "_row2"]
+    key, many = free_names(columns, "_row", "_row2"), "_many"
+    rows = docs.withColumn(key[0], F.xxhash64(*plain)).withColumn(key[1], F.xxhash64(F.lit(1), *plain))
     fps = stage(fingerprints(rows, shingle, tuple(key)), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key)
     reps = stage(fps.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     comp = connected_components(fingerprint_links(reps.select("fp"), distance, group_limit))
     named = reps.join(comp, reps["fp"] == comp["node"], "left").select("first", F.coalesce("component", "fp").alias("root"))
-    keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first._row", "first._row2")
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select(*(f"first.{k}" for k in key))
     repeated = fps.groupBy(*key).count().where("count > 1").select(*key)
-    keep = stage(keep.join(repeated.withColumn("_many", F.lit(True)), key, "left"), "kept")
+    keep = stage(keep.join(repeated.withColumn(many, F.lit(True)), key, "left"), "kept")
     out = rows.join(keep.select(*key), key, "left_semi")
-    if not keep.where("_many").isEmpty():
-        many = rows.mapInArrow(_first_of_task, rows.schema).join(keep.where("_many").select(*key), key, "left_semi").dropDuplicates(key)
-        out = rows.join(keep.where("_many is null").select(*key), key, "left_semi").unionByName(many)
+    if not keep.where(many).isEmpty():
+        again = rows.mapInArrow(_first_of_task, rows.schema).join(keep.where(many).select(*key), key, "left_semi").dropDuplicates(key)
+        out = rows.join(keep.where(F.col(many).isNull()).select(*key), key, "left_semi").unionByName(again)
     return out.select(*columns)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_ID, stage, whole_groups
+from .common import MAX_ID, free_names, stage, whole_groups
 
 GRAM = 32                    # anchor length; the doubling below fixes it
 CHUNK_BYTES = 2 << 20        # some hundred bytes of arrays for each of its bytes
@@ -545,12 +545,13 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 
 
 def _with_spans(docs: DataFrame, length: int, options: dict) -> DataFrame:
-    """``docs`` with ``_spans``: the packed spans, null where nothing is repeated."""
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))) \
-        .withColumn("_tie", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    spans = repeated_spans(keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text"), length, **options)
-    per = spans.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("span").alias("_spans"))
-    return keyed.join(per, ["_doc", "_tie"], "left")
+    """``docs`` and, as last column, the packed spans, null where nothing is repeated."""
+    doc, tie, packed = free_names(docs.columns, "_doc", "_tie", "_spans")
+    keyed = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))) \
+        .withColumn(tie, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    spans = repeated_spans(keyed.select(F.col(doc).alias("doc"), F.col(tie).alias("tie"), "text"), length, **options)
+    per = spans.groupBy(F.col("doc").alias(doc), F.col("tie").alias(tie)).agg(F.collect_list("span").alias(packed))
+    return keyed.join(per, [doc, tie], "left").select(*docs.columns, packed)
 
 
 def dedup_passages(docs: DataFrame, length: int = 100, **options) -> DataFrame:
@@ -577,7 +578,7 @@ def dedup_passages(docs: DataFrame, length: int = 100, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs.select("doc_id", "text"), length, options).select("doc_id", "text", "_spans").mapInArrow(
+    return _with_spans(docs.select("doc_id", "text"), length, options).mapInArrow(
         run, f"doc_id {doc_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -607,4 +608,4 @@ def without_passages(docs: DataFrame, length: int = 100, **options) -> DataFrame
             if sizes is not None:
                 cols[chars] = pa.array(sizes, cols[chars].type)
             yield pa.RecordBatch.from_arrays(cols, columns)
-    return _with_spans(docs, length, options).select(*columns, "_spans").mapInArrow(run, schema)
+    return _with_spans(docs, length, options).mapInArrow(run, schema)
