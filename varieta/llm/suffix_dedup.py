@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import MAX_ID, free_names, stage, whole_groups
 
 GRAM = 32                    # anchor length; the doubling below fixes it
-CHUNK_BYTES = 2 << 20        # some hundred bytes of arrays for each of its bytes
-INDEX_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20        # some hundred bytes of arrays for each of its bytes
+INDEX_BYTES = 1 << 19
 HOT_CONTEXTS = 20_000
 WINDOW_BYTES = 8 << 20       # windows of hot anchors combined before they move
 _U = np.uint64
