@@ -58,9 +58,12 @@ _EMOJI = (
 )
 # A keycap with its key, or an emoji with the selectors, tags and joined
 # emoji that follow it; a joiner or selector elsewhere (Indic text) stays.
-# Four ranges that hold them all: a text without any is not searched further.
+# Four ranges that hold them all.
 EMOJI_TRIGGER = r"[\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F004}-\x{1FAFF}]"
 EMOJI_SEQUENCE = rf"[0-9#*]\x{{FE0F}}?\x{{20E3}}|[{_EMOJI}](?:[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}\x{{E0020}}-\x{{E007F}}]|\x{{200D}}[{_EMOJI}])*"
+# Same matches as EMOJI_SEQUENCE for the JVM engine, which tries the list's
+# ranges one after the other: four ranges that hold them all are tried first.
+EMOJI_SEQUENCE_JVM = EMOJI_SEQUENCE.replace("|[", f"|(?={EMOJI_TRIGGER})[", 1)
 
 # --- fixed values: text repair subset (C3) -------------------------------
 HTML_ENTITIES = (           # applied in this order; &amp; last
@@ -78,6 +81,8 @@ CONTROL_CHARS = r"[\x00-\x08\x0B\x0E-\x1F\x7F\x{FEFF}]"
 # Any character that one of the repair rules would touch (a cheap gate).
 REPAIR_TRIGGER = (r"[\x00-\x08\x0B\x0D-\x1F\x7F\x85\x{02BC}\x{2018}-\x{201F}\x{2028}\x{2029}"
                   r"\x{3000}\x{FB00}-\x{FB06}\x{FEFF}\x{FF01}-\x{FF5E}]")
+# The same for the JVM engine: printable ASCII is passed over by one range.
+REPAIR_TRIGGER_JVM = r"(?![ -~])" + REPAIR_TRIGGER
 # Fullwidth forms U+FF01..U+FF5E map one-to-one onto ASCII U+0021..U+007E;
 # the ideographic space maps to a plain space.  Built from that rule.
 FULLWIDTH_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
