@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varieta.functions import patterns as P
 from varieta.functions import text as T
+from varieta.operators import langid as LID
 
 
 def test_jvm_spellings_match_what_the_portable_ones_do(spark):
@@ -18,3 +19,23 @@ def test_jvm_spellings_match_what_the_portable_ones_do(spark):
     one = df.where(c.isNotNull()).select(F.explode(F.split(c, "a")).alias("x"))
     assert one.where(F.col("x").rlike(P.REPAIR_TRIGGER) != F.col("x").rlike(P.REPAIR_TRIGGER_JVM)).count() == 0
     assert P.EMOJI_SEQUENCE_JVM != P.EMOJI_SEQUENCE
+
+
+def test_grams_are_counted_per_text_not_per_character(spark):
+    rows = [(1, "aaab"), (2, None), (3, ""), (4, "x\U0001F600y"), (1, "AB")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = LID.gram_counts(docs, "id", "text")
+    assert got.count() == got.select("id", "key", "G").distinct().count()
+    seen = sorted((r.id, r.G, r.gram, r.k) for r in got.select("id", "G", LID.key_gram(F.col("key"), 3).alias("gram"), "k").collect())
+    assert seen == sorted([(1, 4, " aa", 1), (1, 4, "aaa", 1), (1, 4, "aab", 1), (1, 4, "ab ", 1), (1, 2, " ab", 1), (1, 2, "ab ", 1),
+                           (4, 3, " x\U0001F600", 1), (4, 3, "x\U0001F600y", 1), (4, 3, "\U0001F600y ", 1)])
+    assert got.where(LID.gram_key(LID.key_gram(F.col("key"), 3), 3) != F.col("key")).count() == 0
+    long = LID.gram_counts(docs, "id", "text", 5).collect()
+    assert sorted((r.key, r.k) for r in long) == [(" aaab", 1), (" x\U0001F600y ", 1), ("aaab ", 1)]
+
+
+def test_texts_longer_than_a_piece_keep_all_grams(spark, monkeypatch):
+    monkeypatch.setattr(LID, "PIECE_CHARS", 4)
+    docs = spark.createDataFrame([(1, "abcabcabcabc")], "id long, text string")
+    got = LID.gram_counts(docs, "id", "text").agg(F.sum("k"), F.max("G")).first()
+    assert tuple(got) == (12, 12)

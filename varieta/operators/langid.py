@@ -15,6 +15,7 @@ hot grams AQE splits.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +43,80 @@ def doc_grams(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFr
             .groupBy(id_col, "gram").agg(F.count("*").alias("k")))
 
 
+PACKED = 3                    # grams of so many code points fit one long, 21 bits each
+PIECE_CHARS = 1 << 20         # characters of a text counted at a time
+
+
+def gram_key(gram: Column, n: int) -> Column:
+    """A gram as a long; longer ones stay strings."""
+    if n > PACKED:
+        return gram
+    key = F.lit(0).cast("long")
+    for i in range(1, n + 1):
+        key = F.shiftleft(key, 21).bitwiseOR(F.ascii(F.substring(gram, i, 1)).cast("long"))
+    return key
+
+
+def key_gram(key: Column, n: int) -> Column:
+    """The gram that ``gram_key`` made a long of."""
+    if n > PACKED:
+        return key
+    points = [F.lpad(F.hex(F.shiftright(key, 21 * i).bitwiseAND(F.lit(0x1FFFFF))), 8, "0") for i in range(n - 1, -1, -1)]
+    return F.decode(F.unhex(F.concat(*points)), "UTF-32")
+
+
+def gram_counts(docs: DataFrame, col: str, text_col: str, n: int = 3) -> DataFrame:
+    """(``col``, G, key, k) for every row: each gram's count ``k`` in it, as a
+    ``gram_key``, and the number ``G`` of all its grams.  Grams are sorted and
+    counted where the text is read, so no row moves or is made per character;
+    a text longer than PIECE_CHARS gives a gram once per piece."""
+    if n > PACKED:
+        grams = docs.select(col, char_ngrams(F.col(text_col), n).alias("_g")) \
+            .select(col, F.size("_g").cast("long").alias("G"), F.explode_outer("_g").alias("key"), F.lit(1).cast("long").alias("k"))
+        return grams.where(F.col("key").isNotNull())  # outer + filter: see explode_grams
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(column, at, sizes, keys, ks):
+            i = np.array(at, np.int64)
+            per = np.array([len(x) for x in keys], np.int64)
+            return pa.RecordBatch.from_arrays([column.take(pa.array(np.repeat(i, per))), pa.array(np.repeat(np.array(sizes, np.int64), per)),
+                                               pa.array(np.concatenate(keys)), pa.array(np.concatenate(ks))], [col, "G", "key", "k"])
+        for b in batches:
+            at, sizes, keys, ks, held = [], [], [], [], 0
+            for row, text in enumerate(b.column(1)):
+                t = text.as_py()
+                if t is None or len(t) < n:
+                    continue
+                for start in range(0, len(t) - n + 1, PIECE_CHARS):
+                    points = np.frombuffer(t[start: start + PIECE_CHARS + n - 1].encode("utf-32-le"), np.uint32).astype(np.int64)
+                    last = len(points) - n + 1
+                    packed = points[:last]
+                    for k in range(1, n):
+                        packed = packed << 21 | points[k: k + last]
+                    key, many = np.unique(packed, return_counts=True)
+                    at.append(row)
+                    sizes.append(len(t) - n + 1)
+                    keys.append(key)
+                    ks.append(many.astype(np.int64))
+                    held += len(key)
+                if held >= 200_000:
+                    yield rows(b.column(0), at, sizes, keys, ks)
+                    at, sizes, keys, ks, held = [], [], [], [], 0
+            if at:
+                yield rows(b.column(0), at, sizes, keys, ks)
+    padded = docs.select(col, F.concat(F.lit(" "), F.lower(F.col(text_col)), F.lit(" ")).alias("_t"))
+    return padded.mapInArrow(run, f"`{col}` {docs.schema[col].dataType.simpleString()}, G long, key long, k long")
+
+
 def train_nb(docs: DataFrame, text_col: str, label_col: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Returns (model: gram, lang, logp) and (langs: lang, prior, unseen)."""
     from ..session import cut_lineage
-    g = (docs.select(F.col(label_col).alias("lang"), explode_grams(F.col(text_col), n).alias("gram"))
-         .where(F.col("gram").isNotNull()))
+    g = gram_counts(docs.select(F.col(label_col).alias("lang"), text_col), "lang", text_col, n)
     # the trained counts are read three times (vocabulary, totals, model):
     # materialise them once instead of re-scanning the corpus
-    counts = cut_lineage(g.groupBy("lang", "gram").agg(F.count("*").alias("c")))
+    counts = cut_lineage(g.groupBy("lang", "key").agg(F.sum("k").alias("c")).select("lang", key_gram(F.col("key"), n).alias("gram"), "c"))
     vocab = counts.select("gram").distinct().agg(F.count("*").alias("V"))
     tot = counts.groupBy("lang").agg(F.sum("c").alias("N"))
     ndocs = docs.groupBy(F.col(label_col).alias("lang")).agg(F.count("*").alias("nd"))
@@ -81,17 +148,15 @@ def language_scores(docs: DataFrame, id_col: str, text_col: str, model: DataFram
     document's row."""
     rows = sorted(langs.select("lang", "prior", "unseen").collect(), key=lambda r: r["lang"])
     # weight log p(g|l) - u(l) per language (0 where the gram is unseen in l)
-    wide = model.groupBy("gram").agg(*[
+    wide = model.groupBy(gram_key(F.col("gram"), n).alias("key")).agg(*[
         F.max(F.when(F.col("lang") == F.lit(r["lang"]), F.col("logp") - F.lit(r["unseen"]))).alias(f"_w{i}")
         for i, r in enumerate(rows)])
-    grams = docs.select(id_col, char_ngrams(F.col(text_col), n).alias("_g")) \
-        .select(id_col, F.size("_g").alias("G"), F.explode_outer("_g").alias("gram")) \
-        .where(F.col("gram").isNotNull())  # outer + filter: see explode_grams
+    grams = gram_counts(docs, id_col, text_col, n)
     if wide.count() <= broadcast_grams:
-        j = grams.withColumn("k", F.lit(1)).join(F.broadcast(wide), "gram", "left")
+        j = grams.join(F.broadcast(wide), "key", "left")
     else:
-        counted = grams.groupBy(id_col, "gram").agg(F.count("*").alias("k"), F.max("G").alias("G"))
-        j = counted.join(wide, "gram", "left")
+        counted = grams.groupBy(id_col, "key").agg(F.sum("k").alias("k"), F.max("G").alias("G"))
+        j = counted.join(wide, "key", "left")
     per_lang = [F.sum(F.col("k") * F.coalesce(F.col(f"_w{i}"), F.lit(0.0))).alias(f"_m{i}")
                 for i in range(len(rows))]
     per_doc = j.groupBy(id_col).agg(F.max("G").alias("G"), *per_lang)
