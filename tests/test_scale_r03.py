@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varieta.functions import patterns as P
 from varieta.functions import text as T
 from varieta.operators import langid as LID
+from varieta.operators import ml as ML
 
 
 def test_jvm_spellings_match_what_the_portable_ones_do(spark):
@@ -39,3 +40,18 @@ def test_texts_longer_than_a_piece_keep_all_grams(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "abcabcabcabc")], "id long, text string")
     got = LID.gram_counts(docs, "id", "text").agg(F.sum("k"), F.max("G")).first()
     assert tuple(got) == (12, 12)
+
+
+def _labelled(spark):
+    rows = [(i, ("good fine nice " if i % 2 else "bad poor sad ") * (1 + i % 3), i % 2) for i in range(40)]
+    return spark.createDataFrame(rows, "id long, text string, label int")
+
+
+def test_models_on_word_counts_are_those_on_texts(spark):
+    df = _labelled(spark)
+    counts = ML.with_word_counts(df, "n_words", num_features=64)
+    assert "text" not in counts.columns
+    for kind in ("lr", "svm"):
+        a = ML.predict(ML.train_text_classifier(df, kind, max_iter=5, num_features=64), df, "m", ["id"])
+        b = ML.predict(ML.train_text_classifier(counts, kind, max_iter=5, counts_col="n_words"), counts, "m", ["id"])
+        assert sorted(a.select("id", "prediction").collect()) == sorted(b.select("id", "prediction").collect())
