@@ -8,6 +8,7 @@ from varieta.functions import patterns as P
 from varieta.functions import text as T
 from varieta.operators import langid as LID
 from varieta.operators import ml as ML
+from varieta.operators import vectors as V
 
 
 def test_jvm_spellings_match_what_the_portable_ones_do(spark):
@@ -55,3 +56,27 @@ def test_models_on_word_counts_are_those_on_texts(spark):
         a = ML.predict(ML.train_text_classifier(df, kind, max_iter=5, num_features=64), df, "m", ["id"])
         b = ML.predict(ML.train_text_classifier(counts, kind, max_iter=5, counts_col="n_words"), counts, "m", ["id"])
         assert sorted(a.select("id", "prediction").collect()) == sorted(b.select("id", "prediction").collect())
+
+
+def test_shared_embedder_is_not_learned_again(spark, monkeypatch):
+    df = _labelled(spark)
+    embedder = ML.document_embedder(df, "w2v", dim=8, min_count=1, rounds=1)
+    monkeypatch.setattr(V, "train_word2vec", None)
+    model = ML.train_text_classifier(df, "lr", embed="w2v", max_iter=5, embedder=embedder)
+    assert ML.predict(model, df, "m", ["id", "label"]).count() == 40
+
+
+def test_skip_gram_partitions_follow_the_words(spark, monkeypatch):
+    used = []
+    real = V.Word2Vec
+
+    def watched(**kw):
+        used.append(kw["numPartitions"])
+        return real(**kw)
+    monkeypatch.setattr(V, "Word2Vec", watched)
+    df = _labelled(spark)
+    V.train_word2vec(df, dim=4, rounds=1)
+    monkeypatch.setattr(V, "PART_WORDS", 100)
+    model = V.train_word2vec(df, dim=4, rounds=1)
+    n = df.select(F.sum(F.size(V.words_of()))).first()[0]
+    assert used == [1, -(-n // 100)] and len(model.words) == 6

@@ -18,6 +18,8 @@ from ..session import cut_lineage
 
 TOKEN = r"[^\p{L}\p{N}_]+"
 MAX_WORDS = 50_000
+# Skip-gram training: words a task, and tasks at most.
+PART_WORDS, MAX_PARTS = 1_000_000, 96
 
 
 def words_of(text_col: str = "text"):
@@ -154,17 +156,21 @@ def train_glove(docs: DataFrame, text_col: str = "text", dim: int = 32, window:
 
 # -- skip-gram ---------------------------------------------------------------------
 def train_word2vec(docs: DataFrame, text_col: str = "text", dim: int = 32, window: int = 5, min_count: int = 2,
-                   max_words: int = MAX_WORDS, rounds: int = 3, seed: int = 7, partitions: int = 1) -> GloveModel:
+                   max_words: int = MAX_WORDS, rounds: int = 3, seed: int = 7, partitions: int | None = None) -> GloveModel:
     """Skip-gram vectors by Spark ML's distributed Word2Vec.  Its vocabulary
     lives on the driver, so the least count is raised until at most
     ``max_words`` words are left (ties with the last one fall out too).  More
-    ``partitions`` train faster on more data, by averaging their vectors.
+    ``partitions`` train faster on more data, by averaging their vectors; by
+    default there is one for every ``PART_WORDS`` words, at most
+    ``MAX_PARTS``, as each of them sends all the vectors it changed.
     Texts without such words add nothing; without any the model has no words."""
     words = docs.select(words_of(text_col).alias("_w")).where(F.size("_w") > 0)
     over = vocabulary(docs, text_col, min_count, max_words + 1).where(F.col("id") == max_words).select("n").first()
     least = max(min_count, over.n + 1) if over else min_count
-    if not words.select(F.explode("_w").alias("w")).groupBy("w").count().where(F.col("count") >= least).limit(1).count():
+    seen, most = words.select(F.explode("_w").alias("w")).groupBy("w").count().agg(F.sum("count"), F.max("count")).first()
+    if (most or 0) < least:
         return GloveModel([], np.zeros((0, dim)), [])
+    partitions = partitions or min(MAX_PARTS, -(-seen // PART_WORDS))
     model = Word2Vec(vectorSize=dim, windowSize=window, minCount=least, maxIter=rounds, seed=seed, inputCol="_w", outputCol="_v",
                      numPartitions=partitions).fit(words)
     rows = model.getVectors().orderBy("word").collect()   # at most max_words

@@ -165,10 +165,12 @@ def text_models_q(spark, sf):
     from ..operators import ml as ML
     s = _planted_splits(spark, sf).where(F.col("task") == "Sentiment")
     train, test = s.where(F.col("split") == "train"), s.where(F.col("split") != "train")
-    parts = []
+    parts, embedders = [], {}   # vectors of one kind are learned once for all models
     for kind, embed in TEXT_MODELS:
         options = {"rounds": 2} if embed != "tfidf" else {}
-        model = ML.train_text_classifier(train, kind, max_iter=40, embed=embed, dim=32, reg=0.02, **options)
+        if embed not in embedders and (kind == "nn" or embed != "tfidf"):
+            embedders[embed] = ML.document_embedder(train, embed, dim=32, **options)
+        model = ML.train_text_classifier(train, kind, max_iter=40, embed=embed, dim=32, reg=0.02, embedder=embedders.get(embed))
         parts.append(ML.predict(model, test, f"{embed}-{kind}", ["id", "label"]).select("id", "label", "prediction", "model"))
     f1 = M.macro_prf(reduce(DataFrame.unionByName, parts), ["model"])
     return f1.select("model", F.col("n").cast("long").alias("n"), _floor())
