@@ -75,11 +75,13 @@ class VectorTextModel:
     classifier: object
 
 
-def document_embedder(train: DataFrame, embed: str, text_col: str = "text", dim: int = 32,
+def document_embedder(train: DataFrame, embed: str, text_col: str = "text", dim: int = 32, ids_col: str | None = None,
                       **options) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
     """A function (rows, keep columns) -> keep columns and ``embedding``, with
     vectors learned from ``train``: skip-gram or co-occurrence vectors averaged
-    per document, or TF-IDF reduced to ``dim`` features."""
+    per document, or TF-IDF reduced to ``dim`` features.  ``ids_col``: the rows
+    carry their texts as word numbers (``vectors.word_ids``) of the ``corpus``
+    that the options give."""
     if embed == "tfidf":
         idf = VEC.hashed_idf(train, text_col)
         return lambda df, keep: VEC.projected_vectors(df, keep, text_col, dim, len(idf), idf=idf)
@@ -87,7 +89,13 @@ def document_embedder(train: DataFrame, embed: str, text_col: str = "text", dim:
         raise ValueError(f"unknown embedding {embed!r}: use one of {', '.join(EMBEDS)}")
     fit = VEC.train_word2vec if embed == "w2v" else VEC.train_glove
     model = fit(train, text_col, dim=dim, **options)
-    return lambda df, keep: VEC.document_vectors(df, model, keep, text_col)
+    return lambda df, keep: VEC.document_vectors(df, model, keep, text_col, ids_col=ids_col)
+
+
+def given_vectors(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The embedder of rows that carry their ``embedding`` already: vectors
+    that several models read are made and written once."""
+    return df.select(*keep, "embedding")
 
 
 def train_text_classifier(train: DataFrame, kind: str = "lr", text_col: str = "text",

@@ -2,8 +2,8 @@
 
 The network is small (its size follows from the feature width and the hidden
 layers, never from the data) and is broadcast each round; every task adds up
-the weighted gradient of all its rows, and Spark sums one vector a task.  The
-gradient is over all rows, so the model does not depend on how they lie.
+the weighted gradient of all its rows and sends one vector.  The gradient is
+over all rows, so the model does not depend on how they lie.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +71,8 @@ def _matrix(column) -> np.ndarray:
 def train_perceptron(rows: DataFrame, features: str = "embedding", label: str = "label", weight: str | None = "weight",
                      hidden: Sequence[int] = (16,), rounds: int = 60, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Perceptron:
     """Fit by Adam on full gradients over ``rows`` (dense ``features`` of one
-    width, ``label``, row ``weight``).  Materialise ``rows`` before: each round
-    reads them once.  Rows with a null label or features are left out; rows
+    width, ``label``, row ``weight``).  They are packed in blocks that are kept
+    for all rounds, in memory or on disk.  Rows with a null label or features are left out; rows
     without any class are an error."""
     rows = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull())
     spark = rows.sparkSession
@@ -83,27 +84,37 @@ def train_perceptron(rows: DataFrame, features: str = "embedding", label: str =
     at = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
     data = rows.select(features, at.cast("int").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     total = data.agg(F.sum("w")).first()[0]
+
+    def blocks(batches):
+        import pyarrow as pa
+        for b in batches:
+            if b.num_rows:
+                one = (_matrix(b.column(0)).astype(float), b.column(1).to_numpy(), b.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in one], ["x", "y", "w"])
+
+    def arrays(r):
+        return np.frombuffer(r.x).reshape(-1, width), np.frombuffer(r.y, np.int32), np.frombuffer(r.w)
+    # rows are packed once, and one vector a task comes back each round
+    packed = data.mapInArrow(blocks, "x binary, y binary, w binary").rdd
+    packed = packed.coalesce(2 * spark.sparkContext.defaultParallelism).map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
     x, m, v = net.flat(), 0.0, 0.0
     for k in range(1, rounds + 1):
         given = spark.sparkContext.broadcast(x)
 
-        def part(batches):
-            import pyarrow as pa
+        def part(some):
             x_ = given.value
-            now, loss, grad = net.with_flat(x_), 0.0, np.zeros(len(x_))
-            for b in batches:
-                if b.num_rows:
-                    one, g = now.gradient(_matrix(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy())
-                    loss, grad = loss + one, grad + g
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x_) + 1)), pa.array(np.append(grad, loss))], ["i", "g"])
-        sums = data.mapInArrow(part, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()   # one row a parameter
-        grad = np.zeros(len(x) + 1)
-        for r in sums:
-            grad[r.i] = r.g
+            now, out = net.with_flat(x_), np.zeros(len(x_) + 1)
+            for one in some:
+                loss, g = now.gradient(*one)
+                out[:-1] += g
+                out[-1] += loss
+            yield out
+        grad = np.sum(packed.mapPartitions(part).collect(), axis=0)
         given.unpersist()
         g = grad[:-1] / total + ridge * x
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.999 ** k)) + 1e-8)
+    packed.unpersist()
     return net.with_flat(x)
 
 
